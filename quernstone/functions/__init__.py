@@ -3,23 +3,31 @@
 from quernstone.functions.keys import hash_key, hash_threshold
 from quernstone.functions.numeric import is_missing, min_max_scaled, nan_as_null, standardised
 from quernstone.functions.probabilities import even_probabilities, rank_of, sketch_size
-from quernstone.functions.steps import bin_left_closed, bin_right_closed, count_passed
-from quernstone.functions.text import run_lengths, term_flags, tokens
+from quernstone.functions.steps import bin_left_closed, bin_right_closed, interval_tag
+from quernstone.functions.text import (
+    run_lengths,
+    run_starts,
+    split_body,
+    term_flags,
+    token_body,
+)
 
 __all__ = [
     "bin_left_closed",
     "bin_right_closed",
-    "count_passed",
     "even_probabilities",
     "hash_key",
     "hash_threshold",
+    "interval_tag",
     "is_missing",
     "min_max_scaled",
     "nan_as_null",
     "rank_of",
     "run_lengths",
+    "run_starts",
     "sketch_size",
+    "split_body",
     "standardised",
     "term_flags",
-    "tokens",
+    "token_body",
 ]

@@ -1,10 +1,15 @@
-"""Numeric column expressions with defined results for null, NaN and zero spread."""
+"""Numeric column expressions with defined results for null, NaN and zero spread.
+
+Transforms are built as SQL text, one parse per column; fitted numbers become exact literals.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quernstone.functions.steps import name_sql, number_sql
+
 
 def is_missing(value: Column) -> Column:
     """True for null and NaN, never null itself."""
@@ -16,29 +21,40 @@ def nan_as_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def refuse_missing(value: Column, name: str) -> Column:
-    """The value itself; the query fails on the first null or NaN."""
-    message = F.lit(f"column {name} holds a null or NaN; use invalid='skip' or 'keep'")
-    return F.when(is_missing(value), F.raise_error(message).cast("double")).otherwise(value)
+def double_sql(column: str) -> str:
+    return f"CAST({name_sql(column)} AS DOUBLE)"
+
+
+def unless_missing(column: str, result: str) -> Column:
+    """The SQL expression ``result``; the query fails on the first null or NaN of ``column``."""
+    value = double_sql(column)
+    name = column.replace("\\", "\\\\").replace("'", "\\'")
+    message = f"column {name} holds a null or NaN; use invalid=skip or invalid=keep"
+    return F.expr(
+        f"CASE WHEN {value} IS NULL OR isnan({value}) "
+        f"THEN CAST(raise_error('{message}') AS DOUBLE) ELSE {result} END"
+    )
 
 
-def standardised(value: Column, mean: float | None, std: float | None) -> Column:
+def standardised(column: str, mean: float | None, std: float | None) -> str:
     """``(value - mean) / std``; 0 where the fitted column had no spread."""
+    value = double_sql(column)
     if mean is None:
-        return F.lit(None).cast("double")
+        return "CAST(NULL AS DOUBLE)"
     if not std:
-        return F.when(F.isnan(value), value).when(value.isNotNull(), F.lit(0.0))
-    return (value - F.lit(mean)) / F.lit(std)
+        return f"CASE WHEN isnan({value}) THEN {value} WHEN {value} IS NOT NULL THEN 0D END"
+    return f"({value} - {number_sql(mean)}) / {number_sql(std)}"
 
 
 def min_max_scaled(
-    value: Column, low: float | None, high: float | None, to_low: float, to_high: float
-) -> Column:
+    column: str, low: float | None, high: float | None, to_low: float, to_high: float
+) -> str:
     """Map ``[low, high]`` onto ``[to_low, to_high]``; the midpoint where both ends are equal."""
+    value = double_sql(column)
     if low is None or high is None:
-        return F.lit(None).cast("double")
+        return "CAST(NULL AS DOUBLE)"
     if low == high:
-        middle = F.lit(0.5 * (to_low + to_high))
-        return F.when(F.isnan(value), value).when(value.isNotNull(), middle)
-    unit = (value - F.lit(low)) / F.lit(high - low)
-    return unit * F.lit(to_high - to_low) + F.lit(to_low)
+        middle = number_sql(0.5 * (to_low + to_high))
+        return f"CASE WHEN isnan({value}) THEN {value} WHEN {value} IS NOT NULL THEN {middle} END"
+    unit = f"({value} - {number_sql(low)}) / {number_sql(high - low)}"
+    return f"{unit} * {number_sql(to_high - to_low)} + {number_sql(to_low)}"

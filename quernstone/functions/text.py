@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 OTHER_WHITE_SPACE = "\t\n\x0b\f\r"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case ``text`` and split it on single ASCII white-space characters.
+def token_body(text: Column) -> Column:
+    """``text`` in lower case, separators turned into spaces, without trailing separators.
 
-    Inner empty tokens stay and trailing ones go; an empty text is one empty token, a text of
-    white space alone is none. No regular expression with repetition runs over the text, so long
-    runs of white space cost linear time.
+    No regular expression runs over the text, so long runs of white space cost linear time.
     """
     spaced = F.translate(F.lower(text), OTHER_WHITE_SPACE, " " * len(OTHER_WHITE_SPACE))
-    body = F.rtrim(spaced)
+    return F.rtrim(spaced)
+
+
+def split_body(text: Column, body: Column) -> Column:
+    """Tokens of ``text``, given its ``token_body`` as a column of an earlier projection.
+
+    Inner empty tokens stay and trailing ones go; an empty text is one empty token, a text of
+    white space alone is none.
+    """
     none = F.array().cast("array<string>")
-    return F.when((body == "") & (spaced != ""), none).otherwise(F.split(body, " "))
+    return F.when((body == "") & (text != ""), none).otherwise(F.split(body, " "))
 
 
 def term_flags(ordered: Column) -> Column:

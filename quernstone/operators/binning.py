@@ -19,8 +19,9 @@ from quernstone.operators.base import FitStep, FittedStep, PlainStep, check_inva
 from quernstone.operators.quantiles import quantiles_by
 
 
-def _refused(value: Column, bad: Column, message: str) -> Column:
-    return F.when(bad, F.raise_error(F.lit(message)).cast("double")).otherwise(value)
+def _unless(bad: Column, message: str, bucket: Column) -> Column:
+    """The bucket; the query fails on the first bad row."""
+    return F.when(bad, F.raise_error(F.lit(message)).cast("int")).otherwise(bucket)
 
 
 class QuantileDiscretizer(FitStep):
@@ -71,12 +72,12 @@ class QuantileDiscretizerModel(FittedStep):
         added = {}
         for c, out in zip(self.columns, self.output_columns, strict=True):
             value, inner = F.col(c).cast("double"), self.inner[c]
+            bucket = bin_left_closed(c, inner)
             if self.invalid == "skip":
                 df = df.filter(~is_missing(value))
             elif self.invalid == "error":
-                value = _refused(value, F.isnan(value), f"column {c} holds a NaN")
-            bucket = bin_left_closed(value, inner)
-            if self.invalid == "keep":
+                bucket = _unless(F.isnan(value), f"column {c} holds a NaN", bucket)
+            else:
                 bucket = F.when(F.isnan(value), F.lit(len(inner) + 1)).otherwise(bucket)
             added[out] = bucket
         return df.withColumns(added)
@@ -137,15 +138,15 @@ class CustomBinner(PlainStep):
         added = {}
         for c, out in zip(self.columns, self.output_columns, strict=True):
             value, edges = F.col(c).cast("double"), self.edges[c]
-            outside = self._outside(value, edges)
+            outside, bucket = self._outside(value, edges), number(c, edges[1:-1])
             if self.invalid == "skip":
                 df = df.filter(value.isNotNull() & ~outside)
-                added[out] = number(value, edges[1:-1])
             elif self.invalid == "error":
                 message = f"column {c} holds a value outside its edges, or a NaN"
-                added[out] = number(_refused(value, outside, message), edges[1:-1])
+                bucket = _unless(outside, message, bucket)
             else:
-                added[out] = F.when(~outside, number(value, edges[1:-1]))
+                bucket = F.when(~outside, bucket)
+            added[out] = bucket
         return df.withColumns(added)
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.numeric import is_missing, refuse_missing
+from quernstone.functions.numeric import double_sql, is_missing, unless_missing
 from quernstone.operators.base import PlainStep, check_invalid
 
 
@@ -60,7 +60,7 @@ class FeatureAssembler(PlainStep):
             for number in numbers.values():
                 df = df.filter(~is_missing(number))
         elif self.invalid == "error":
-            numbers = {c: refuse_missing(v, c) for c, v in numbers.items()}
+            numbers = {c: unless_missing(c, double_sql(c)) for c in self.columns}
         else:
             numbers = {c: F.coalesce(v, F.lit(float("nan"))) for c, v in numbers.items()}
         packed = F.array(*numbers.values())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.numeric import nan_as_null
 from quernstone.functions.probabilities import even_probabilities, rank_of, sketch_size
-from quernstone.functions.steps import count_passed
+from quernstone.functions.steps import interval_tag
 from quernstone.support.cut import cut
 
 # Rank error of the first guess, and the distinct values one window task may order.
@@ -56,28 +56,13 @@ def _disjoint(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return merged
 
 
-def _interval_tag(value: Column, brackets: list[tuple[float, float]]) -> Column:
-    """2j + 1 inside bracket j, 2j in the gap before it."""
-    tests = []
-    for low, high in brackets:
-        tests += [value >= F.lit(low), value > F.lit(high)]
-    return count_passed(tests)
-
-
 def _tagged_values(df: DataFrame, columns: list[str], brackets: list[list[tuple]]) -> DataFrame:
     """``(place, tag, value)`` per non-missing value; ``value`` is null outside the brackets."""
     parts = []
     for i, c in enumerate(columns):
-        value = _number(c)
-        tag = _interval_tag(value, brackets[i])
-        inside = F.when(tag % 2 == 1, value)
-        parts.append(
-            F.struct(
-                F.lit(i).alias("place"),
-                F.when(value.isNotNull(), tag).alias("tag"),
-                inside.alias("value"),
-            )
-        )
+        tag = interval_tag(c, brackets[i])
+        inside = F.when(tag % 2 == 1, F.col(c))
+        parts.append(F.struct(F.lit(i).alias("place"), tag.alias("tag"), inside.alias("value")))
     spread_out = df.select(F.explode(F.array(*parts)).alias("_p")).select("_p.*")
     return spread_out.filter(F.col("tag").isNotNull())
 
@@ -87,7 +72,7 @@ def _narrow(values: DataFrame, rank: int, entries: int, window_rows: int) -> flo
     while entries > window_rows:
         steps = [i / PIVOTS for i in range(1, PIVOTS)]
         pivots = sorted(set(values.approxQuantile("value", steps, 1 / (4 * PIVOTS))))
-        tag = _interval_tag(F.col("value"), [(p, p) for p in pivots])
+        tag = interval_tag("value", [(p, p) for p in pivots])
         tallied = (
             values.groupBy(tag.alias("tag"))
             .agg(F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("entries"))
@@ -225,7 +210,12 @@ def _find_apart(
 def approx_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], relative_error: float
 ) -> dict[str, list[float | None]]:
-    """Quantiles whose rank is off by at most ``relative_error * n`` (Greenwald-Khanna summary)."""
+    """Quantiles whose rank is off by at most ``relative_error * n`` (Greenwald-Khanna summary).
+
+    A summary without error would hold every value, so an error of 0 takes the exact path.
+    """
+    if relative_error == 0:
+        return exact_quantiles(df, columns, probabilities)
     names = list(columns)
     numbers = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(names)])
     wanted = [float(p) for p in probabilities]

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.keys import below_percent, hash_key
-from quernstone.support.cut import cut
+from quernstone.support.cut import Size, cut_measured
 from quernstone.support.lookup import lookup_join
 
-# Leading hex digits that split a stratum into slices: 65,536 of them.
+# Hex digits by which a stratum, or a slice of it, is split: into 65,536 slices.
 SLICE_DIGITS = 4
+HASH_DIGITS = 32
+
+# Rows of a slice whose keys one task may order.
+SLICE_ROWS = 1_000_000
 
 
 def _rates(percents: Sequence[int]) -> list[int]:
@@ -27,60 +31,78 @@ def _rates(percents: Sequence[int]) -> list[int]:
     return [int(p) for p in rates]
 
 
+def _reached(asked: DataFrame) -> DataFrame:
+    """Keep the slices in which a wanted count is reached, and what is left to keep in them."""
+    hit = (F.col("_upto") >= F.col("_room")) & (F.col("_before") < F.col("_room"))
+    return asked.filter(hit).withColumn("_room", F.col("_room") - F.col("_before"))
+
+
+def _placed(counted: DataFrame, parent: list[str]) -> DataFrame:
+    """Rows up to and before each slice ``_next`` of its parent slice."""
+    upto = F.sum("_rows").over(Window.partitionBy(*parent).orderBy("_next"))
+    return counted.select(
+        "*", upto.alias("_upto"), (upto - F.col("_rows")).alias("_before")
+    )
+
+
 def sample_cuts(
     df: DataFrame,
     strata: Sequence[str],
     key: Sequence[str],
     percents: Sequence[int],
     seed: int = 0,
-    slice_digits: int = SLICE_DIGITS,
+    slice_rows: int = SLICE_ROWS,
     broadcast_rows: int | None = None,
-) -> DataFrame:
-    """``(strata..., cut_<percent>...)``: the last hash kept per stratum and rate.
+) -> tuple[DataFrame, Size]:
+    """``(strata..., cut_<percent>...)``, the last hash kept per stratum and rate, and its size.
 
-    No stratum is ever sorted as a whole. Rows are counted per slice of the hash space, the slice
-    holding the last kept row is found from the counts, and only the rows of that slice (one in
-    65,536) are ordered. Both passes read the stratum and key columns alone.
+    No stratum is ever sorted as a whole. Rows are counted per slice of the hash space, and the
+    slice holding the last kept row is found from the counts. A slice still holding more than
+    ``slice_rows`` rows is sliced again; then its keys alone are ordered. The passes read only the
+    stratum and key columns.
     """
     rates = _rates(percents)
     by = list(strata)
-    hashed = df.select(*by, hash_key(seed, *key).alias("_hash")).withColumn(
-        "_slice", F.substring("_hash", 1, slice_digits)
+    hashed = df.select(*by, hash_key(seed, *key).alias("_hash"))
+    rows = F.count(F.lit(1)).alias("_rows")
+
+    digits = SLICE_DIGITS
+    counted = hashed.groupBy(*by, F.substring("_hash", 1, digits).alias("_next")).agg(rows)
+    sized = _placed(counted, by).withColumn("_n", F.sum("_rows").over(Window.partitionBy(*by)))
+    goals = [F.struct(F.lit(p).alias("rate"), _goal(p).alias("room")) for p in rates]
+    # Most slices are no rate's last one: only those that are become rows.
+    ends_here = F.filter(
+        F.array(*goals), lambda g: (F.col("_upto") >= g["room"]) & (F.col("_before") < g["room"])
     )
-    slices = hashed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    whole = Window.partitionBy(*by)
-    upto = F.sum("_rows").over(whole.orderBy("_slice"))
-    placed = slices.select(
-        *by,
-        "_slice",
-        (upto - F.col("_rows")).alias("_before"),
-        upto.alias("_upto"),
-        F.sum("_rows").over(whole).alias("_n"),
+    asked = sized.select("*", F.explode(ends_here).alias("_g")).select(
+        *by, "_next", "_rows", "_upto", "_before",
+        F.col("_g.rate").alias("_rate"), F.col("_g.room").alias("_room"),
     )
-    asked = placed.withColumn("_rate", F.explode(F.array(*[F.lit(p) for p in rates])))
-    goal = F.expr("(_rate * _n + 99) div 100")
-    last = asked.filter((F.col("_before") < goal) & (F.col("_upto") >= goal)).select(
-        *by, "_slice", "_rate", (goal - F.col("_before")).alias("_room")
+    reached, size = cut_measured(_reached(asked), "sample-slices")
+
+    while digits < HASH_DIGITS:
+        largest = reached.agg(F.max("_rows")).first()[0] or 0
+        deeper = digits + SLICE_DIGITS if largest > slice_rows else HASH_DIGITS
+        wanted = reached.select(*by, F.col("_next").alias("_slice"), "_rate", "_room")
+        parent = [*by, "_slice"]
+        slices = wanted.select(*parent).distinct()
+        sliced = hashed.withColumn("_slice", F.substring("_hash", 1, digits))
+        inside = lookup_join(sliced, slices, parent, ["_hash"], size, broadcast_rows)
+        counted = inside.groupBy(*parent, F.substring("_hash", 1, deeper).alias("_next")).agg(rows)
+        placed = _placed(counted, parent)
+        asked = lookup_join(placed, wanted, parent, ["_next"], size, broadcast_rows)
+        reached, size = cut_measured(_reached(asked).drop("_slice"), "sample-slices")
+        digits = deeper
+
+    cuts = reached.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_rate") == p, F.col("_next"))).alias(f"cut_{p}") for p in rates]
     )
-    last = cut(last, "sample-slices")  # one row per stratum and rate
+    return cuts, size  # as many hashes as there were rows before
 
-    edge_slices = last.select(*by, "_slice").distinct()
-    edge = lookup_join(
-        hashed, edge_slices, [*by, "_slice"], ["_hash"], broadcast_rows=broadcast_rows
-    )
-    keys = edge.groupBy(*by, "_slice", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    running = F.sum("_rows").over(Window.partitionBy(*by, "_slice").orderBy("_hash"))
-    ordered = keys.select(
-        *by, "_slice", "_hash", running.alias("_upto"), (running - F.col("_rows")).alias("_before")
-    )
-    hit = (F.col("_upto") >= F.col("_room")) & (F.col("_before") < F.col("_room"))
-    at_cut = lookup_join(
-        ordered, last, [*by, "_slice"], ["_hash"], broadcast_rows=broadcast_rows
-    ).filter(hit)
-    cuts = at_cut.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_rate") == p, F.col("_hash"))).alias(f"cut_{p}") for p in rates]
-    )
-    return cut(cuts, "sample-cuts")  # one row per stratum
+
+def _goal(percent: int) -> Column:
+    """Rows to keep of ``_n``: the percentage rounded up, in whole numbers."""
+    return F.expr(f"({percent} * _n + 99) div 100")
 
 
 def nested_samples(
@@ -89,7 +111,7 @@ def nested_samples(
     key: Sequence[str],
     percents: Sequence[int],
     seed: int = 0,
-    slice_digits: int = SLICE_DIGITS,
+    slice_rows: int = SLICE_ROWS,
     broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Rows of the largest sample, with ``first_rate``: the smallest rate that holds the row.
@@ -98,9 +120,9 @@ def nested_samples(
     and one table partitioned by ``first_rate`` stores the whole family once.
     """
     rates = _rates(percents)
-    cuts = sample_cuts(df, strata, key, rates, seed, slice_digits, broadcast_rows)
+    cuts, size = sample_cuts(df, strata, key, rates, seed, slice_rows, broadcast_rows)
     hashed = df.withColumn("_hash", hash_key(seed, *key))
-    joined = lookup_join(hashed, cuts, list(strata), ["_hash"], broadcast_rows=broadcast_rows)
+    joined = lookup_join(hashed, cuts, list(strata), ["_hash"], size, broadcast_rows)
     first = F.coalesce(
         *[F.when(F.col("_hash") <= F.col(f"cut_{p}"), F.lit(p)) for p in rates]
     )
@@ -114,11 +136,11 @@ def stratified_sample(
     key: Sequence[str],
     percent: int,
     seed: int = 0,
-    slice_digits: int = SLICE_DIGITS,
+    slice_rows: int = SLICE_ROWS,
     broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Exactly ``ceil(percent * n / 100)`` rows of each stratum (see the module on equal keys)."""
-    nested = nested_samples(df, strata, key, [percent], seed, slice_digits, broadcast_rows)
+    nested = nested_samples(df, strata, key, [percent], seed, slice_rows, broadcast_rows)
     return nested.drop("first_rate")
 
 

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from quernstone.functions.numeric import (
+    double_sql,
     is_missing,
     min_max_scaled,
     nan_as_null,
-    refuse_missing,
     standardised,
+    unless_missing,
 )
 from quernstone.operators.base import FitStep, FittedStep, check_invalid, output_names
 
@@ -76,7 +77,7 @@ class _ColumnScaler(FitStep):
         """Fit in one job; under ``error`` the same pass proves that no value is missing."""
         usable = _usable_rows(df.select(*self.columns), self.columns, self.invalid)
         if self.invalid == "error":
-            refused = {c: refuse_missing(_number(c), c) for c in self.columns}
+            refused = {c: unless_missing(c, double_sql(c)) for c in self.columns}
             usable = usable.withColumns(refused)
         return statistics(usable).first()
 
@@ -90,17 +91,16 @@ class _ScaledColumns(FittedStep):
         self.output_columns = scaler.output_columns
         self.invalid = scaler.invalid
 
-    def _scaled(self, value: Column, column: str) -> Column:
+    def _scaled(self, column: str) -> str:
+        """SQL expression of the scaled column."""
         raise NotImplementedError
 
     def _transform(self, df: DataFrame) -> DataFrame:
         usable = _usable_rows(df, self.columns, self.invalid)
         added = {}
         for c, out in zip(self.columns, self.output_columns, strict=True):
-            value = _number(c)
-            if self.invalid == "error":
-                value = refuse_missing(value, c)
-            added[out] = self._scaled(value, c)
+            scaled = self._scaled(c)
+            added[out] = unless_missing(c, scaled) if self.invalid == "error" else F.expr(scaled)
         return usable.withColumns(added)
 
 
@@ -141,13 +141,11 @@ class StandardScalerModel(_ScaledColumns):
         self.with_mean = scaler.with_mean
         self.with_std = scaler.with_std
 
-    def _scaled(self, value: Column, column: str) -> Column:
+    def _scaled(self, column: str) -> str:
         mean, std = self.mean[column], self.std[column]
         if mean is not None and not self.with_mean:
             mean = 0.0
-        if not self.with_std:
-            return value - F.lit(mean)
-        return standardised(value, mean, std)
+        return standardised(column, mean, std if self.with_std else 1.0)
 
 
 class MinMaxScaler(_ColumnScaler):
@@ -178,8 +176,8 @@ class MinMaxScalerModel(_ScaledColumns):
         self.low = scaler.low
         self.high = scaler.high
 
-    def _scaled(self, value: Column, column: str) -> Column:
-        return min_max_scaled(value, self.min[column], self.max[column], self.low, self.high)
+    def _scaled(self, column: str) -> str:
+        return min_max_scaled(column, self.min[column], self.max[column], self.low, self.high)
 
 
 class VectorStandardScaler(FitStep):

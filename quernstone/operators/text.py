@@ -16,13 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quernstone.functions.text import run_lengths, run_starts, term_flags, tokens
+from quernstone.functions.text import (
+    run_lengths,
+    run_starts,
+    split_body,
+    term_flags,
+    token_body,
+)
 from quernstone.operators.base import FitStep, FittedStep, PlainStep, check_invalid
-from quernstone.support.cut import cut
-from quernstone.support.lookup import BROADCAST_BYTES, BROADCAST_ROWS, measured_size
+from quernstone.support.cut import Size, cut, cut_measured, measure, scratch_path
+from quernstone.support.lookup import BROADCAST_BYTES, BROADCAST_ROWS
 from quernstone.support.ranking import SINGLE_TASK_ROWS, rank_rows
 
-# Largest vocabulary handed to Spark ML's vectoriser, which keeps it on the driver.
+# Largest vocabulary handed to Spark ML's vectoriser, which holds it in one row and on the driver.
 DRIVER_TERMS = 1_000_000
 
 # Most frequent terms broadcast ahead of the shuffle join with a larger vocabulary.
@@ -56,10 +62,12 @@ class Tokenizer(PlainStep):
         elif self.invalid == "error":
             message = F.lit(f"column {self.input_column} holds a null; use invalid='skip' or 'keep'")
             text = F.when(text.isNull(), F.raise_error(message).cast("string")).otherwise(text)
-        split = tokens(text)
+        # The body is used more than once: as a column of its own it is computed once.
+        staged = df.withColumn("_body", token_body(text))
+        split = split_body(F.col(self.input_column), F.col("_body"))
         if self.drop_empty:
             split = F.array_remove(split, "")
-        return df.withColumn(self.output_column, split)
+        return staged.withColumn(self.output_column, split).drop("_body")
 
 
 def term_statistics(df: DataFrame, tokens_column: str = "tokens", min_df: int = 1) -> DataFrame:
@@ -142,21 +150,33 @@ class CountVectorizer(FitStep):
 
     def _fit(self, df: DataFrame) -> CountVectorizerModel:
         statistics = cut(term_statistics(df, self.input_column, self.min_df), "terms")
-        vocabulary = cut(top_terms(statistics, self.vocab_size), "vocabulary")
-        return CountVectorizerModel(vocabulary, self.input_column, self.output_column)
+        top = top_terms(statistics, self.vocab_size)
+        vocabulary, size = cut_measured(top, "vocabulary")
+        return CountVectorizerModel(vocabulary, self.input_column, self.output_column, size)
 
 
 class CountVectorizerModel(FittedStep):
-    """A vocabulary kept as a table ``(term, tf, df, term_index)`` and its two transforms."""
+    """A vocabulary kept as a table ``(term, tf, df, term_index)``, and its transforms.
+
+    ``transform`` adds ML sparse vectors, ``transform_long`` gives rows of pairs, and
+    ``transform_sparse`` gives the vectors for a vocabulary too large for ``transform``.
+    """
 
     def __init__(
-        self, vocabulary: DataFrame, input_column: str = "tokens", output_column: str = "features"
+        self,
+        vocabulary: DataFrame,
+        input_column: str = "tokens",
+        output_column: str = "features",
+        size: Size | None = None,
     ):
         super().__init__()
         self.vocabulary = vocabulary
         self.input_column = input_column
         self.output_column = output_column
-        self.size, self.bytes = measured_size(vocabulary.select("term", "term_index"))
+        measured = measure(vocabulary) if size is None else size
+        self.size = measured.rows
+        self.bytes = measured.bytes
+        self._vectorizer: SparkCountVectorizerModel | None = None
 
     def vocabulary_size(self, requested: int) -> DataFrame:
         """One row: terms asked for and terms kept."""
@@ -194,7 +214,7 @@ class CountVectorizerModel(FittedStep):
         """The largest halving of ``rows`` whose terms fit the broadcast bound in bytes."""
         while rows > 0:
             head = self.vocabulary.filter(F.col("term_index") < rows)
-            if measured_size(head.select("term", "term_index"))[1] <= BROADCAST_BYTES:
+            if measure(head).bytes <= BROADCAST_BYTES:
                 break
             rows //= 2
         return rows
@@ -206,12 +226,23 @@ class CountVectorizerModel(FittedStep):
                 f"{self.size} terms are too many for the driver; "
                 "use transform_sparse with the columns that identify a document"
             )
-        # The collect is bounded by the two limits above.
-        rows = self.vocabulary.orderBy("term_index").select("term").collect()
-        model = SparkCountVectorizerModel.from_vocabulary(
-            [r["term"] for r in rows], self.input_column, self.output_column
-        )
-        return model.transform(df)
+        if self._vectorizer is None:
+            self._vectorizer = self._spark_vectorizer()
+        return self._vectorizer.transform(df)
+
+    def _spark_vectorizer(self) -> SparkCountVectorizerModel:
+        """Spark ML's vectoriser over this vocabulary, which the two limits bound.
+
+        A stored model with a placeholder vocabulary gets this one written in its place, so the
+        terms go from table to table and never one by one through Python.
+        """
+        path = scratch_path(self.vocabulary.sparkSession, "vectorizer")
+        names = (self.input_column, self.output_column)
+        SparkCountVectorizerModel.from_vocabulary([""], *names).write().save(path)
+        pairs = F.array_sort(F.collect_list(F.struct("term_index", "term")))
+        stored = self.vocabulary.agg(pairs.alias("p")).select(F.col("p.term").alias("vocabulary"))
+        stored.write.mode("overwrite").parquet(f"{path}/data")
+        return SparkCountVectorizerModel.load(path)
 
     def transform_sparse(self, df: DataFrame, id_columns: Sequence[str]) -> DataFrame:
         """``(id..., <output>)`` as ML sparse vectors, for a vocabulary of any size.

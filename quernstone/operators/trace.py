@@ -70,10 +70,10 @@ def utilisation(
 ) -> DataFrame:
     """``(bucket_start, busy)`` per interval of ``step``: summed time in which spans were active.
 
-    ``start`` and ``end`` are whole numbers in the unit of ``step``. A span is never unrolled over
-    the intervals it covers: it adds one event where it starts and one where it ends, and the
-    number of spans open at the start of an interval is a running sum. With ``slots`` the share of
-    capacity in use is added as ``utilisation``.
+    ``start`` and ``end`` are whole numbers in the unit of ``step``; intervals without activity are
+    left out. A span is never unrolled over the intervals it covers: it adds one event where it
+    starts and one where it ends, and the number of spans open at the start of an interval is a
+    running sum. With ``slots`` the share of capacity in use is added as ``utilisation``.
     """
     edge = spans.select(
         F.explode(
@@ -93,15 +93,17 @@ def utilisation(
             F.sum(F.col("sign") * rest).cast("long").alias("part"),
         )
     )
-    events = cut(events, "span-edges")
-    bounds = events.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
-    low, high = (0, -1) if bounds["low"] is None else bounds
-    every = spans.sparkSession.range(low, high + 1).withColumnRenamed("id", "bucket")
-    dense = every.join(events, "bucket", "left").na.fill(0, ["delta", "part"])
-    opened = running_sum_before(dense, "bucket", "delta", "open")
-    busy = F.col("open") * F.lit(step) + F.col("part")
-    result = opened.select(
-        (F.col("bucket") * F.lit(step)).alias("bucket_start"), busy.alias("busy")
+    opened = running_sum_before(cut(events, "span-edges"), "bucket", "delta", "open", "next")
+    # Until the next event, every interval has the spans open after this one.
+    after = F.col("open") + F.col("delta")
+    last = F.when((after > 0) & F.col("next").isNotNull(), F.col("next") - 1)
+    filled = opened.select(
+        "*", F.explode(F.sequence("bucket", F.coalesce(last, F.col("bucket")))).alias("at")
+    )
+    partial = F.col("open") * F.lit(step) + F.col("part")
+    busy = F.when(F.col("at") == F.col("bucket"), partial).otherwise(after * F.lit(step))
+    result = filled.select(
+        (F.col("at") * F.lit(step)).alias("bucket_start"), busy.alias("busy")
     ).filter(F.col("busy") > 0)
     if slots is not None:
         result = result.withColumn("utilisation", F.col("busy") / F.lit(step * slots))

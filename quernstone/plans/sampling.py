@@ -56,14 +56,14 @@ def stratified_sample_exact(spark, sf_dir):
 
 @PLANS.add(_sample_sql(15))
 def stratified_sample_spread(spark, sf_dir):
-    """The same without a broadcast, as for more strata than fit one, and with wide slices."""
+    """The same without a broadcast, as for more strata than fit one, and sliced to the end."""
     return stratified_sample(
         _orders(spark, sf_dir),
         ["stratum"],
         ["o_orderkey"],
         15,
         SEED,
-        slice_digits=1,
+        slice_rows=0,
         broadcast_rows=0,
     )
 

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -29,9 +32,42 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def row_width(schema: StructType) -> Column:
+    """Bytes of a row's text, and 8 for every other field."""
+    width = F.lit(0)
+    for field in schema.fields:
+        text = isinstance(field.dataType, (StringType, BinaryType))
+        width = width + (F.coalesce(F.octet_length(field.name), F.lit(0)) if text else F.lit(8))
+    return width
+
+
+@dataclass(frozen=True)
+class Size:
+    """Measured size of a table."""
+
+    rows: int
+    bytes: int
+
+
+def measure(table: DataFrame) -> Size:
+    """Size by a counting job."""
+    width = F.coalesce(F.sum(row_width(table.schema)), F.lit(0))
+    row = table.agg(F.count(F.lit(1)).alias("rows"), width.alias("bytes")).first()
+    return Size(row["rows"], row["bytes"])
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the scratch folder and return the table read back."""
+    return cut_measured(df, label)[0]
+
+
+def cut_measured(df: DataFrame, label: str) -> tuple[DataFrame, Size]:
+    """The same, with the size observed by the writing job."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    width = F.coalesce(F.sum(row_width(df.schema)), F.lit(0))
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), width.alias("bytes"))
+    counted.write.parquet(path)
+    size = Size(seen.get["rows"], seen.get["bytes"])
+    return spark.read.schema(df.schema).parquet(path), size

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+
+from quernstone.support.cut import Size, measure
 
 # Largest table sent to every executor, as measured rows and bytes.
 BROADCAST_ROWS = 1_000_000
@@ -22,38 +23,27 @@ def same_key(left: DataFrame, right: DataFrame, left_on: list[str], right_on: li
     return reduce(lambda a, b: a & b, pairs)
 
 
-def measured_size(table: DataFrame) -> tuple[int, int]:
-    """Rows, and bytes of their text and fixed-width values, by counting."""
-    width = F.lit(0)
-    for field in table.schema.fields:
-        text = isinstance(field.dataType, (StringType, BinaryType))
-        width = width + (F.coalesce(F.octet_length(field.name), F.lit(0)) if text else F.lit(8))
-    row = table.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
-    ).first()
-    return row["n"], row["bytes"]
-
-
 def lookup_join(
     large: DataFrame,
     small: DataFrame,
     on: list[str],
     spread_by: list[str],
+    size: Size | None = None,
     broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Inner join of ``large`` with ``small`` on null-safe keys.
 
-    ``small`` has few rows per key and is cheap to count. It is broadcast when its measured rows
-    and bytes allow it. Otherwise both sides are shuffled on the key plus a salt taken from the
+    ``small`` has few rows per key. It is broadcast when its measured rows and bytes allow it;
+    without a ``size`` (its own or an upper bound) it is counted first. Otherwise both sides are shuffled on the key plus a salt taken from the
     hash of ``spread_by``; ``small`` is repeated once per salt, so that a key holding a large share
     of the rows is split over many tasks.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    rows, size = measured_size(small)
+    size = measure(small) if size is None else size
     names = {c: f"_key_{i}" for i, c in enumerate(on)}
     small = small.withColumnsRenamed(names)
     keys = list(names.values())
-    if rows <= limit and size <= BROADCAST_BYTES:
+    if size.rows <= limit and size.bytes <= BROADCAST_BYTES:
         return large.join(F.broadcast(small), same_key(large, small, on, keys)).drop(*keys)
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     copies = F.sequence(F.lit(0), F.lit(SALTS - 1))

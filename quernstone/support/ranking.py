@@ -50,24 +50,34 @@ def rank_rows(
     return ranked if limit is None else ranked.filter(F.col(index) < limit)
 
 
-def running_sum_before(df: DataFrame, position: str, amount: str, output: str) -> DataFrame:
-    """Sum of ``amount`` over all rows with a smaller integer ``position`` (unique per row).
+def running_sum_before(
+    df: DataFrame, position: str, amount: str, total: str, following: str
+) -> DataFrame:
+    """Add the sum of ``amount`` over all smaller positions, and the next larger position.
 
-    Rows are summed inside blocks of consecutive positions, then over the block totals, so the
-    only unpartitioned window runs over one row per block.
+    ``position`` is an integer, unique per row. Rows are summed inside blocks of consecutive
+    positions, then over the block totals, so the only unpartitioned window has one row per block.
     """
     blocked = df.withColumn("_block", F.floor(F.col(position) / BLOCK).cast("long"))
-    totals = blocked.groupBy("_block").agg(F.sum(amount).alias("_total"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("_block").agg(
+        F.sum(amount).alias("_total"), F.min(position).alias("_first")
+    )
+    blocks = Window.orderBy("_block")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
+        "_block",
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
+        F.lead("_first").over(blocks).alias("_next_block"),
     )
-    inside = (
-        Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_block").orderBy(position)
+    smaller = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = blocked.select(
+        "*",
+        F.coalesce(F.sum(amount).over(smaller), F.lit(0)).alias("_inside"),
+        F.lead(position).over(inside).alias("_next"),
     )
-    local = blocked.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return (
-        local.join(offsets, "_block")
-        .withColumn(output, F.col("_inside") + F.col("_before"))
-        .drop("_block", "_inside", "_before")
+    return local.join(offsets, "_block").select(
+        *df.columns,
+        (F.col("_inside") + F.col("_before")).alias(total),
+        F.coalesce("_next", "_next_block").alias(following),
     )
