@@ -1,7 +1,13 @@
 """Column expressions. Each one is built from Spark's own functions, without Python UDFs."""
 
 from quernstone.functions.keys import hash_key, hash_threshold
-from quernstone.functions.numeric import is_missing, min_max_scaled, nan_as_null, standardised
+from quernstone.functions.numeric import (
+    min_max_scaled,
+    missing_sql,
+    present_sql,
+    standardised,
+    unless_missing,
+)
 from quernstone.functions.probabilities import even_probabilities, rank_of, sketch_size
 from quernstone.functions.steps import bin_left_closed, bin_right_closed, interval_tag
 from quernstone.functions.text import (
@@ -19,9 +25,9 @@ __all__ = [
     "hash_key",
     "hash_threshold",
     "interval_tag",
-    "is_missing",
     "min_max_scaled",
-    "nan_as_null",
+    "missing_sql",
+    "present_sql",
     "rank_of",
     "run_lengths",
     "run_starts",
@@ -30,4 +36,5 @@ __all__ = [
     "standardised",
     "term_flags",
     "token_body",
+    "unless_missing",
 ]

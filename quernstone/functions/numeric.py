@@ -11,27 +11,26 @@ from pyspark.sql import functions as F
 from quernstone.functions.steps import name_sql, number_sql
 
 
-def is_missing(value: Column) -> Column:
-    """True for null and NaN, never null itself."""
-    return value.isNull() | F.isnan(value)
+def double_sql(column: str) -> str:
+    return f"CAST({name_sql(column)} AS DOUBLE)"
 
 
-def nan_as_null(value: Column) -> Column:
-    """NaN becomes null, so that min, max and avg skip it as they skip null."""
-    return F.when(~F.isnan(value), value)
+def missing_sql(column: str) -> str:
+    value = double_sql(column)
+    return f"({value} IS NULL OR isnan({value}))"
 
 
-def double_sql(column: str) -> str:
-    return f"CAST({name_sql(column)} AS DOUBLE)"
+def present_sql(column: str) -> str:
+    """The value as a double, null for NaN, so that aggregates skip both."""
+    return f"nanvl({double_sql(column)}, CAST(NULL AS DOUBLE))"
 
 
 def unless_missing(column: str, result: str) -> Column:
     """The SQL expression ``result``; the query fails on the first null or NaN of ``column``."""
-    value = double_sql(column)
     name = column.replace("\\", "\\\\").replace("'", "\\'")
     message = f"column {name} holds a null or NaN; use invalid=skip or invalid=keep"
     return F.expr(
-        f"CASE WHEN {value} IS NULL OR isnan({value}) "
+        f"CASE WHEN {missing_sql(column)} "
         f"THEN CAST(raise_error('{message}') AS DOUBLE) ELSE {result} END"
     )
 

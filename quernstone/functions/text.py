@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The ASCII white space that separates tokens, besides the space itself.
-OTHER_WHITE_SPACE = "\t\n\x0b\f\r"
+# The ASCII white space that separates tokens.
+WHITE_SPACE = " \t\n\x0b\f\r"
 
 
 def token_body(text: Column) -> Column:
-    """``text`` in lower case, separators turned into spaces, without trailing separators.
+    """``text`` in lower case without trailing white space.
 
-    No regular expression runs over the text, so long runs of white space cost linear time.
+    No pattern with a repetition runs over the text, so long runs of white space cost linear time.
     """
-    spaced = F.translate(F.lower(text), OTHER_WHITE_SPACE, " " * len(OTHER_WHITE_SPACE))
-    return F.rtrim(spaced)
+    ends_open = reduce(lambda a, b: a | b, [F.endswith(text, F.lit(c)) for c in WHITE_SPACE])
+    lower = F.lower(text)
+    return F.when(ends_open, F.rtrim(lower, F.lit(WHITE_SPACE))).otherwise(lower)
 
 
 def split_body(text: Column, body: Column) -> Column:
@@ -25,7 +28,7 @@ def split_body(text: Column, body: Column) -> Column:
     white space alone is none.
     """
     none = F.array().cast("array<string>")
-    return F.when((body == "") & (text != ""), none).otherwise(F.split(body, " "))
+    return F.when((body == "") & (text != ""), none).otherwise(F.split(body, r"\s"))
 
 
 def term_flags(ordered: Column) -> Column:
@@ -34,7 +37,7 @@ def term_flags(ordered: Column) -> Column:
     A row whose predecessor differs starts a new term of that document.
     """
     nothing = F.array(F.lit(None).cast("string"))
-    before = F.concat(nothing, F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0))))
+    before = F.slice(F.concat(nothing, ordered), 1, F.size(ordered))
     return F.arrays_zip(ordered.alias("term"), before.alias("before"))
 
 

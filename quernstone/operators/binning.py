@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.numeric import is_missing
+from quernstone.functions.numeric import missing_sql
 from quernstone.functions.probabilities import even_probabilities
 from quernstone.functions.steps import bin_left_closed, bin_right_closed
 from quernstone.operators.base import FitStep, FittedStep, PlainStep, check_invalid, output_names
@@ -74,7 +74,7 @@ class QuantileDiscretizerModel(FittedStep):
             value, inner = F.col(c).cast("double"), self.inner[c]
             bucket = bin_left_closed(c, inner)
             if self.invalid == "skip":
-                df = df.filter(~is_missing(value))
+                df = df.filter(f"NOT {missing_sql(c)}")
             elif self.invalid == "error":
                 bucket = _unless(F.isnan(value), f"column {c} holds a NaN", bucket)
             else:

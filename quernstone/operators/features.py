@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.numeric import double_sql, is_missing, unless_missing
+from quernstone.functions.numeric import double_sql, missing_sql, unless_missing
 from quernstone.operators.base import PlainStep, check_invalid
 
 
@@ -55,10 +55,10 @@ class FeatureAssembler(PlainStep):
         self.as_vector = as_vector
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        numbers = {c: F.col(c).cast("double") for c in self.columns}
+        numbers = {c: F.expr(double_sql(c)) for c in self.columns}
         if self.invalid == "skip":
-            for number in numbers.values():
-                df = df.filter(~is_missing(number))
+            for c in self.columns:
+                df = df.filter(f"NOT {missing_sql(c)}")
         elif self.invalid == "error":
             numbers = {c: unless_missing(c, double_sql(c)) for c in self.columns}
         else:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.functions.numeric import nan_as_null
+from quernstone.functions.numeric import present_sql
 from quernstone.functions.probabilities import even_probabilities, rank_of, sketch_size
 from quernstone.functions.steps import interval_tag
 from quernstone.support.cut import cut
@@ -29,7 +29,7 @@ MERGE_GROUPS = 64
 
 
 def _number(name: str) -> Column:
-    return nan_as_null(F.col(name).cast("double"))
+    return F.expr(present_sql(name))
 
 
 # --- exact -------------------------------------------------------------------------------------

@@ -8,7 +8,6 @@ shuffle, and the same plan on a stream.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Row
@@ -16,50 +15,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from quernstone.functions.numeric import (
-    double_sql,
-    is_missing,
     min_max_scaled,
-    nan_as_null,
+    missing_sql,
+    present_sql,
     standardised,
     unless_missing,
 )
 from quernstone.operators.base import FitStep, FittedStep, check_invalid, output_names
 
 
-def _number(name: str) -> Column:
-    return F.col(name).cast("double")
+def _check_ddof(ddof: int) -> int:
+    if ddof not in (0, 1):
+        raise ValueError("ddof must be 0 (population) or 1 (sample)")
+    return ddof
 
 
-def _any_missing(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [is_missing(_number(c)) for c in columns])
+def _spread_sql(value: str, ddof: int) -> str:
+    return f"stddev_samp({value})" if ddof else f"stddev_pop({value})"
 
 
-def _usable_rows(df: DataFrame, columns: Sequence[str], invalid: str) -> DataFrame:
-    return df.filter(~_any_missing(columns)) if invalid == "skip" else df
+def _standard_aggregates(columns: Sequence[str], ddof: int) -> list[Column]:
+    found = []
+    for c in columns:
+        value = present_sql(c)
+        found.append(F.expr(f"avg({value})").alias(f"mean_{c}"))
+        found.append(F.expr(_spread_sql(value, ddof)).alias(f"std_{c}"))
+    return found
 
 
-def _spread(value: Column, ddof: int) -> Column:
-    if ddof not in (0, 1):
-        raise ValueError("ddof must be 0 (population) or 1 (sample)")
-    return F.stddev_samp(value) if ddof else F.stddev_pop(value)
+def _min_max_aggregates(columns: Sequence[str]) -> list[Column]:
+    found = []
+    for c in columns:
+        value = present_sql(c)
+        found.append(F.expr(f"min({value})").alias(f"min_{c}"))
+        found.append(F.expr(f"max({value})").alias(f"max_{c}"))
+    return found
 
 
 def standard_statistics(df: DataFrame, columns: Sequence[str], ddof: int = 1) -> DataFrame:
     """One row with ``mean_<c>`` and ``std_<c>`` per column; null and NaN are left out."""
-    aggregates = []
-    for c in columns:
-        value = nan_as_null(_number(c))
-        aggregates += [F.avg(value).alias(f"mean_{c}"), _spread(value, ddof).alias(f"std_{c}")]
-    return df.agg(*aggregates)
+    return df.agg(*_standard_aggregates(columns, _check_ddof(ddof)))
 
 
 def min_max_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with ``min_<c>`` and ``max_<c>`` per column; null and NaN are left out."""
-    aggregates = []
-    for c in columns:
-        value = nan_as_null(_number(c))
-        aggregates += [F.min(value).alias(f"min_{c}"), F.max(value).alias(f"max_{c}")]
-    return df.agg(*aggregates)
+    return df.agg(*_min_max_aggregates(columns))
+
+
+def _usable_rows(df: DataFrame, columns: Sequence[str], invalid: str) -> DataFrame:
+    if invalid != "skip":
+        return df
+    return df.filter(" AND ".join(f"NOT {missing_sql(c)}" for c in columns))
 
 
 class _ColumnScaler(FitStep):
@@ -73,13 +79,16 @@ class _ColumnScaler(FitStep):
         self.output_columns = output_names(self.columns, output_columns, "scaled_{}")
         self.invalid = check_invalid(invalid)
 
-    def _first_row(self, df: DataFrame, statistics) -> Row:
-        """Fit in one job; under ``error`` the same pass proves that no value is missing."""
-        usable = _usable_rows(df.select(*self.columns), self.columns, self.invalid)
+    def _fitted_row(self, df: DataFrame, aggregates: list[Column]) -> Row:
+        """One row of statistics by one job, which under ``error`` also looks for missing values."""
         if self.invalid == "error":
-            refused = {c: unless_missing(c, double_sql(c)) for c in self.columns}
-            usable = usable.withColumns(refused)
-        return statistics(usable).first()
+            missing = [F.expr(f"count_if({missing_sql(c)})") for c in self.columns]
+            row = df.agg(*aggregates, F.array(*missing).alias("_missing")).first()
+            bad = [c for c, n in zip(self.columns, row["_missing"], strict=True) if n]
+            if bad:
+                raise ValueError(f"{bad} hold a null or NaN; use invalid='skip' or 'keep'")
+            return row
+        return _usable_rows(df, self.columns, self.invalid).agg(*aggregates).first()
 
 
 class _ScaledColumns(FittedStep):
@@ -124,10 +133,10 @@ class StandardScaler(_ColumnScaler):
         super().__init__(columns, output_columns, invalid)
         self.with_mean = with_mean
         self.with_std = with_std
-        self.ddof = ddof
+        self.ddof = _check_ddof(ddof)
 
     def _fit(self, df: DataFrame) -> StandardScalerModel:
-        row = self._first_row(df, lambda d: standard_statistics(d, self.columns, self.ddof))
+        row = self._fitted_row(df, _standard_aggregates(self.columns, self.ddof))
         return StandardScalerModel(self, row)
 
 
@@ -164,7 +173,7 @@ class MinMaxScaler(_ColumnScaler):
         self.high = high
 
     def _fit(self, df: DataFrame) -> MinMaxScalerModel:
-        row = self._first_row(df, lambda d: min_max_statistics(d, self.columns))
+        row = self._fitted_row(df, _min_max_aggregates(self.columns))
         return MinMaxScalerModel(self, row)
 
 
@@ -201,7 +210,7 @@ class VectorStandardScaler(FitStep):
         self.output_column = output_column
         self.with_mean = with_mean
         self.with_std = with_std
-        self.ddof = ddof
+        self.ddof = _check_ddof(ddof)
 
     def _elements(self, df: DataFrame) -> Column:
         kind = df.schema[self.input_column].dataType
@@ -212,11 +221,14 @@ class VectorStandardScaler(FitStep):
 
     def _fit(self, df: DataFrame) -> VectorStandardScalerModel:
         spread_out = df.select(F.posexplode(self._elements(df)).alias("place", "value"))
-        value = nan_as_null(F.col("value"))
+        value = present_sql("value")
         # One row per element of the vector: bounded by its width.
         rows = (
             spread_out.groupBy("place")
-            .agg(F.avg(value).alias("mean"), _spread(value, self.ddof).alias("std"))
+            .agg(
+                F.expr(f"avg({value})").alias("mean"),
+                F.expr(_spread_sql(value, self.ddof)).alias("std"),
+            )
             .orderBy("place")
             .collect()
         )

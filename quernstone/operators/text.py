@@ -24,7 +24,7 @@ from quernstone.functions.text import (
     token_body,
 )
 from quernstone.operators.base import FitStep, FittedStep, PlainStep, check_invalid
-from quernstone.support.cut import Size, cut, cut_measured, measure, scratch_path
+from quernstone.support.cut import Size, cut_measured, measure, scratch_path
 from quernstone.support.lookup import BROADCAST_BYTES, BROADCAST_ROWS
 from quernstone.support.ranking import SINGLE_TASK_ROWS, rank_rows
 
@@ -99,14 +99,20 @@ def document_terms(df: DataFrame, id_columns: Sequence[str], tokens_column: str)
 
 
 def top_terms(
-    statistics: DataFrame, vocab_size: int, single_task_rows: int = SINGLE_TASK_ROWS
+    statistics: DataFrame,
+    vocab_size: int,
+    n_terms: int,
+    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
-    """``(term, tf, df, term_index)`` of the ``vocab_size`` most frequent terms.
+    """``(term, tf, df, term_index)`` of the ``vocab_size`` most frequent of ``n_terms`` terms.
 
     The order is total: ``tf`` descending, then ``term``. ``statistics`` should be a written table,
-    as it is read twice. A histogram over powers of two (at most 64 rows) shows which terms can
-    reach the cut; only those are ranked.
+    as it may be read several times. Of many terms, a histogram over powers of two (at most 64
+    rows) shows which can reach the cut, and only those are ranked.
     """
+    order = [F.desc("tf"), F.asc("term")]
+    if n_terms <= single_task_rows:
+        return rank_rows(statistics, order, "term_index", n_terms, vocab_size)
     magnitude = F.length(F.bin("tf"))
     classes = (
         statistics.groupBy(magnitude.alias("magnitude"))
@@ -122,7 +128,7 @@ def top_terms(
             break
     return rank_rows(
         statistics.filter(F.col("tf") >= smallest),
-        [F.desc("tf"), F.asc("term")],
+        order,
         "term_index",
         n_rows=reached,
         limit=vocab_size,
@@ -149,8 +155,9 @@ class CountVectorizer(FitStep):
         self.min_df = min_df
 
     def _fit(self, df: DataFrame) -> CountVectorizerModel:
-        statistics = cut(term_statistics(df, self.input_column, self.min_df), "terms")
-        top = top_terms(statistics, self.vocab_size)
+        counted = term_statistics(df, self.input_column, self.min_df)
+        statistics, found = cut_measured(counted, "terms")
+        top = top_terms(statistics, self.vocab_size, found.rows)
         vocabulary, size = cut_measured(top, "vocabulary")
         return CountVectorizerModel(vocabulary, self.input_column, self.output_column, size)
 

@@ -13,7 +13,7 @@ from quernstone.operators.text import (
     top_terms,
 )
 from quernstone.plans.registry import Plans, table
-from quernstone.support.cut import cut
+from quernstone.support.cut import cut_measured
 
 PLANS = Plans()
 
@@ -110,8 +110,9 @@ def vocabulary_topk(spark, sf_dir):
 @PLANS.add(f"{_VOCABULARY} SELECT term, tf, df, term_index FROM vocabulary")
 def vocabulary_topk_ranged(spark, sf_dir):
     """The same by range partitions, as for more terms than one task should order."""
-    statistics = cut(term_statistics(_tokens(spark, sf_dir), min_df=MIN_DF), "terms")
-    return top_terms(statistics, VOCAB_SIZE, single_task_rows=0)
+    counted = term_statistics(_tokens(spark, sf_dir), min_df=MIN_DF)
+    statistics, found = cut_measured(counted, "terms")
+    return top_terms(statistics, VOCAB_SIZE, found.rows, single_task_rows=0)
 
 
 @PLANS.add(

@@ -19,6 +19,8 @@ def local_session(cores: int | str = 8, app: str = "quernstone", **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # Recording the Python line of every expression costs more than building it.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
