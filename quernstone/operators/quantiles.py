@@ -162,19 +162,16 @@ def _find_together(table: DataFrame, targets: list[_Target]) -> dict[int, float]
     """All targets whose brackets are small enough for one window task each, in one job."""
     if not targets:
         return {}
-    session = table.sparkSession
-    asked = session.createDataFrame(
-        [(t.slot, t.place, t.tag, t.rank) for t in targets],
-        "slot int, place int, tag int, rank long",
-    )
-    used = asked.select("place", "tag").distinct()
+    rows = ", ".join(f"({t.slot}, {t.place}, {t.tag}, {t.rank}L)" for t in targets)
+    asked = table.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(slot, place, tag, rank)")
+    brackets = ", ".join(f"({p}, {t})" for p, t in sorted({(t.place, t.tag) for t in targets}))
     inside = Window.partitionBy("place", "tag").orderBy("value")
-    running = table.join(F.broadcast(used), ["place", "tag"]).select(
+    running = table.filter(f"(place, tag) IN ({brackets})").select(
         "place", "tag", "value", "cnt", F.sum("cnt").over(inside).alias("upto")
     )
     hit = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("cnt") < F.col("rank"))
-    rows = running.join(F.broadcast(asked), ["place", "tag"]).filter(hit).select("slot", "value")
-    return {r["slot"]: r["value"] for r in rows.collect()}  # one row per target
+    found = running.join(F.broadcast(asked), ["place", "tag"]).filter(hit).select("slot", "value")
+    return {r["slot"]: r["value"] for r in found.collect()}  # one row per target
 
 
 def _find_apart(

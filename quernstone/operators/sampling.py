@@ -16,9 +16,11 @@ from quernstone.functions.keys import below_percent, hash_key
 from quernstone.support.cut import Size, cut_measured
 from quernstone.support.lookup import lookup_join
 
-# Hex digits by which a stratum, or a slice of it, is split: into 65,536 slices.
-SLICE_DIGITS = 4
+# Hex digits of a hash; of the first slices of a stratum (4,096 of them); and the most by which a
+# large slice is split again (1,048,576).
 HASH_DIGITS = 32
+FIRST_DIGITS = 3
+MORE_DIGITS = 5
 
 # Rows of a slice whose keys one task may order.
 SLICE_ROWS = 1_000_000
@@ -66,7 +68,7 @@ def sample_cuts(
     hashed = df.select(*by, hash_key(seed, *key).alias("_hash"))
     rows = F.count(F.lit(1)).alias("_rows")
 
-    digits = SLICE_DIGITS
+    digits = FIRST_DIGITS
     counted = hashed.groupBy(*by, F.substring("_hash", 1, digits).alias("_next")).agg(rows)
     sized = _placed(counted, by).withColumn("_n", F.sum("_rows").over(Window.partitionBy(*by)))
     goals = [F.struct(F.lit(p).alias("rate"), _goal(p).alias("room")) for p in rates]
@@ -82,7 +84,7 @@ def sample_cuts(
 
     while digits < HASH_DIGITS:
         largest = reached.agg(F.max("_rows")).first()[0] or 0
-        deeper = digits + SLICE_DIGITS if largest > slice_rows else HASH_DIGITS
+        deeper = _next_digits(digits, largest, slice_rows)
         wanted = reached.select(*by, F.col("_next").alias("_slice"), "_rate", "_room")
         parent = [*by, "_slice"]
         slices = wanted.select(*parent).distinct()
@@ -100,6 +102,16 @@ def sample_cuts(
     return cuts, size  # as many hashes as there were rows before
 
 
+def _next_digits(digits: int, largest: int, slice_rows: int) -> int:
+    """The whole hash for small slices, else as many digits as should make them small."""
+    if largest <= slice_rows:
+        return HASH_DIGITS
+    more, expected = 1, largest / 16
+    while expected > slice_rows and more < MORE_DIGITS:
+        more, expected = more + 1, expected / 16
+    return min(HASH_DIGITS, digits + more)
+
+
 def _goal(percent: int) -> Column:
     """Rows to keep of ``_n``: the percentage rounded up, in whole numbers."""
     return F.expr(f"({percent} * _n + 99) div 100")

@@ -135,5 +135,8 @@ def test_family_of_tables(skewed, spark, tmp_path):
         assert {r["k"] for r in one.collect()} == {r["k"] for r in other.collect()} == expected
 
 
-def test_slices_are_few_hex_digits():
-    assert sampling.HASH_DIGITS % sampling.SLICE_DIGITS == 0
+def test_large_slices_are_split_until_small():
+    assert sampling._next_digits(3, 10, 1_000_000) == 32
+    assert sampling._next_digits(3, 240_000_000, 1_000_000) == 5
+    assert sampling._next_digits(3, 10**12, 1) == 8
+    assert sampling._next_digits(31, 10**12, 1) == 32
