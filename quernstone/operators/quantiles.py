@@ -17,8 +17,10 @@ from quernstone.functions.probabilities import even_probabilities, rank_of, sket
 from quernstone.functions.steps import interval_tag
 from quernstone.support.cut import cut
 
-# Rank error of the first guess, and the distinct values one window task may order.
-GUESS_ERROR = 0.001
+# Sketch size of the first guess per ten probabilities, and the distinct values that one window
+# task may order. Spark accepts sketch sizes up to MOST_PRECISE.
+GUESS_SIZE = 4096
+MOST_PRECISE = 65_535
 WINDOW_ROWS = 1_000_000
 
 # Pivots per narrowing round of a bracket with more values than that.
@@ -45,6 +47,12 @@ class _Target:
     rank: int
 
 
+def _rank_margin(size: int) -> float:
+    """Four times the rank error that a sketch of this size keeps with 99% confidence."""
+    # The published error curve of the sketch.
+    return 4 * 2.296 / size**0.9021
+
+
 def _disjoint(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Merge overlapping closed intervals."""
     merged: list[tuple[float, float]] = []
@@ -100,7 +108,7 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    guess_error: float = GUESS_ERROR,
+    guess_size: int = GUESS_SIZE,
     window_rows: int = WINDOW_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact discrete quantiles of several columns; None for a column without values.
@@ -113,12 +121,16 @@ def exact_quantiles(
     """
     names = list(columns)
     wanted = [float(p) for p in probabilities]
-    error = min(guess_error, 1 / (40 * max(1, len(wanted))))
-    bounds = [q for p in wanted for q in (max(0.0, p - 2 * error), min(1.0, p + 2 * error))]
+    size = min(MOST_PRECISE, guess_size * max(1, -(-len(wanted) // 10)))
+    margin = _rank_margin(size)
+    bounds = [q for p in wanted for q in (max(0.0, p - margin), min(1.0, p + margin))]
     numbers = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(names)])
     places = [f"c{i}" for i in range(len(names))]
-    guesses = numbers.approxQuantile(places, bounds, error)
-    brackets = [_disjoint(list(zip(g[::2], g[1::2], strict=True))) for g in guesses]
+    guesses = sketch_quantiles(numbers, places, bounds, size)
+    brackets = []
+    for place in places:
+        pairs = zip(guesses[place][::2], guesses[place][1::2], strict=True)
+        brackets.append(_disjoint([(low, high) for low, high in pairs if low is not None]))
 
     counted = _tagged_values(numbers, places, brackets).groupBy("place", "tag", "value")
     table = cut(counted.agg(F.count(F.lit(1)).alias("cnt")), "quantile-counts")

@@ -101,18 +101,18 @@ def document_terms(df: DataFrame, id_columns: Sequence[str], tokens_column: str)
 def top_terms(
     statistics: DataFrame,
     vocab_size: int,
-    n_terms: int,
+    size: Size,
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
-    """``(term, tf, df, term_index)`` of the ``vocab_size`` most frequent of ``n_terms`` terms.
+    """``(term, tf, df, term_index)`` of the ``vocab_size`` most frequent terms.
 
     The order is total: ``tf`` descending, then ``term``. ``statistics`` should be a written table,
-    as it may be read several times. Of many terms, a histogram over powers of two (at most 64
+    as it may be read several times, and ``size`` its measured size. Of many terms, a histogram over powers of two (at most 64
     rows) shows which can reach the cut, and only those are ranked.
     """
     order = [F.desc("tf"), F.asc("term")]
-    if n_terms <= single_task_rows:
-        return rank_rows(statistics, order, "term_index", n_terms, vocab_size)
+    if size.rows <= single_task_rows:
+        return rank_rows(statistics, order, "term_index", size, vocab_size, single_task_rows)
     magnitude = F.length(F.bin("tf"))
     classes = (
         statistics.groupBy(magnitude.alias("magnitude"))
@@ -130,9 +130,9 @@ def top_terms(
         statistics.filter(F.col("tf") >= smallest),
         order,
         "term_index",
-        n_rows=reached,
-        limit=vocab_size,
-        single_task_rows=single_task_rows,
+        Size(reached, size.bytes),
+        vocab_size,
+        single_task_rows,
     )
 
 
@@ -157,7 +157,7 @@ class CountVectorizer(FitStep):
     def _fit(self, df: DataFrame) -> CountVectorizerModel:
         counted = term_statistics(df, self.input_column, self.min_df)
         statistics, found = cut_measured(counted, "terms")
-        top = top_terms(statistics, self.vocab_size, found.rows)
+        top = top_terms(statistics, self.vocab_size, found)
         vocabulary, size = cut_measured(top, "vocabulary")
         return CountVectorizerModel(vocabulary, self.input_column, self.output_column, size)
 

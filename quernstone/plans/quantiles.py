@@ -55,7 +55,7 @@ def exact_quantiles_columns(spark, sf_dir):
 def exact_quantiles_narrowed(spark, sf_dir):
     """The same with brackets too large for one task, narrowed by exact counts."""
     found = exact_quantiles(
-        table(spark, sf_dir, "events"), ["value"], DECILES, guess_error=0.02, window_rows=20
+        table(spark, sf_dir, "events"), ["value"], DECILES, guess_size=100, window_rows=20
     )
     return quantile_table(spark, found, DECILES)
 

@@ -112,7 +112,7 @@ def vocabulary_topk_ranged(spark, sf_dir):
     """The same by range partitions, as for more terms than one task should order."""
     counted = term_statistics(_tokens(spark, sf_dir), min_df=MIN_DF)
     statistics, found = cut_measured(counted, "terms")
-    return top_terms(statistics, VOCAB_SIZE, found.rows, single_task_rows=0)
+    return top_terms(statistics, VOCAB_SIZE, found, single_task_rows=0)
 
 
 @PLANS.add(

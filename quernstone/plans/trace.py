@@ -21,6 +21,12 @@ _SPANS = """
 """
 
 
+def _millis(column: str):
+    """Milliseconds of a time without zone, whatever the zone of the session."""
+    local = F.col(column).cast("timestamp")
+    return F.unix_millis(F.from_utc_timestamp(local, F.current_timezone()))
+
+
 def _utilisation_sql(step: int, slots: int) -> str:
     return f"""
         WITH {_SPANS}, parts AS (
@@ -36,7 +42,7 @@ def _utilisation_sql(step: int, slots: int) -> str:
 
 
 def _utilisation(spark, sf_dir, step, slots):
-    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    start = _millis("ts")
     end = start + F.ceil("value").cast("long") * 1000
     return utilisation(table(spark, sf_dir, "events"), start, end, step, slots)
 
@@ -66,7 +72,7 @@ def utilisation_by_minute(spark, sf_dir):
 )
 def task_overhead_by_stage(spark, sf_dir):
     """Events written as lines of an event log, parsed back and summed by stage."""
-    launch = F.unix_millis(F.col("ts").cast("timestamp"))
+    launch = _millis("ts")
     run = F.ceil("value").cast("long") * 1000
     lines = table(spark, sf_dir, "events").select(
         F.to_json(

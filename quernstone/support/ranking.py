@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.support.cut import cut
+from quernstone.support.cut import Size, cut
 
-# Up to this many (counted) rows a single window task is cheaper than a range shuffle.
+# Up to this measured size a single window task is cheaper than a range shuffle.
 SINGLE_TASK_ROWS = 1_000_000
+SINGLE_TASK_BYTES = 256 * 1024 * 1024
 
 # Rows per block of the two-level running sum.
 BLOCK = 4096
@@ -18,17 +19,17 @@ def rank_rows(
     df: DataFrame,
     order: list[Column],
     index: str,
-    n_rows: int,
+    size: Size,
     limit: int | None = None,
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of each row in ``order`` and keep the first ``limit``.
 
-    ``order`` must be a total order and ``n_rows`` the counted size of ``df``. Small inputs use
-    one window. Larger ones are range-partitioned on the order; the position is the row number
+    ``order`` must be a total order and ``size`` a measured bound on ``df``. Small inputs use one
+    window. Larger ones are range-partitioned on the order; the position is the row number
     inside the range plus the sizes of all ranges before it.
     """
-    if n_rows <= single_task_rows:
+    if size.rows <= single_task_rows and size.bytes <= SINGLE_TASK_BYTES:
         ranked = df.withColumn(index, F.row_number().over(Window.orderBy(*order)) - 1)
     else:
         placed = cut(

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 import quernstone as q
 from quernstone.functions.probabilities import even_probabilities, rank_of, sketch_size
+from quernstone.operators import quantiles as quantile_operators
 
 DECILES = even_probabilities(10)
 
@@ -75,7 +76,7 @@ def test_exact_with_one_value_filling_a_third(spark):
     values = [42.0] * 2000 + [rng.gauss(40, 30) for _ in range(4000)]
     table = as_table(spark, values, 5)
     assert q.exact_quantiles(table, ["v"], DECILES)["v"] == by_hand(values, DECILES)
-    narrowed = q.exact_quantiles(table, ["v"], DECILES, guess_error=0.02, window_rows=3)
+    narrowed = q.exact_quantiles(table, ["v"], DECILES, guess_size=100, window_rows=3)
     assert narrowed["v"] == by_hand(values, DECILES)
 
 
@@ -83,14 +84,11 @@ def test_exact_finds_a_rank_outside_its_bracket(spark, monkeypatch):
     """Whatever the guess was, the counts put it right."""
     values = [float(i * i % 997) for i in range(3000)]
     table = as_table(spark, values)
-    real = type(table).approxQuantile
 
-    def wrong(self, columns, probabilities, error):
-        if isinstance(columns, str):
-            return real(self, columns, probabilities, error)
-        return [[5.0 + (i % 2) for i, _ in enumerate(probabilities)] for _ in columns]
+    def wrong(df, columns, probabilities, size):
+        return {c: [5.0 + (i % 2) for i, _ in enumerate(probabilities)] for c in columns}
 
-    monkeypatch.setattr(type(table), "approxQuantile", wrong)
+    monkeypatch.setattr(quantile_operators, "sketch_quantiles", wrong)
     assert q.exact_quantiles(table, ["v"], DECILES)["v"] == by_hand(values, DECILES)
     few = q.exact_quantiles(table, ["v"], DECILES, window_rows=10)["v"]
     assert few == by_hand(values, DECILES)

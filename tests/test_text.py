@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import quernstone as q
 from quernstone.operators import text as text_operators
+from quernstone.support.cut import Size, measure
 
 WHITE_SPACE = " \t\n\x0b\f\r"
 EDGES = ["", " ", "a ", "a  b", " a", "\x0bA\x0bb\x0b", "x y z", "\r\n", "Straße  ÉTÉ\t", "a\n"]
@@ -98,11 +99,13 @@ def test_ties_follow_the_term(spark):
 def test_ranges_and_single_task_agree(spark, load, vocab_size):
     tokens = q.Tokenizer().transform(load("documents"))
     statistics = q.term_statistics(tokens).persist()
-    n = statistics.count()
-    ranged = q.top_terms(statistics, vocab_size, n, single_task_rows=0)
-    single = q.top_terms(statistics, vocab_size, n)
+    size = measure(statistics)
+    ranged = q.top_terms(statistics, vocab_size, size, single_task_rows=0)
+    heavy = q.top_terms(statistics, vocab_size, Size(size.rows, 1 << 40))
+    single = q.top_terms(statistics, vocab_size, size)
     assert sorted(map(tuple, ranged.collect())) == sorted(map(tuple, single.collect()))
-    assert single.count() == min(vocab_size, n)
+    assert sorted(map(tuple, heavy.collect())) == sorted(map(tuple, single.collect()))
+    assert single.count() == min(vocab_size, size.rows)
     statistics.unpersist()
 
 
