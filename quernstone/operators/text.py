@@ -60,8 +60,9 @@ class Tokenizer(PlainStep):
         if self.invalid == "skip":
             df = df.filter(text.isNotNull())
         elif self.invalid == "error":
-            message = F.lit(f"column {self.input_column} holds a null; use invalid='skip' or 'keep'")
-            text = F.when(text.isNull(), F.raise_error(message).cast("string")).otherwise(text)
+            message = f"column {self.input_column} holds a null; use invalid='skip' or 'keep'"
+            refused = F.raise_error(F.lit(message)).cast("string")
+            text = F.when(text.isNull(), refused).otherwise(text)
         # The body is used more than once: as a column of its own it is computed once.
         staged = df.withColumn("_body", token_body(text))
         split = split_body(F.col(self.input_column), F.col("_body"))
@@ -107,8 +108,8 @@ def top_terms(
     """``(term, tf, df, term_index)`` of the ``vocab_size`` most frequent terms.
 
     The order is total: ``tf`` descending, then ``term``. ``statistics`` should be a written table,
-    as it may be read several times, and ``size`` its measured size. Of many terms, a histogram over powers of two (at most 64
-    rows) shows which can reach the cut, and only those are ranked.
+    as it may be read several times, and ``size`` its measured size. Of many terms, a histogram over
+    powers of two (at most 64 rows) shows which can reach the cut, and only those are ranked.
     """
     order = [F.desc("tf"), F.asc("term")]
     if size.rows <= single_task_rows:

@@ -28,14 +28,11 @@ TWENTIETHS = even_probabilities(20)
 EDGES = [1.0, 5.0, 25.0, 100.0, 300.0]
 
 
-def _left_sql(expression: str, source: str, inner: str) -> str:
-    """Number of distinct inner edges at or below the value."""
-    return f"len(list_filter(list_distinct({inner}), lambda e: {expression} >= e))"
-
-
 _FITTED = f"(SELECT quantile_disc(value, {DECILES}) AS inner_edges FROM events)"
 _LEFT = f"""
-    SELECT event_id, CAST({_left_sql('value', 'events', 'inner_edges')} AS INTEGER) AS value_bucket
+    SELECT event_id,
+           CAST(len(list_filter(list_distinct(inner_edges), lambda e: value >= e)) AS INTEGER)
+               AS value_bucket
     FROM events, {_FITTED}
 """
 
@@ -223,7 +220,8 @@ def scale_then_bin(spark, sf_dir):
 
 @PLANS.add(
     f"""
-    SELECT CAST(len(list_filter(list_distinct(edges), lambda e: l_quantity >= e)) AS INTEGER) AS bucket,
+    SELECT CAST(len(list_filter(list_distinct(edges), lambda e: l_quantity >= e)) AS INTEGER)
+               AS bucket,
            count(*) AS cnt
     FROM lineitem, (SELECT quantile_disc(l_quantity, {DECILES}) AS edges FROM lineitem)
     GROUP BY 1

@@ -66,7 +66,8 @@ def exact_quantiles_narrowed(spark, sf_dir):
 def exact_quantiles_missing(spark, sf_dir):
     """Null and NaN are left out."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "CASE WHEN l_discount <> 0 THEN l_discount WHEN l_tax = 0 THEN double('NaN') END AS discount"
+        "CASE WHEN l_discount <> 0 THEN l_discount "
+        "WHEN l_tax = 0 THEN double('NaN') END AS discount"
     )
     return quantile_table(spark, exact_quantiles(rows, ["discount"], TAIL), TAIL)
 

@@ -57,7 +57,8 @@ _LONG = f"""
 
 
 def _tokens(spark, sf_dir, **options):
-    return Tokenizer(**options).transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return Tokenizer(**options).transform(rows)
 
 
 def _model(spark, sf_dir):

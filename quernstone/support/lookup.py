@@ -34,9 +34,9 @@ def lookup_join(
     """Inner join of ``large`` with ``small`` on null-safe keys.
 
     ``small`` has few rows per key. It is broadcast when its measured rows and bytes allow it;
-    without a ``size`` (its own or an upper bound) it is counted first. Otherwise both sides are shuffled on the key plus a salt taken from the
-    hash of ``spread_by``; ``small`` is repeated once per salt, so that a key holding a large share
-    of the rows is split over many tasks.
+    without a ``size`` (its own or an upper bound) it is counted first. Otherwise both sides are
+    shuffled on the key plus a salt taken from the hash of ``spread_by``; ``small`` is repeated once
+    per salt, so that a key holding a large share of the rows is split over many tasks.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     size = measure(small) if size is None else size

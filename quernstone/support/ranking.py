@@ -26,28 +26,33 @@ def rank_rows(
     """Add the 0-based position of each row in ``order`` and keep the first ``limit``.
 
     ``order`` must be a total order and ``size`` a measured bound on ``df``. Small inputs use one
-    window. Larger ones are range-partitioned on the order; the position is the row number
-    inside the range plus the sizes of all ranges before it.
+    window. Larger ones are range-partitioned on the order; the position is the row number inside
+    the range plus the sizes of all ranges before it. It is an ``int``: more rows than that can
+    number fail the query.
     """
+    place = F.row_number().over(Window.orderBy(*order))
     if size.rows <= single_task_rows and size.bytes <= SINGLE_TASK_BYTES:
-        ranked = df.withColumn(index, F.row_number().over(Window.orderBy(*order)) - 1)
-    else:
-        placed = cut(
-            df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
-        )
-        sizes = placed.groupBy("_range").count().orderBy("_range").collect()  # one row per range
-        starts, before = [], 0
-        for row in sizes:
-            if limit is None or before < limit:
-                starts.append((row["_range"], before))
-            before += row["count"]
-        offsets = df.sparkSession.createDataFrame(starts, "_range int, _before long")
-        inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-        ranked = (
-            placed.join(F.broadcast(offsets), "_range")
-            .withColumn(index, inside - 1 + F.col("_before"))
-            .drop("_range", "_before")
-        )
+        ranked = df.withColumn("_place", place)
+        if limit is not None:
+            # In this form Spark drops rows past the limit in every task, before the window.
+            ranked = ranked.filter(F.col("_place") <= limit)
+        return ranked.withColumn(index, F.col("_place") - 1).drop("_place")
+    placed = cut(
+        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    sizes = placed.groupBy("_range").count().orderBy("_range").collect()  # one row per range
+    starts, before = [], 0
+    for row in sizes:
+        if limit is None or before < limit:
+            starts.append((row["_range"], before))
+        before += row["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _before long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = (
+        placed.join(F.broadcast(offsets), "_range")
+        .withColumn(index, (inside - 1 + F.col("_before")).cast("int"))
+        .drop("_range", "_before")
+    )
     return ranked if limit is None else ranked.filter(F.col(index) < limit)
 
 

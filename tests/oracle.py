@@ -14,6 +14,15 @@ TABLES = (
 ).split()
 
 
+SQL_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -41,6 +50,11 @@ def differences(spark_df, con, sql: str) -> list[str]:
     sql_rows = relation.fetchall()
     if sorted(spark_df.columns) != sorted(sql_columns):
         return [f"columns {sorted(spark_df.columns)} against {sorted(sql_columns)}"]
+    sql_types = {d[0]: str(d[1]) for d in relation.description}
+    for field in spark_df.schema:
+        expected = SQL_TYPES[field.dataType.simpleString()]
+        if sql_types[field.name] != expected:
+            return [f"{field.name} is {expected} against {sql_types[field.name]}"]
     left = _rows(spark_df.columns, spark_df.collect())
     right = _rows(sql_columns, sql_rows)
     if left == right:

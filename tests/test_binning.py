@@ -37,7 +37,8 @@ def test_fit_and_transform_equal_spark_ml(load):
 def test_counts_add_up(load, method):
     events = load("events")
     binned = q.QuantileDiscretizer(["value"], method=method).fit_transform(events)
-    counts = {r["bucket"]: r["cnt"] for r in q.bucket_distribution(binned, "value_bucket").collect()}
+    rows = q.bucket_distribution(binned, "value_bucket").collect()
+    counts = {r["bucket"]: r["cnt"] for r in rows}
     assert sum(counts.values()) == events.count()
     assert set(counts) == set(range(10))
     assert max(counts.values()) <= 1.3 * events.count() / 10
@@ -62,8 +63,8 @@ def test_repeated_quantiles_collapse(spark):
     assert model.splits["v"] == [-math.inf, 0.0, 1.0, 2.0, math.inf]
     with pytest.warns(UserWarning, match="3 buckets in use, 10 requested"):
         assert q.actual_bucket_count(model.transform(table), "v_bucket", 10) == 3
-    found = {r["v_bucket"] for r in q.distinct_buckets(model.transform(table), "v_bucket").collect()}
-    assert found == {1, 2, 3, None}
+    used = q.distinct_buckets(model.transform(table), "v_bucket")
+    assert {r["v_bucket"] for r in used.collect()} == {1, 2, 3, None}
 
 
 def test_column_without_values(spark):

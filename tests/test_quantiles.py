@@ -142,7 +142,8 @@ def test_sketch_error_falls_as_it_grows(load):
 
 
 def test_aggregates_share_a_row(spark):
-    table = spark.createDataFrame([(1.0, None), (2.0, None), (float("nan"), None)], "a double, b double")
+    rows = [(1.0, None), (2.0, None), (float("nan"), None)]
+    table = spark.createDataFrame(rows, "a double, b double")
     row = q.aggregate(
         table.repartition(3),
         q.QuantileSketch("a", [0.5, 1.0], 100),

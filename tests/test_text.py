@@ -130,9 +130,9 @@ def pairs_by_hand(rows, vocabulary):
 
 
 def test_all_transforms_by_hand(spark, load):
-    rows = load("documents").select("doc_id", "text").union(
-        spark.createDataFrame([(-1, ""), (-2, "  "), (-3, "unseenterm")], "doc_id long, text string")
-    )
+    odd = [(-1, ""), (-2, "  "), (-3, "unseenterm")]
+    rows = load("documents").select("doc_id", "text")
+    rows = rows.union(spark.createDataFrame(odd, "doc_id long, text string"))
     tokens = q.Tokenizer().transform(rows).persist()
     fitted_on = tokens.filter("doc_id >= 0")
     model = q.CountVectorizer(vocab_size=400, min_df=2).fit(fitted_on)
@@ -173,11 +173,11 @@ def test_too_large_for_the_driver(spark, monkeypatch):
 
 def test_one_term_filling_a_third_of_the_corpus(spark):
     """A hot term and many copies of one document give whole counts."""
+    hot = F.array_repeat(F.lit("hot"), 20)
+    rare = F.array(F.concat(F.lit("t"), (F.col("id") % 50).cast("string")))
     rows = spark.range(3000).select(
         F.col("id").alias("doc_id"),
-        F.when(
-            F.col("id") % 3 == 0, F.array_repeat(F.lit("hot"), 20)
-        ).otherwise(F.array(F.concat(F.lit("t"), (F.col("id") % 50).cast("string")))).alias("tokens"),
+        F.when(F.col("id") % 3 == 0, hot).otherwise(rare).alias("tokens"),
     )
     model = q.CountVectorizer(vocab_size=10).fit(rows)
     top = model.vocabulary.orderBy("term_index").first()
