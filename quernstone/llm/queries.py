@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import simhash
+from quernstone.llm import bpe, mixing, pii, quality, simhash
 from quernstone.llm.ship import workers_see_package
 from quernstone.plans.registry import Plans, table
 
@@ -16,6 +18,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@PLANS.add(None)
+def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
 @PLANS.add(None)
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@PLANS.add(None)
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(pii.find(documents(spark, sf_dir)))
+
+
+@PLANS.add(None)
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN))
+
+
+@PLANS.add(None)
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = quality.in_fold(F.col("doc_id"), quality.FOLDS, 0).alias("held_out")
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out, "score", predicted)
