@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, mixing, pii, quality, simhash
+from quernstone.llm import bpe, mixing, pii, quality, simhash, substring, tokenfile
 from quernstone.llm.ship import workers_see_package
 from quernstone.plans.registry import Plans, table
 
@@ -41,6 +41,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN))
 
 
+@PLANS.add(None)
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    shards, _ = tokenfile.token_file(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read_tokens(docs.schema["doc_id"].dataType.simpleString(), shards)
+
+
+@PLANS.add(None)
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.deduplicate(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @PLANS.add(None)
 def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
