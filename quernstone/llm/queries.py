@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, mixing, pii, quality, simhash, substring, tokenfile
+from quernstone.llm import bpe, mih, mixing, pii, quality, simhash, substring, tokenfile, topk
+from quernstone.llm.blocks import usable
 from quernstone.llm.ship import workers_see_package
 from quernstone.plans.registry import Plans, table
 
@@ -41,6 +42,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN))
 
 
+@PLANS.add(None)
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_see_package(spark)
+    vectors = usable(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 @PLANS.add(None)
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -48,6 +56,13 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(docs.schema["doc_id"].dataType.simpleString(), shards)
 
 
+@PLANS.add(None)
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_see_package(spark)
+    vectors = usable(table(spark, sf_dir, "embeddings")).filter(F.exists("v", lambda x: x != 0))
+    return mih.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @PLANS.add(None)
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.deduplicate(documents(spark, sf_dir))
