@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, mih, mixing, pii, quality, simhash, substring, tokenfile, topk
+from quernstone.llm import bpe, lm, mih, mixing, pii, quality, simhash, substring, tokenfile, topk
 from quernstone.llm.blocks import usable
 from quernstone.llm.ship import workers_see_package
 from quernstone.plans.registry import Plans, table
@@ -76,3 +76,11 @@ def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = quality.in_fold(F.col("doc_id"), quality.FOLDS, 0).alias("held_out")
     predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     return scored.select("doc_id", held_out, "score", predicted)
+
+
+@PLANS.add(None)
+def op10_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.in_fold(F.col("doc_id"), 7, 2)
+    scored = lm.score(documents(spark, sf_dir).withColumn("train", ~held_out))
+    rest = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), *rest)
