@@ -275,11 +275,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(scan, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a table of ``encode``."""
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a table of ``encode``, and the ids if asked for."""
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )
