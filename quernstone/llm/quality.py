@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SA
         return pa.table({"shares": [model.shares.tobytes()], "constant": [model.constant - float(odds)]})
 
     bounded = rows.mapInArrow(gather, "label int, buckets binary, counts binary").limit(2 * sample)
-    learned = bounded.groupBy(F.lit(0)).applyInArrow(learn, "shares binary, constant double").first()
+    bounded = bounded.withColumn("sample", F.col("label") * 0)  # one bounded group
+    learned = bounded.groupBy("sample").applyInArrow(learn, "shares binary, constant double").first()
     if learned is None:
         return Model(shares, odds)
     return Model(np.frombuffer(learned["shares"], np.float32), learned["constant"] + odds)
