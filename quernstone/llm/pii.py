@@ -211,12 +211,13 @@ def counted(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with each span replaced by its kind in brackets; overlapping spans by one.
+    """The rows of ``docs`` with each span replaced by its kind in brackets; overlapping spans by one,
+    the kind of the first and then longest.
 
     Texts without a span, null ones among them, stay as they are.
     """
     found = find(docs, into="_spans", **options)
-    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"], x["end"], x["kind"])))
+    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"], -x["end"], x["end"], x["kind"])))
     found = found.withColumn("_spans", ordered)
     reach = _scan(F.transform("_spans", lambda x: x["end"]), F.greatest)
     found = found.withColumn("_reach", F.when(F.size("_spans") > 0, reach))

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import quality
 from quernstone.llm.queries import PLANS
@@ -70,5 +71,5 @@ def test_missing_labels(spark, edges):
 
 
 def test_fold(spark):
-    rows = spark.range(50).select("id", quality.in_fold(spark.range(50).id, 5, 0).alias("held"))
+    rows = spark.range(50).select("id", quality.in_fold(F.col("id"), 5, 0).alias("held"))
     assert all(r.held == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows.collect())
