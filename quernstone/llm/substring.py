@@ -33,7 +33,7 @@ WINDOW = 50
 
 # Rows of the sketch, and cells of a row: four per byte of six of text, within these powers of two.
 ROWS = 2
-LEAST_BITS, MOST_BITS = 16, 28
+LEAST_BITS, MOST_BITS = 16, 29
 # Cells merged in one task.
 RANGE_BITS = 22
 
@@ -164,12 +164,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"hash long, check int, doc_id {kind}, text_key int, place int"
-    proposed = cut(docs.mapInArrow(propose, schema), "windows")
+    # Proposed twice, which costs less than keeping them.
+    proposed = docs.mapInArrow(propose, schema)
     groups = proposed.groupBy("hash", "check").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls")
     )
     groups = groups.filter(F.col("least").isNotNull() & (F.col("nulls") | (F.col("least") < F.col("most"))))
-    groups = groups.select(F.col("hash").alias("_hash"), F.col("check").alias("_check"), "least")
+    # Written, so that both sides of the join are shuffled and Spark can split a hot window.
+    groups = cut(groups.select(F.col("hash").alias("_hash"), F.col("check").alias("_check"), "least"), "windows")
     again = proposed.join(groups, (F.col("hash") == F.col("_hash")) & (F.col("check") == F.col("_check")))
     again = again.filter(F.col("doc_id").isNull() | (F.col("least") < F.col("doc_id")))
     gathered = again.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
