@@ -91,8 +91,21 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The words of the model and those held, from a table of counts.
+
+    As many of the most frequent words are held as whole classes of counts fit into HELD_WORDS; the
+    classes are eighths of a power of two, so their sizes are few and no task ranks all words.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "hash").limit(HELD_WORDS).toPandas()  # bounded by HELD_WORDS
+    level = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundreds
+        held += row["count"]
+        if held > HELD_WORDS:
+            break
+        least = row["level"]
+    top = counts.filter(level >= least) if least is not None else counts.limit(0)
+    top = top.toPandas().sort_values(["n", "hash"], ascending=[False, True])  # HELD_WORDS at most
     hashes, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     known = min(MODEL_WORDS, len(n))
     number = np.minimum(np.arange(len(n)), known)
