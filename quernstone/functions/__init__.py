@@ -14,7 +14,6 @@ from quernstone.functions.text import (
     run_lengths,
     run_starts,
     split_body,
-    term_flags,
     token_body,
 )
 
@@ -34,7 +33,6 @@ __all__ = [
     "sketch_size",
     "split_body",
     "standardised",
-    "term_flags",
     "token_body",
     "unless_missing",
 ]

@@ -12,8 +12,15 @@ THRESHOLD_DIGITS = 8
 
 
 def hash_key(seed: int, *key: str) -> Column:
-    """32 hex digits that order rows pseudo-randomly, the same on every run."""
-    parts = [F.col(k).cast("string") for k in key]
+    """32 hex digits that order rows pseudo-randomly, the same on every run.
+
+    Each part goes in with its length, and a null as a mark, so different keys differ. A null key is
+    one key: its rows share a hash.
+    """
+    parts = []
+    for k in key:
+        text = F.col(k).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from fractions import Fraction
 from math import ceil
 
-# Bounds of the sketch size derived from a relative error.
-MIN_SKETCH_SIZE = 10
-MAX_SKETCH_SIZE = 10_000
+# The sizes that Spark's sketch accepts, and its published error curve.
+LEAST_SKETCH_SIZE = 8
+MOST_SKETCH_SIZE = 65_535
+ERROR_FACTOR = 2.296
+ERROR_POWER = 0.9021
 
 
 def even_probabilities(num_buckets: int) -> list[float]:
@@ -17,11 +19,30 @@ def even_probabilities(num_buckets: int) -> list[float]:
     return [i / num_buckets for i in range(1, num_buckets)]
 
 
+def sketch_error(size: int) -> float:
+    """Rank error, as a share of the rows, that a sketch of this size keeps with 99% confidence."""
+    return ERROR_FACTOR / size**ERROR_POWER
+
+
 def sketch_size(relative_error: float) -> int:
-    """Sketch size for a wanted relative error, within the fixed bounds."""
+    """Smallest sketch size whose rank error is within ``relative_error`` with 99% confidence."""
     if not 0 < relative_error <= 1:
         raise ValueError("relative_error must lie in (0, 1]")
-    return min(MAX_SKETCH_SIZE, max(MIN_SKETCH_SIZE, int(1 / relative_error)))
+    size = max(LEAST_SKETCH_SIZE, ceil((ERROR_FACTOR / relative_error) ** (1 / ERROR_POWER)))
+    if size > MOST_SKETCH_SIZE:
+        least = sketch_error(MOST_SKETCH_SIZE)
+        raise ValueError(
+            f"no sketch keeps an error of {relative_error}: the least is {least:.3g}; "
+            "use the summary or exact quantiles"
+        )
+    return size
+
+
+def check_sketch_size(size: int) -> int:
+    """The size, if Spark has sketches of it."""
+    if not LEAST_SKETCH_SIZE <= size <= MOST_SKETCH_SIZE:
+        raise ValueError(f"sketch sizes are {LEAST_SKETCH_SIZE} to {MOST_SKETCH_SIZE}, not {size}")
+    return size
 
 
 def rank_of(probability: float, n: int) -> int:

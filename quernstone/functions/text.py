@@ -31,18 +31,8 @@ def split_body(text: Column, body: Column) -> Column:
     return F.when((body == "") & (text != ""), none).otherwise(F.split(body, r"\s"))
 
 
-def term_flags(ordered: Column) -> Column:
-    """Of a sorted token array: each token with its predecessor, as ``array<struct<term, before>>``.
-
-    A row whose predecessor differs starts a new term of that document.
-    """
-    nothing = F.array(F.lit(None).cast("string"))
-    before = F.slice(F.concat(nothing, ordered), 1, F.size(ordered))
-    return F.arrays_zip(ordered.alias("term"), before.alias("before"))
-
-
 def run_starts(ordered: Column) -> Column:
-    """Of a sorted token array: the 0-based positions at which a new term begins."""
+    """Of a sorted token array without nulls: the 0-based positions at which a new term begins."""
     positions = F.sequence(F.lit(0), F.size(ordered) - 1)
     fresh = F.filter(
         positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))

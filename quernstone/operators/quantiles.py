@@ -11,16 +11,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, IntegralType
 
 from quernstone.functions.numeric import present_sql
-from quernstone.functions.probabilities import even_probabilities, rank_of, sketch_size
+from quernstone.functions.probabilities import (
+    MOST_SKETCH_SIZE,
+    check_sketch_size,
+    even_probabilities,
+    rank_of,
+    sketch_error,
+    sketch_size,
+)
 from quernstone.functions.steps import interval_tag
-from quernstone.support.cut import cut
+from quernstone.support.cut import cut, discard
 
 # Sketch size of the first guess per ten probabilities, and the distinct values that one window
-# task may order. Spark accepts sketch sizes up to MOST_PRECISE.
+# task may order.
 GUESS_SIZE = 4096
-MOST_PRECISE = 65_535
 WINDOW_ROWS = 1_000_000
 
 # Pivots per narrowing round of a bracket with more values than that.
@@ -49,8 +56,7 @@ class _Target:
 
 def _rank_margin(size: int) -> float:
     """Four times the rank error that a sketch of this size keeps with 99% confidence."""
-    # The published error curve of the sketch.
-    return 4 * 2.296 / size**0.9021
+    return 4 * sketch_error(size)
 
 
 def _disjoint(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -76,7 +82,11 @@ def _tagged_values(df: DataFrame, columns: list[str], brackets: list[list[tuple]
 
 
 def _narrow(values: DataFrame, rank: int, entries: int, window_rows: int) -> float:
-    """The ``rank``-th value of a ``(value, cnt)`` table, cutting it down before ordering it."""
+    """The ``rank``-th value of a ``(value, cnt)`` table, cutting it down before ordering it.
+
+    Pivots are doubles; exact numbers that share one are ordered at the end.
+    """
+    exact = values.schema["value"].dataType != DoubleType()
     while entries > window_rows:
         steps = [i / PIVOTS for i in range(1, PIVOTS)]
         pivots = sorted(set(values.approxQuantile("value", steps, 1 / (4 * PIVOTS))))
@@ -92,6 +102,9 @@ def _narrow(values: DataFrame, rank: int, entries: int, window_rows: int) -> flo
                 break
             rank -= row["rows"]
         place, at_pivot = divmod(row["tag"], 2)
+        if at_pivot and exact:
+            values = values.filter(F.col("value").cast("double") == pivots[place])
+            break
         if at_pivot:
             return pivots[place]
         if place > 0:
@@ -113,18 +126,47 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact discrete quantiles of several columns; None for a column without values.
 
+    Integers and decimals are counted and ordered as such, and returned as such; all else as doubles.
+
     A sketch pass brackets every wanted rank. A counting pass then keeps the distinct values
     inside the brackets with their counts and only a total for each gap between them. Both passes
     serve all columns and probabilities and combine in every task, so a value that fills a third
     of the table travels as one count. A bracket still too large to order in one task is narrowed
     by exact counts around pivots; a rank outside its bracket is found the same way in its gap.
     """
-    names = list(columns)
+    found: dict[str, list] = {}
+    for kind, names in _by_type(df, list(columns)).items():
+        found |= _exact_of_type(df, names, kind, probabilities, guess_size, window_rows)
+    return {c: found[c] for c in columns}
+
+
+def _by_type(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Columns that can be counted in one table: by their exact type, or as doubles."""
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        kind = df.select(c).schema[0].dataType
+        if isinstance(kind, IntegralType):
+            name = "long"
+        else:
+            name = kind.simpleString() if isinstance(kind, DecimalType) else "double"
+        groups.setdefault(name, []).append(c)
+    return groups
+
+
+def _exact_of_type(
+    df: DataFrame,
+    names: list[str],
+    kind: str,
+    probabilities: Sequence[float],
+    guess_size: int,
+    window_rows: int,
+) -> dict[str, list]:
     wanted = [float(p) for p in probabilities]
-    size = min(MOST_PRECISE, guess_size * max(1, -(-len(wanted) // 10)))
+    size = min(MOST_SKETCH_SIZE, guess_size * max(1, -(-len(wanted) // 10)))
     margin = _rank_margin(size)
     bounds = [q for p in wanted for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    numbers = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(names)])
+    typed = [_number(c) if kind == "double" else F.col(c).cast(kind) for c in names]
+    numbers = df.select(*[value.alias(f"c{i}") for i, value in enumerate(typed)])
     places = [f"c{i}" for i in range(len(names))]
     guesses = sketch_quantiles(numbers, places, bounds, size)
     brackets = []
@@ -165,6 +207,7 @@ def exact_quantiles(
                     numbers, places[place], table, target, brackets[place], sizes, window_rows
                 )
     found.update(_find_together(table, ordered_here))
+    discard(table)
     return {
         c: [found[i * len(wanted) + j] for j in range(len(wanted))] for i, c in enumerate(names)
     }
@@ -209,7 +252,9 @@ def _find_apart(
             rows = rows.filter(value < brackets[bracket][0])
         gap = rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
         values = cut(gap, "quantile-gap")
-        entries = values.count()
+        found = _narrow(values, target.rank, values.count(), window_rows)
+        discard(values)
+        return found
     return _narrow(values, target.rank, entries, window_rows)
 
 
@@ -240,6 +285,9 @@ class QuantileSketch:
     quantiles: Sequence[float]
     precision: int = 100
 
+    def __post_init__(self):
+        check_sketch_size(self.precision)
+
     @property
     def name(self) -> str:
         return f"approx_quantile({self.on})"
@@ -273,8 +321,7 @@ def aggregate(df: DataFrame, *aggregates: QuantileSketch | Minimum | Maximum) ->
     for i, a in enumerate(aggregates):
         value, name = _number(a.on), f"a{i}"
         if isinstance(a, QuantileSketch):
-            # Spark accepts sketch sizes from 8.
-            size = F.lit(max(8, a.precision))
+            size = F.lit(a.precision)
             first.append(F.kll_sketch_agg_double(value, size).alias(name))
             second.append(F.kll_merge_agg_double(name, size).alias(name))
             wanted = F.array(*[F.lit(float(q)) for q in a.quantiles])
@@ -312,9 +359,10 @@ def quantiles_by(
     method: str = "exact",
     relative_error: float = 0.01,
 ) -> dict[str, list[float | None]]:
-    """Quantiles by ``exact``, ``summary`` (bounded rank error) or ``sketch`` (size 1 / error)."""
+    """Quantiles by ``exact``, ``summary`` or ``sketch``, the last two within a rank error."""
     if method == "exact":
-        return exact_quantiles(df, columns, probabilities)
+        found = exact_quantiles(df, columns, probabilities)
+        return {c: [None if v is None else float(v) for v in vs] for c, vs in found.items()}
     if method == "summary":
         return approx_quantiles(df, columns, probabilities, relative_error)
     if method == "sketch":
@@ -327,7 +375,7 @@ def quantile_table(
 ) -> DataFrame:
     """``(column_name, prob, value)``: the quantiles found, one row each."""
     rows = [
-        (c, float(p), v)
+        (c, float(p), None if v is None else float(v))
         for c, values in found.items()
         for p, v in zip(probabilities, values, strict=True)
     ]
@@ -348,9 +396,12 @@ def bin_edges(
         row = aggregate(df, sketch, Minimum(column), Maximum(column)).first()
         low, inner, high = row[f"min({column})"], row[sketch.name], row[f"max({column})"]
     else:
-        inner = quantiles_by(df, [column], probabilities, method, relative_error)[column]
-        low, high = df.agg(F.min(_number(column)), F.max(_number(column))).first()
-    return [] if low is None else [low, *inner, high]
+        # The least and the largest value are quantiles too, so no further pass is needed.
+        wanted = [0.0, *probabilities, 1.0]
+        low, *inner, high = quantiles_by(df, [column], wanted, method, relative_error)[column]
+        if method == "summary" and low is not None:
+            low, high = df.agg(F.min(_number(column)), F.max(_number(column))).first()
+    return [] if low is None else [float(e) for e in (low, *inner, high)]
 
 
 def quantile_error(
@@ -360,7 +411,7 @@ def quantile_error(
     approx: Sequence[float],
 ) -> DataFrame:
     """``(prob, exact_value, approx_value, abs_error)`` per probability."""
-    rows = list(zip(map(float, probabilities), exact, approx, strict=True))
+    rows = list(zip(*(map(float, x) for x in (probabilities, exact, approx)), strict=True))
     table = spark.createDataFrame(rows, "prob double, exact_value double, approx_value double")
     return table.withColumn("abs_error", F.abs(F.col("approx_value") - F.col("exact_value")))
 

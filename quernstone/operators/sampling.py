@@ -89,10 +89,10 @@ def sample_cuts(
         parent = [*by, "_slice"]
         slices = wanted.select(*parent).distinct()
         sliced = hashed.withColumn("_slice", F.substring("_hash", 1, digits))
-        inside = lookup_join(sliced, slices, parent, ["_hash"], size, broadcast_rows)
+        inside = lookup_join(sliced, slices, parent, size, broadcast_rows)
         counted = inside.groupBy(*parent, F.substring("_hash", 1, deeper).alias("_next")).agg(rows)
         placed = _placed(counted, parent)
-        asked = lookup_join(placed, wanted, parent, ["_next"], size, broadcast_rows)
+        asked = lookup_join(placed, wanted, parent, size, broadcast_rows)
         reached, size = cut_measured(_reached(asked).drop("_slice"), "sample-slices")
         digits = deeper
 
@@ -134,7 +134,7 @@ def nested_samples(
     rates = _rates(percents)
     cuts, size = sample_cuts(df, strata, key, rates, seed, slice_rows, broadcast_rows)
     hashed = df.withColumn("_hash", hash_key(seed, *key))
-    joined = lookup_join(hashed, cuts, list(strata), ["_hash"], size, broadcast_rows)
+    joined = lookup_join(hashed, cuts, list(strata), size, broadcast_rows)
     first = F.coalesce(
         *[F.when(F.col("_hash") <= F.col(f"cut_{p}"), F.lit(p)) for p in rates]
     )

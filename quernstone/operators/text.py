@@ -12,24 +12,18 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel as SparkCountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quernstone.functions.text import (
-    run_lengths,
-    run_starts,
-    split_body,
-    term_flags,
-    token_body,
-)
+from quernstone.functions.text import run_lengths, run_starts, split_body, token_body
 from quernstone.operators.base import FitStep, FittedStep, PlainStep, check_invalid
-from quernstone.support.cut import Size, cut_measured, measure, scratch_path
+from quernstone.support.cut import Size, cut_measured, discard, measure
 from quernstone.support.lookup import BROADCAST_BYTES, BROADCAST_ROWS
 from quernstone.support.ranking import SINGLE_TASK_ROWS, rank_rows
 
-# Largest vocabulary handed to Spark ML's vectoriser, which holds it in one row and on the driver.
-DRIVER_TERMS = 1_000_000
+# Largest vocabulary that the driver hands to every task; a larger one is joined, to the same end.
+LOCAL_TERMS = 1_000_000
 
 # Most frequent terms broadcast ahead of the shuffle join with a larger vocabulary.
 HEAD_TERMS = 100_000
@@ -74,24 +68,25 @@ class Tokenizer(PlainStep):
 def term_statistics(df: DataFrame, tokens_column: str = "tokens", min_df: int = 1) -> DataFrame:
     """``(term, tf, df)``: total count and number of documents per term, over all documents.
 
-    Sorting a document's tokens puts equal ones side by side, so one pass over them counts both;
-    the only shuffle carries partial sums by term.
+    Each document first counts its own terms, so it adds one row per distinct term; the only shuffle
+    carries partial sums by term. A null token is no term.
     """
-    ordered = df.select(F.sort_array(tokens_column).alias("_ordered"))
-    flagged = ordered.select(F.explode(term_flags(F.col("_ordered"))).alias("_t"))
-    fresh = (~F.col("_t.before").eqNullSafe(F.col("_t.term"))).cast("long")
     counted = (
-        flagged.select(F.col("_t.term").alias("term"), fresh.alias("_fresh"))
+        document_terms(df, [], tokens_column)
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sum("_fresh").alias("df"))
+        .agg(F.sum("cnt").alias("tf"), F.count(F.lit(1)).alias("df"))
     )
     return counted.filter(F.col("df") >= min_df) if min_df > 1 else counted
 
 
 def document_terms(df: DataFrame, id_columns: Sequence[str], tokens_column: str) -> DataFrame:
-    """``(id..., term, cnt)``: one row per distinct term of each document, without a shuffle."""
+    """``(id..., term, cnt)``: one row per distinct term of each document, without a shuffle.
+
+    Null tokens are left out.
+    """
     ids = list(id_columns)
-    ordered = df.select(*ids, F.sort_array(tokens_column).alias("_ordered"))
+    present = F.sort_array(F.array_compact(tokens_column))
+    ordered = df.select(*ids, present.alias("_ordered"))
     started = ordered.select(*ids, "_ordered", run_starts(F.col("_ordered")).alias("_starts"))
     terms = started.select(
         *ids, F.explode(run_lengths(F.col("_ordered"), F.col("_starts"))).alias("_t")
@@ -138,53 +133,80 @@ def top_terms(
 
 
 class CountVectorizer(FitStep):
-    """Term counts over the ``vocab_size`` most frequent terms found in ``min_df`` documents."""
+    """Term counts over the ``vocab_size`` most frequent terms found in ``min_df`` documents.
+
+    Several token columns share one vocabulary, as if a row held the tokens of all of them, and each
+    gets an output column of its own.
+    """
 
     def __init__(
         self,
-        input_column: str = "tokens",
-        output_column: str = "features",
+        input_column: str | Sequence[str] = "tokens",
+        output_column: str | Sequence[str] = "features",
         vocab_size: int = 1 << 18,
         min_df: int = 1,
     ):
         super().__init__()
         if vocab_size < 1 or min_df < 1:
             raise ValueError("vocab_size and min_df must be at least 1")
-        self.input_column = input_column
-        self.output_column = output_column
+        self.input_columns, self.output_columns = _paired(input_column, output_column)
         self.vocab_size = vocab_size
         self.min_df = min_df
 
     def _fit(self, df: DataFrame) -> CountVectorizerModel:
-        counted = term_statistics(df, self.input_column, self.min_df)
-        statistics, found = cut_measured(counted, "terms")
+        names = self.input_columns
+        if len(names) == 1:
+            tokens = df.select(F.col(names[0]).alias("_tokens"))
+        else:
+            none = F.array().cast("array<string>")
+            tokens = df.select(F.concat(*[F.coalesce(c, none) for c in names]).alias("_tokens"))
+        statistics, found = cut_measured(term_statistics(tokens, "_tokens", self.min_df), "terms")
         top = top_terms(statistics, self.vocab_size, found)
         vocabulary, size = cut_measured(top, "vocabulary")
-        return CountVectorizerModel(vocabulary, self.input_column, self.output_column, size)
+        discard(statistics)
+        return CountVectorizerModel(vocabulary, names, self.output_columns, size)
+
+
+def _paired(
+    inputs: str | Sequence[str], outputs: str | Sequence[str]
+) -> tuple[list[str], list[str]]:
+    ins = [inputs] if isinstance(inputs, str) else list(inputs)
+    outs = [outputs] if isinstance(outputs, str) else list(outputs)
+    if len(ins) != len(outs) or not ins:
+        raise ValueError("input and output columns differ in length")
+    return ins, outs
 
 
 class CountVectorizerModel(FittedStep):
     """A vocabulary kept as a table ``(term, tf, df, term_index)``, and its transforms.
 
-    ``transform`` adds ML sparse vectors, ``transform_long`` gives rows of pairs, and
-    ``transform_sparse`` gives the vectors for a vocabulary too large for ``transform``.
+    ``transform`` adds ML sparse vectors and keeps all columns; ``transform_long`` gives rows of
+    pairs. Both give the same result at every vocabulary size. A vocabulary within the measured
+    ``local_terms`` and bytes is held by every task and nothing is shuffled.
     """
 
     def __init__(
         self,
         vocabulary: DataFrame,
-        input_column: str = "tokens",
-        output_column: str = "features",
+        input_column: str | Sequence[str] = "tokens",
+        output_column: str | Sequence[str] = "features",
         size: Size | None = None,
+        local_terms: int = LOCAL_TERMS,
+        head_terms: int = HEAD_TERMS,
     ):
         super().__init__()
         self.vocabulary = vocabulary
-        self.input_column = input_column
-        self.output_column = output_column
+        self.input_columns, self.output_columns = _paired(input_column, output_column)
         measured = measure(vocabulary) if size is None else size
         self.size = measured.rows
         self.bytes = measured.bytes
-        self._vectorizer: SparkCountVectorizerModel | None = None
+        self.local_terms = local_terms
+        self.head_terms = head_terms
+        self._vectorizer = None
+
+    @property
+    def input_column(self) -> str:
+        return self.input_columns[0]
 
     def vocabulary_size(self, requested: int) -> DataFrame:
         """One row: terms asked for and terms kept."""
@@ -201,22 +223,35 @@ class CountVectorizerModel(FittedStep):
     ) -> DataFrame:
         """``(id..., term_index, cnt)``, one row per document and vocabulary term in it.
 
-        A vocabulary within the measured broadcast bounds joins without a shuffle. A larger one is
-        split: its most frequent terms are broadcast, and only the rest, in which no term can be
-        very frequent, is joined by a shuffle on the term.
+        ``df`` is read once. A vocabulary within the measured broadcast bounds joins without a
+        shuffle. Of a larger one the most frequent terms are broadcast, and only the rest, in which
+        no term can be very frequent, is joined by a shuffle on the term.
         """
-        ids = list(id_columns)
-        terms = document_terms(df, ids, self.input_column)
-        index = self.vocabulary.select("term", "term_index")
-        wanted = [*ids, "term_index", "cnt"]
+        terms = document_terms(df, list(id_columns), self.input_column)
+        indexed = self._indexed(terms, broadcast_rows, head_terms)
+        return indexed.filter(F.col("term_index").isNotNull()).drop("term").select(
+            *id_columns, "term_index", "cnt"
+        )
+
+    def _indexed(self, terms: DataFrame, broadcast_rows: int, head_terms: int) -> DataFrame:
+        """``terms`` with ``term_index``, null where the vocabulary lacks the term. No row is lost."""
+        index = self.vocabulary.select(F.col("term").alias("_known"), "term_index")
         if self.size <= broadcast_rows and self.bytes <= BROADCAST_BYTES:
-            return terms.join(F.broadcast(index), "term").select(*wanted)
-        head_rows = self._head_rows(min(head_terms, broadcast_rows))
-        head = F.broadcast(index.filter(F.col("term_index") < head_rows))
-        tail = index.filter(F.col("term_index") >= head_rows)
-        frequent = terms.join(head, "term").select(*wanted)
-        rare = terms.join(head.select("term"), "term", "left_anti").join(tail, "term")
-        return frequent.unionByName(rare.select(*wanted))
+            found = terms.join(F.broadcast(index), F.col("term") == F.col("_known"), "left")
+            return found.drop("_known")
+        rows = self._head_rows(min(head_terms, broadcast_rows))
+        head = F.broadcast(index.filter(F.col("term_index") < rows))
+        met = terms.join(head, F.col("term") == F.col("_known"), "left").drop("_known")
+        tail = self.vocabulary.filter(F.col("term_index") >= rows).select(
+            F.col("term").alias("_rare"), F.lit(True).alias("_asked"), F.col("term_index").alias("_tail_index")
+        )
+        # A term found by now asks for nothing: it is spread over the tasks by its row's hash.
+        asks = F.col("term_index").isNull() & F.col("term").isNotNull()
+        spread = F.xxhash64(*[c for c in met.columns if c != "term"], "term").cast("string")
+        asked = met.withColumn("_asks", asks).withColumn("_key", F.when(asks, F.col("term")).otherwise(spread))
+        both = (F.col("_key") == F.col("_rare")) & (F.col("_asks") == F.col("_asked"))
+        found = asked.join(tail, both, "left")
+        return found.withColumn("term_index", F.coalesce("term_index", "_tail_index")).select(met.columns)
 
     def _head_rows(self, rows: int) -> int:
         """The largest halving of ``rows`` whose terms fit the broadcast bound in bytes."""
@@ -228,42 +263,49 @@ class CountVectorizerModel(FittedStep):
         return rows
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        """Add the counts as one ML sparse vector per document."""
-        if self.size > DRIVER_TERMS or self.bytes > BROADCAST_BYTES:
-            raise ValueError(
-                f"{self.size} terms are too many for the driver; "
-                "use transform_sparse with the columns that identify a document"
-            )
+        """Add the counts as one ML sparse vector per document and token column.
+
+        Null tokens and a null token array count nothing. Neither ids nor unique rows are needed.
+        """
+        local = self.size <= self.local_terms and self.bytes <= BROADCAST_BYTES
+        for source, target in zip(self.input_columns, self.output_columns, strict=True):
+            df = self._held_vectors(df, source, target) if local else self._joined_vectors(df, source, target)
+        return df
+
+    def _held_vectors(self, df: DataFrame, source: str, target: str) -> DataFrame:
+        """By Spark ML's vectoriser over this vocabulary: counted in the row, no shuffle."""
         if self._vectorizer is None:
-            self._vectorizer = self._spark_vectorizer()
-        return self._vectorizer.transform(df)
+            rows = self.vocabulary.orderBy("term_index").select("term").toArrow()  # within the bounds
+            self._vectorizer = _spark_vectorizer(self.vocabulary.sparkSession, rows.column("term").to_pylist())
+        present = F.coalesce(F.array_compact(source), F.array().cast("array<string>"))
+        model = self._vectorizer.copy().setInputCol("_present").setOutputCol(target)
+        return model.transform(df.withColumn("_present", present)).drop("_present")
 
-    def _spark_vectorizer(self) -> SparkCountVectorizerModel:
-        """Spark ML's vectoriser over this vocabulary, which the two limits bound.
+    def _joined_vectors(self, df: DataFrame, source: str, target: str) -> DataFrame:
+        """By a join on the terms, for a vocabulary of any size.
 
-        A stored model with a placeholder vocabulary gets this one written in its place, so the
-        terms go from table to table and never one by one through Python.
+        A document becomes a row per distinct term, the first of which carries its columns; they
+        are put together again by a number given to the document here. The input is read once.
         """
-        path = scratch_path(self.vocabulary.sparkSession, "vectorizer")
-        names = (self.input_column, self.output_column)
-        SparkCountVectorizerModel.from_vocabulary([""], *names).write().save(path)
-        pairs = F.array_sort(F.collect_list(F.struct("term_index", "term")))
-        stored = self.vocabulary.agg(pairs.alias("p")).select(F.col("p.term").alias("vocabulary"))
-        stored.write.mode("overwrite").parquet(f"{path}/data")
-        return SparkCountVectorizerModel.load(path)
-
-    def transform_sparse(self, df: DataFrame, id_columns: Sequence[str]) -> DataFrame:
-        """``(id..., <output>)`` as ML sparse vectors, for a vocabulary of any size.
-
-        Documents without a vocabulary term get an empty vector.
-        """
-        ids = list(id_columns)
-        pairs = self.transform_long(df, ids).groupBy(*ids).agg(
-            F.array_sort(F.collect_list(F.struct("term_index", "cnt"))).alias("_pairs")
+        columns = df.columns
+        whole = F.struct(*[F.col(c) for c in columns])
+        numbered = df.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_whole"), F.col(source).alias("_tokens"))
+        none = F.array().cast("array<string>")
+        ordered = F.sort_array(F.array_compact(F.coalesce("_tokens", none)))
+        started = numbered.select("_row", "_whole", ordered.alias("_ordered"))
+        started = started.withColumn("_starts", run_starts(F.col("_ordered")))
+        terms = started.select(
+            "_row", "_whole", F.posexplode_outer(run_lengths(F.col("_ordered"), F.col("_starts"))).alias("_at", "_t")
+        ).select(
+            "_row",
+            F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_whole")).alias("_whole"),
+            F.col("_t.term").alias("term"),
+            F.col("_t.cnt").alias("cnt"),
         )
-        none = F.array().cast("array<struct<term_index:int,cnt:bigint>>")
-        every = df.select(*ids).join(pairs, ids, "left").withColumn(
-            "_pairs", F.coalesce("_pairs", none)
+        indexed = self._indexed(terms, self.local_terms, self.head_terms)
+        pair = F.when(F.col("term_index").isNotNull(), F.struct("term_index", "cnt"))
+        gathered = indexed.groupBy("_row").agg(
+            F.first("_whole", ignorenulls=True).alias("_whole"), F.array_sort(F.collect_list(pair)).alias("_pairs")
         )
         fields = F.struct(
             F.struct(
@@ -275,4 +317,18 @@ class CountVectorizerModel(FittedStep):
         )
         # Spark's JSON reader builds the vector type from its stored fields inside the JVM.
         vector = F.from_json(F.to_json(fields), StructType([StructField("v", VectorUDT())]))
-        return every.select(*ids, vector["v"].alias(self.output_column))
+        kept = [F.col("_whole")[c].alias(c) for c in columns if c != target]
+        return gathered.select(*kept, vector["v"].alias(target))
+
+
+def _spark_vectorizer(spark: SparkSession, terms: list[str]) -> SparkCountVectorizerModel:
+    """Spark ML's vectoriser over a list of terms, which go to the JVM as one string.
+
+    The list could also be handed over term by term, at a call for each.
+    """
+    mark = next(c for c in "\0\1\2\3" if not any(c in t for t in terms)) if terms else "\0"
+    joined = mark.join(terms)
+    split = spark._jvm.org.apache.commons.lang3.StringUtils.splitPreserveAllTokens
+    # No term at all would leave the model without a vocabulary, which Spark refuses.
+    array = split(joined, mark) if joined else SparkCountVectorizerModel._new_java_array(terms or [mark], spark._jvm.java.lang.String)
+    return SparkCountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", array)

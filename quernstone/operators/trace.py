@@ -22,6 +22,10 @@ TASK_END_SCHEMA = """
 """
 
 
+# Intervals of a stretch that one row holds at most.
+PIECE = 1 << 16
+
+
 def _task_ends(events: DataFrame) -> DataFrame:
     info, metrics = F.col("Task Info"), F.col("Task Metrics")
     return events.filter(F.col("Event") == TASK_END).select(
@@ -71,23 +75,23 @@ def utilisation(
     """``(bucket_start, busy)`` per interval of ``step``: summed time in which spans were active.
 
     ``start`` and ``end`` are whole numbers in the unit of ``step``; intervals without activity are
-    left out. A span is never unrolled over the intervals it covers: it adds one event where it
+    left out. A span that lacks an end of its time, or ends before it starts, is left out as a whole. A span is never unrolled over the intervals it covers: it adds one event where it
     starts and one where it ends, and the number of spans open at the start of an interval is a
     running sum. With ``slots`` the share of capacity in use is added as ``utilisation``.
     """
-    edge = spans.select(
+    whole = spans.select(start.cast("long").alias("_start"), end.cast("long").alias("_end"))
+    edge = whole.filter("_start <= _end").select(
         F.explode(
             F.array(
-                F.struct(start.cast("long").alias("at"), F.lit(1).alias("sign")),
-                F.struct(end.cast("long").alias("at"), F.lit(-1).alias("sign")),
+                F.struct(F.col("_start").alias("at"), F.lit(1).alias("sign")),
+                F.struct(F.col("_end").alias("at"), F.lit(-1).alias("sign")),
             )
         ).alias("_e")
     ).select("_e.*")
     bucket = F.floor(F.col("at") / F.lit(step)).cast("long")
     rest = (bucket + 1) * F.lit(step) - F.col("at")
     events = (
-        edge.filter(F.col("at").isNotNull())
-        .groupBy(bucket.alias("bucket"))
+        edge.groupBy(bucket.alias("bucket"))
         .agg(
             F.sum("sign").cast("long").alias("delta"),
             F.sum(F.col("sign") * rest).cast("long").alias("part"),
@@ -97,9 +101,11 @@ def utilisation(
     # Until the next event, every interval has the spans open after this one.
     after = F.col("open") + F.col("delta")
     last = F.when((after > 0) & F.col("next").isNotNull(), F.col("next") - 1)
-    filled = opened.select(
-        "*", F.explode(F.sequence("bucket", F.coalesce(last, F.col("bucket")))).alias("at")
-    )
+    # A long stretch is cut into pieces first, so that no row holds all its intervals.
+    until = opened.withColumn("until", F.coalesce(last, F.col("bucket")))
+    pieces = until.withColumn("piece", F.explode(F.sequence("bucket", "until", F.lit(PIECE))))
+    piece_end = F.least(F.col("piece") + F.lit(PIECE - 1), F.col("until"))
+    filled = pieces.withColumn("at", F.explode(F.sequence("piece", piece_end)))
     partial = F.col("open") * F.lit(step) + F.col("part")
     busy = F.when(F.col("at") == F.col("bucket"), partial).otherwise(after * F.lit(step))
     result = filled.select(

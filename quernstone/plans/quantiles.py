@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernstone.functions.keys import hash_threshold
-from quernstone.functions.probabilities import even_probabilities, sketch_size
+from quernstone.functions.probabilities import (
+    MOST_SKETCH_SIZE,
+    even_probabilities,
+    sketch_size,
+)
 from quernstone.operators.quantiles import (
     Maximum,
     Minimum,
@@ -20,7 +23,6 @@ from quernstone.operators.quantiles import (
     rank_error,
     sketch_quantiles,
 )
-from quernstone.operators.sampling import hash_sample
 from quernstone.plans.registry import Plans, table
 
 PLANS = Plans()
@@ -90,44 +92,109 @@ def bin_edges_exact(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(edges)), "place int, edge double")
 
 
-_SAMPLED = f"""
-    SELECT value FROM events
-    WHERE substring(md5(concat_ws('|', '7', CAST(event_id AS VARCHAR))), 1, 8)
-          < '{hash_threshold(15)}'
-"""
-_ERRORS = f"""
-    errors AS (
-        SELECT prob, exact_value, approx_value, abs(approx_value - exact_value) AS abs_error
-        FROM (SELECT unnest({DECILES}::DOUBLE[]) AS prob,
-                     unnest(quantile_disc(value, {DECILES})) AS exact_value FROM events)
-        JOIN (SELECT unnest({DECILES}::DOUBLE[]) AS prob,
-                     unnest(quantile_disc(value, {DECILES})) AS approx_value FROM ({_SAMPLED}))
-        USING (prob)
-    )
+_EXACT = f"""
+    (SELECT unnest({DECILES}::DOUBLE[]) AS prob,
+            unnest(quantile_disc(value, {DECILES})) AS exact_value FROM events)
 """
+REPORT_ERROR = 0.001
 
 
-def _errors(spark, sf_dir):
-    """Quantiles of a repeatable 15% sample against those of the whole table."""
+def _approximations(spark, sf_dir):
+    """Exact deciles of all events, and both approximations of them."""
     events = table(spark, sf_dir, "events")
     exact = exact_quantiles(events, ["value"], DECILES)["value"]
-    sampled = exact_quantiles(hash_sample(events, ["event_id"], 15, 7), ["value"], DECILES)["value"]
-    return quantile_error(spark, DECILES, exact, sampled)
+    summary = approx_quantiles(events, ["value"], DECILES, REPORT_ERROR)["value"]
+    sketch = sketch_quantiles(events, ["value"], DECILES, sketch_size(REPORT_ERROR))["value"]
+    return events, exact, {"summary": summary, "sketch": sketch}
 
 
 @PLANS.add(
     f"""
-    WITH {_ERRORS} SELECT prob, exact_value, approx_value, round(abs_error, 6) AS abs_error
-    FROM errors
+    SELECT method, prob, exact_value, TRUE AS within_bound, TRUE AS error_is_difference
+    FROM {_EXACT}, (SELECT unnest(['summary', 'sketch']) AS method)
     """
 )
 def quantile_error_report(spark, sf_dir):
-    return _errors(spark, sf_dir).withColumn("abs_error", F.round("abs_error", 6))
+    """Summary and sketch of the whole column against its exact quantiles.
+
+    The values of a sketch differ from run to run; its rank error is checked instead.
+    """
+    events, exact, found = _approximations(spark, sf_dir)
+    parts = []
+    for method, approx in found.items():
+        errors = quantile_error(spark, DECILES, exact, approx)
+        ranks = rank_error(events, "value", DECILES, approx).select("prob", "rank_error")
+        difference = F.abs(F.col("abs_error") - F.abs(F.col("approx_value") - F.col("exact_value"))) < 1e-12
+        parts.append(
+            errors.join(ranks, "prob").select(
+                F.lit(method).alias("method"),
+                "prob",
+                "exact_value",
+                (F.col("rank_error") <= REPORT_ERROR).alias("within_bound"),
+                difference.alias("error_is_difference"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def _full_sketch_errors(spark, sf_dir):
+    """A sketch that holds every value of up to twice its size has the exact quantiles."""
+    events = table(spark, sf_dir, "events")
+    exact = exact_quantiles(events, ["value"], DECILES)["value"]
+    sketch = sketch_quantiles(events, ["value"], DECILES, MOST_SKETCH_SIZE)["value"]
+    return quantile_error(spark, DECILES, exact, sketch)
+
+
+@PLANS.add(
+    f"SELECT prob, exact_value, exact_value AS approx_value, 0::DOUBLE AS abs_error FROM {_EXACT}"
+)
+def quantile_error_full_sketch(spark, sf_dir):
+    """Without error while the rows are no more than the sketch holds."""
+    return _full_sketch_errors(spark, sf_dir)
 
 
-@PLANS.add(f"WITH {_ERRORS} SELECT round(avg(abs_error), 6) AS mae FROM errors")
+@PLANS.add("SELECT 0::DOUBLE AS mae FROM events LIMIT 1")
 def quantile_mean_error(spark, sf_dir):
-    return mean_absolute_error(_errors(spark, sf_dir)).select(F.round("mae", 6).alias("mae"))
+    return mean_absolute_error(_full_sketch_errors(spark, sf_dir))
+
+
+SKETCH_ERRORS = [0.05, 0.01, 0.001]
+
+
+@PLANS.add(
+    f"""
+    SELECT error, prob, TRUE AS within_bound FROM (SELECT unnest({SKETCH_ERRORS}::DOUBLE[]) AS error),
+         (SELECT unnest({DECILES}::DOUBLE[]) AS prob)
+    """
+)
+def sketch_error_bounds(spark, sf_dir):
+    """Sketches of the sizes derived from three errors keep them."""
+    events = table(spark, sf_dir, "events")
+    parts = []
+    for error in SKETCH_ERRORS:
+        found = sketch_quantiles(events, ["value"], DECILES, sketch_size(error))["value"]
+        ranks = rank_error(events, "value", DECILES, found)
+        kept = (F.col("rank_error") <= error).alias("within_bound")
+        parts.append(ranks.select(F.lit(error).alias("error"), "prob", kept))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_LARGE = 1 << 53
+
+
+@PLANS.add(
+    f"""
+    SELECT 'large_id' AS column_name, unnest({[0.0, *DECILES, 1.0]}::DOUBLE[]) AS prob,
+           unnest(quantile_disc(event_id * 3 + {_LARGE}, {[0.0, *DECILES, 1.0]})) AS value FROM events
+    """
+)
+def exact_quantiles_large_integers(spark, sf_dir):
+    """Integers that no double holds."""
+    rows = table(spark, sf_dir, "events").select((F.col("event_id") * 3 + _LARGE).alias("large_id"))
+    wanted = [0.0, *DECILES, 1.0]
+    found = exact_quantiles(rows, ["large_id"], wanted)["large_id"]
+    pairs = [("large_id", p, v) for p, v in zip(wanted, found, strict=True)]
+    return spark.createDataFrame(pairs, "column_name string, prob double, value long")
 
 
 @PLANS.add(None)
@@ -166,13 +233,21 @@ def approx_quantiles_kll_bound(spark, sf_dir):
     return _bounded(spark, sf_dir, found, 0.02)
 
 
-@PLANS.add(None)
+@PLANS.add(
+    f"""
+    SELECT unnest({DECILES}::DOUBLE[]) AS prob, low, high, TRUE AS within_bound
+    FROM (SELECT min(value) AS low, max(value) AS high FROM events)
+    """
+)
 def aggregate_one_pass(spark, sf_dir):
-    """Two sketches of different precision, minimum and maximum, in one scan."""
-    found = aggregate(
-        table(spark, sf_dir, "events"),
-        QuantileSketch("value", DECILES, 10_000),
-        Minimum("value"),
-        Maximum("value"),
+    """A sketch, minimum and maximum in one scan; the sketch's values are checked by their rank."""
+    events = table(spark, sf_dir, "events")
+    sketch = QuantileSketch("value", DECILES, sketch_size(0.01))
+    row = aggregate(events, sketch, Minimum("value"), Maximum("value")).first()
+    ranks = rank_error(events, "value", DECILES, row[sketch.name])
+    return ranks.select(
+        "prob",
+        F.lit(row["min(value)"]).alias("low"),
+        F.lit(row["max(value)"]).alias("high"),
+        (F.col("rank_error") <= 0.01).alias("within_bound"),
     )
-    return found.toDF("quantiles", "low", "high")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +35,9 @@ class Plans(dict[str, Plan]):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def micros(column: str) -> Column:
+    """Microseconds of a time without zone, whatever the zone of the session."""
+    local = F.col(column).cast("timestamp")
+    return F.unix_micros(F.from_utc_timestamp(local, F.current_timezone()))

@@ -6,8 +6,14 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.features import FeatureAssembler, cached, project, row_count
 from quernstone.operators.scaling import StandardScaler
-from quernstone.plans.registry import Plans, table
-from quernstone.sources.tables import csv_to_parquet, read_parquet, write_parquet
+from quernstone.plans.registry import Plans, micros, table
+from quernstone.sources.tables import (
+    CSV_TIMES,
+    csv_to_parquet,
+    read_parquet,
+    write_csv,
+    write_parquet,
+)
 from quernstone.support.cut import scratch_path
 
 PLANS = Plans()
@@ -74,20 +80,36 @@ def cached_refit(spark, sf_dir):
     )
 
 
-_EVENTS = "event_id long, user_id long, event_type string, value double"
-
-
 @PLANS.add(
-    "SELECT event_id, user_id, event_type, CASE WHEN value >= 1 THEN value END AS value FROM events"
+    """
+    SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, props,
+           CASE WHEN value >= 1 THEN value END AS value
+    FROM events
+    """
 )
 def csv_conversion(spark, sf_dir):
-    """Write events as CSV with missing values, convert that to Parquet, read it back."""
-    rows = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", F.expr("CASE WHEN value >= 1 THEN value END AS value")
-    )
+    """Write all of events as CSV with missing values, convert that to Parquet, read it back."""
+    rows = table(spark, sf_dir, "events").withColumn("value", F.expr("CASE WHEN value >= 1 THEN value END"))
     csv_path = scratch_path(spark, "events-csv")
-    rows.write.csv(csv_path, header=True, nullValue="NA")
-    return csv_to_parquet(spark, csv_path, scratch_path(spark, "events"), _EVENTS)
+    write_csv(rows, csv_path)
+    back = csv_to_parquet(spark, csv_path, scratch_path(spark, "events"), rows.schema, **CSV_TIMES)
+    return back.withColumn("ts_us", micros("ts")).drop("ts")
+
+
+@PLANS.add(
+    """
+    SELECT doc_id, n_chars, lang, source, md5(concat(text, ' "said", ', chr(10), lang)) AS text_md5 FROM documents
+    """
+)
+def csv_quoted_texts(spark, sf_dir):
+    """Whole texts with quotes, separators and line breaks by way of CSV."""
+    quoted = F.concat("text", F.lit(' "said", \n'), "lang").alias("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", quoted, "lang", "source", "n_chars")
+    csv_path = scratch_path(spark, "documents-csv")
+    write_csv(rows, csv_path)
+    path = scratch_path(spark, "documents")
+    back = csv_to_parquet(spark, csv_path, path, rows.schema, multi_line=True)
+    return back.select("doc_id", "n_chars", "lang", "source", F.md5("text").alias("text_md5"))
 
 
 @PLANS.add(

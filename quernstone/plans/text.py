@@ -9,6 +9,7 @@ from quernstone.operators.text import (
     CountVectorizer,
     CountVectorizerModel,
     Tokenizer,
+    document_terms,
     term_statistics,
     top_terms,
 )
@@ -182,9 +183,119 @@ def count_vector_sparse(spark, sf_dir):
 
 @PLANS.add(_LONG)
 def count_vector_sparse_any_size(spark, sf_dir):
-    """ML sparse vectors assembled from the long form, as for a vocabulary of any size."""
-    model = _model(spark, sf_dir)
-    return _unpacked(model.transform_sparse(_tokens(spark, sf_dir), ["doc_id"]))
+    """ML sparse vectors by the join on terms, as for a vocabulary of any size."""
+    return _unpacked(_joined(_model(spark, sf_dir)).transform(_tokens(spark, sf_dir)))
+
+
+def _joined(model):
+    """The same vocabulary, too large to be held: most frequent terms first, the rest shuffled."""
+    return CountVectorizerModel(
+        model.vocabulary, model.input_columns, model.output_columns, local_terms=100, head_terms=50
+    )
+
+
+def _repeated_ids(rows):
+    """Documents of which some lack an id, some share one, and some have no token."""
+    number = F.col("doc_id")
+    key = F.when(number % 5 != 0, F.floor(number / 3))
+    tokens = F.when(number % 17 != 0, F.col("tokens"))
+    return rows.select(number.alias("doc_no"), key.alias("doc_key"), tokens.alias("tokens"))
+
+
+def _vector_digest(vectors, *columns):
+    """The columns, and size, terms and sum of the counts of each vector."""
+    stored = F.unwrap_udt("features")
+    total = F.aggregate(stored["values"], F.lit(0.0), lambda a, b: a + b)
+    return vectors.select(
+        *columns,
+        stored["size"].alias("size"),
+        F.size(stored["indices"]).alias("n_terms"),
+        total.cast("long").alias("n_tokens"),
+    )
+
+
+_DIGEST = f"""
+    {_VOCABULARY}, found AS (
+        SELECT doc_id, CAST(count(DISTINCT term_index) AS INTEGER) AS n_terms, count(*) AS n_tokens
+        FROM words JOIN vocabulary USING (term) WHERE doc_id % 17 <> 0 GROUP BY doc_id
+    )
+    SELECT doc_id AS doc_no, CASE WHEN doc_id % 5 <> 0 THEN doc_id // 3 END AS doc_key,
+           CAST((SELECT count(*) FROM vocabulary) AS INTEGER) AS size,
+           coalesce(n_terms, 0) AS n_terms, coalesce(n_tokens, 0) AS n_tokens
+    FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
+@PLANS.add(_DIGEST)
+def count_vector_sparse_ids(spark, sf_dir):
+    """Every document gets its vector, whatever its id: null, repeated, or without a known term."""
+    rows = _repeated_ids(_tokens(spark, sf_dir))
+    return _vector_digest(_model(spark, sf_dir).transform(rows), "doc_no", "doc_key")
+
+
+@PLANS.add(_DIGEST)
+def count_vector_sparse_ids_joined(spark, sf_dir):
+    rows = _repeated_ids(_tokens(spark, sf_dir))
+    return _vector_digest(_joined(_model(spark, sf_dir)).transform(rows), "doc_no", "doc_key")
+
+
+_NULLED = f"""
+    WITH {_TOKENS},
+    marked AS (SELECT doc_id, term FROM words WHERE term NOT LIKE 't%')
+"""
+
+
+def _nulled_tokens(spark, sf_dir):
+    """Tokens of which those with a leading t are null."""
+    kept = F.transform("tokens", lambda t: F.when(~t.startswith("t"), t))
+    return _tokens(spark, sf_dir).select("doc_id", kept.alias("tokens"))
+
+
+@PLANS.add(
+    f"{_NULLED} SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM marked GROUP BY term"
+)
+def token_statistics_with_nulls(spark, sf_dir):
+    """Null tokens are no terms and change no other count."""
+    return term_statistics(_nulled_tokens(spark, sf_dir))
+
+
+@PLANS.add(f"{_NULLED} SELECT doc_id, term, count(*) AS cnt FROM marked GROUP BY doc_id, term")
+def document_terms_with_nulls(spark, sf_dir):
+    return document_terms(_nulled_tokens(spark, sf_dir), ["doc_id"], "tokens")
+
+
+@PLANS.add(
+    f"""
+    WITH {_TOKENS},
+    both_columns AS (
+        SELECT doc_id, 0 AS part, term FROM words
+        UNION ALL SELECT doc_id, 1, source FROM documents WHERE source IS NOT NULL
+        UNION ALL SELECT doc_id, 1, lang FROM documents WHERE lang IS NOT NULL
+    ),
+    terms AS (
+        SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM both_columns GROUP BY term
+    ),
+    {_vocabulary(VOCAB_SIZE, MIN_DF)},
+    counted AS (
+        SELECT doc_id, count(*) FILTER (part = 0) AS n_words, count(*) FILTER (part = 1) AS n_tags
+        FROM both_columns JOIN vocabulary USING (term) GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_tags, 0) AS n_tags
+    FROM documents LEFT JOIN counted USING (doc_id)
+    """
+)
+def count_vector_two_columns(spark, sf_dir):
+    """Two token columns, one vocabulary, a vector for each."""
+    rows = table(spark, sf_dir, "documents")
+    tokens = Tokenizer().transform(rows).select("doc_id", "tokens", F.array("source", "lang").alias("tags"))
+    step = CountVectorizer(["tokens", "tags"], ["features", "tag_features"], VOCAB_SIZE, MIN_DF)
+    vectors = step.fit_transform(tokens)
+
+    def total(column):
+        values = F.unwrap_udt(column)["values"]
+        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b).cast("long")
+
+    return vectors.select("doc_id", total("features").alias("n_words"), total("tag_features").alias("n_tags"))
 
 
 @PLANS.add(

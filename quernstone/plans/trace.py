@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.operators.trace import TASK_END, parse_task_ends, task_overhead, utilisation
-from quernstone.plans.registry import Plans, table
+from quernstone.plans.registry import Plans, micros, table
 
 PLANS = Plans()
 
@@ -22,14 +22,12 @@ _SPANS = """
 
 
 def _millis(column: str):
-    """Milliseconds of a time without zone, whatever the zone of the session."""
-    local = F.col(column).cast("timestamp")
-    return F.unix_millis(F.from_utc_timestamp(local, F.current_timezone()))
+    return F.floor(micros(column) / 1000).cast("long")
 
 
-def _utilisation_sql(step: int, slots: int) -> str:
+def _utilisation_sql(step: int, slots: int, spans: str = _SPANS) -> str:
     return f"""
-        WITH {_SPANS}, parts AS (
+        WITH {spans}, parts AS (
             SELECT s, e, unnest(range(s // {step}, e // {step} + 1)) AS b FROM spans
         )
         SELECT b * {step} AS bucket_start,
@@ -58,6 +56,35 @@ def utilisation_by_minute(spark, sf_dir):
     return _utilisation(spark, sf_dir, MINUTE, 4)
 
 
+# Some spans lack an end, some end before they start, and one covers over a million intervals.
+_BROKEN = f"""
+    {_SPANS.replace("spans AS", "sound AS")},
+    spans AS (
+        SELECT CASE WHEN k % 11 = 0 THEN NULL ELSE s END AS s,
+               CASE WHEN k % 7 = 0 THEN NULL WHEN k % 13 = 0 THEN s - 5000
+                    WHEN k = (SELECT min(event_id) + 1 FROM events) THEN s + {1_100_000 * MINUTE}
+                    ELSE e END AS e
+        FROM (SELECT event_id AS k, epoch_us(ts) // 1000 AS s,
+                     epoch_us(ts) // 1000 + CAST(ceil(value) AS BIGINT) * 1000 AS e FROM events)
+    )
+"""
+
+
+@PLANS.add(_utilisation_sql(MINUTE, 4, _BROKEN).replace("FROM spans", "FROM spans WHERE s <= e"))
+def utilisation_broken_spans(spark, sf_dir):
+    """Spans without a start or an end, reversed ones, and one over more than 10^6 intervals."""
+    rows = table(spark, sf_dir, "events")
+    least = rows.agg(F.min("event_id")).first()[0] or 0
+    k, start = F.col("event_id"), _millis("ts")
+    end = (
+        F.when(k % 7 == 0, F.lit(None))
+        .when(k % 13 == 0, start - 5000)
+        .when(k == least + 1, start + 1_100_000 * MINUTE)
+        .otherwise(start + F.ceil("value").cast("long") * 1000)
+    )
+    return utilisation(rows, F.when(k % 11 != 0, start), end, MINUTE, 4)
+
+
 @PLANS.add(
     """
     SELECT CAST(user_id % 50 AS INTEGER) AS stage, count(*) AS tasks,

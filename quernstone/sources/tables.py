@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quernstone.support.cut import scratch_path
+
 
 def read_parquet(
     spark: SparkSession,
@@ -36,10 +38,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_rates(df: DataFrame, base: str, percents: Sequence[int]) -> None:
-    """Write one table per rate, ``<base>/<rate>``, from the result of ``nested_samples``."""
+    """Write one table per rate, ``<base>/<rate>``, from the result of ``nested_samples``.
+
+    The family is computed and written once; each rate copies its partitions of it.
+    """
+    path = scratch_path(df.sparkSession, "family")
+    write_nested(df, path)
     for rate in percents:
-        sample = df.filter(F.col("first_rate") <= rate).drop("first_rate")
-        write_parquet(sample, f"{base.rstrip('/')}/{rate}")
+        write_parquet(read_nested(df.sparkSession, path, rate), f"{base.rstrip('/')}/{rate}")
 
 
 def write_nested(df: DataFrame, path: str) -> None:
@@ -55,16 +61,56 @@ def read_nested(
     return sample if columns is None else sample.select(*columns)
 
 
+# Times with all six digits of a second and their zone.
+CSV_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: StructType | str,
     null_value: str = "NA",
     header: bool = True,
+    quote: str = '"',
+    escape: str = '"',
+    multi_line: bool = False,
+    empty_value: str = "",
+    **options: str,
 ) -> DataFrame:
-    """Scan CSV files under a declared schema, so that nothing is read twice to guess types."""
-    return spark.read.schema(schema).csv(
-        path, header=header, nullValue=null_value, mode="FAILFAST", enforceSchema=False
+    """Scan CSV files under a declared schema, so that nothing is read twice to guess types.
+
+    A quote inside a quoted value is doubled, unless ``escape`` says otherwise. ``multi_line`` allows
+    line breaks in quoted values, at the price that a file is not split over tasks. Further options
+    are Spark's.
+    """
+    return spark.read.schema(schema).options(**options).csv(
+        path,
+        header=header,
+        nullValue=null_value,
+        mode="FAILFAST",
+        enforceSchema=False,
+        quote=quote,
+        escape=escape,
+        multiLine=multi_line,
+        emptyValue=empty_value,
+    )
+
+
+def write_csv(df: DataFrame, path: str, null_value: str = "NA", quote: str = '"', escape: str = '"') -> None:
+    """Write CSV files that ``read_csv`` with the times of ``CSV_TIMES`` reads back as they were."""
+    df.write.options(**CSV_TIMES).csv(
+        path,
+        header=True,
+        nullValue=null_value,
+        emptyValue="",
+        quote=quote,
+        escape=escape,
+        quoteAll=True,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )
 
 
@@ -74,7 +120,8 @@ def csv_to_parquet(
     parquet_path: str,
     schema: StructType | str,
     null_value: str = "NA",
+    **options,
 ) -> DataFrame:
-    """Convert CSV files to a Parquet table and return the table."""
-    read_csv(spark, csv_path, schema, null_value).write.parquet(parquet_path)
+    """Convert CSV files to a Parquet table and return the table. Options are those of ``read_csv``."""
+    read_csv(spark, csv_path, schema, null_value, **options).write.parquet(parquet_path)
     return spark.read.parquet(parquet_path)

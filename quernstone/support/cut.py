@@ -6,9 +6,11 @@ executor costs a re-read and never a second pass over the raw input.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,18 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables of this application."""
     root = spark.conf.get(_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set(_SETTING, root)
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/quernstone-{spark.sparkContext.applicationId}"
 
 
+@cache
+def _local_root(application: str) -> str:
+    """A folder of a local application, whose tasks all run on this machine."""
+    return tempfile.mkdtemp(prefix="quernstone-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -71,3 +78,14 @@ def cut_measured(df: DataFrame, label: str) -> tuple[DataFrame, Size]:
     counted.write.parquet(path)
     size = Size(seen.get["rows"], seen.get["bytes"])
     return spark.read.schema(df.schema).parquet(path), size
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote and that nothing will read again."""
+    spark = table.sparkSession
+    root = scratch_root(spark).split(":", 1)[-1].lstrip("/")
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        if root in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

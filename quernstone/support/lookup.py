@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.support.cut import Size, measure
+from quernstone.support.cut import Size, cut, measure
 
 # Largest table sent to every executor, as measured rows and bytes.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# A key of the large side is spread over this many tasks when the small side is shuffled.
-SALTS = 32
+# Most frequent keys of the large side that are joined without a shuffle in any case.
+HEAVY_KEYS = 1000
 
 
 def same_key(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str]) -> Column:
@@ -27,16 +27,15 @@ def lookup_join(
     large: DataFrame,
     small: DataFrame,
     on: list[str],
-    spread_by: list[str],
     size: Size | None = None,
     broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Inner join of ``large`` with ``small`` on null-safe keys.
 
     ``small`` has few rows per key. It is broadcast when its measured rows and bytes allow it;
-    without a ``size`` (its own or an upper bound) it is counted first. Otherwise both sides are
-    shuffled on the key plus a salt taken from the hash of ``spread_by``; ``small`` is repeated once
-    per salt, so that a key holding a large share of the rows is split over many tasks.
+    without a ``size`` (its own or an upper bound) it is counted first. Otherwise the most frequent keys of
+    ``large`` are found by counting, and their few rows of ``small`` are broadcast, so that only keys
+    without a large share are shuffled.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     size = measure(small) if size is None else size
@@ -45,8 +44,10 @@ def lookup_join(
     keys = list(names.values())
     if size.rows <= limit and size.bytes <= BROADCAST_BYTES:
         return large.join(F.broadcast(small), same_key(large, small, on, keys)).drop(*keys)
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    repeated = small.withColumn("_salt_copy", F.explode(copies))
-    match = same_key(salted, repeated, on + ["_salt"], keys + ["_salt_copy"])
-    return salted.join(repeated, match).drop("_salt", "_salt_copy", *keys)
+    counted = large.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    often = cut(counted.orderBy(F.desc("_n")).limit(HEAVY_KEYS).select(*on), "heavy-keys")
+    heavy = F.broadcast(small.join(F.broadcast(often), same_key(small, often, keys, on), "left_semi"))
+    frequent = large.join(heavy, same_key(large, heavy, on, keys)).drop(*keys)
+    rest = large.join(F.broadcast(often), same_key(large, often, on, on), "left_anti")
+    rare = rest.join(small, same_key(rest, small, on, keys)).drop(*keys)
+    return frequent.unionByName(rare)

@@ -11,8 +11,9 @@ from quernstone.support.cut import Size, cut
 SINGLE_TASK_ROWS = 1_000_000
 SINGLE_TASK_BYTES = 256 * 1024 * 1024
 
-# Rows per block of the two-level running sum.
+# Positions per block of the running sum, and levels of blocks.
 BLOCK = 4096
+LEVELS = 3
 
 
 def rank_rows(
@@ -62,28 +63,36 @@ def running_sum_before(
     """Add the sum of ``amount`` over all smaller positions, and the next larger position.
 
     ``position`` is an integer, unique per row. Rows are summed inside blocks of consecutive
-    positions, then over the block totals, so the only unpartitioned window has one row per block.
+    positions, blocks inside blocks of blocks and those once more, so the only unpartitioned window
+    has one row per 4096**3 positions.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(position) / BLOCK).cast("long"))
-    totals = blocked.groupBy("_block").agg(
-        F.sum(amount).alias("_total"), F.min(position).alias("_first")
+    rows = df.withColumnsRenamed({position: "_at", amount: "_amount"})
+    summed = _sums_before(rows.withColumn("_first", F.col("_at")), LEVELS)
+    return summed.select(
+        *[F.col({position: "_at", amount: "_amount"}.get(c, c)).alias(c) for c in df.columns],
+        F.col("_before").alias(total),
+        F.col("_next").alias(following),
     )
-    blocks = Window.orderBy("_block")
-    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_block",
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
-        F.lead("_first").over(blocks).alias("_next_block"),
-    )
-    inside = Window.partitionBy("_block").orderBy(position)
-    smaller = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = blocked.select(
-        "*",
-        F.coalesce(F.sum(amount).over(smaller), F.lit(0)).alias("_inside"),
-        F.lead(position).over(inside).alias("_next"),
+
+
+def _sums_before(rows: DataFrame, levels: int) -> DataFrame:
+    """Add ``_before``, the sum of ``_amount`` at smaller ``_at``, and ``_next``, the next ``_first``."""
+    if levels == 0:
+        place = Window.orderBy("_at")
+    else:
+        rows = rows.withColumn("_block", F.floor(F.col("_at") / BLOCK).cast("long"))
+        place = Window.partitionBy("_block").orderBy("_at")
+    smaller = place.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns(
+        {"_before": F.coalesce(F.sum("_amount").over(smaller), F.lit(0)), "_next": F.lead("_first").over(place)}
     )
-    return local.join(offsets, "_block").select(
-        *df.columns,
-        (F.col("_inside") + F.col("_before")).alias(total),
-        F.coalesce("_next", "_next_block").alias(following),
+    if levels == 0:
+        return local
+    blocks = rows.groupBy("_block").agg(F.sum("_amount").alias("_amount"), F.min("_first").alias("_first"))
+    above = _sums_before(blocks.withColumnRenamed("_block", "_at"), levels - 1).select(
+        F.col("_at").alias("_block"), F.col("_before").alias("_earlier"), F.col("_next").alias("_later")
     )
+    joined = local.join(above, "_block")
+    return joined.withColumns(
+        {"_before": F.col("_before") + F.col("_earlier"), "_next": F.coalesce("_next", "_later")}
+    ).drop("_block", "_earlier", "_later")

@@ -11,7 +11,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import quernstone as q
-from quernstone.functions.probabilities import even_probabilities, rank_of, sketch_size
+from quernstone.functions.probabilities import (
+    even_probabilities,
+    rank_of,
+    sketch_error,
+    sketch_size,
+)
 from quernstone.operators import quantiles as quantile_operators
 
 DECILES = even_probabilities(10)
@@ -44,7 +49,15 @@ def test_ranks():
 
 def test_probabilities_and_sketch_sizes():
     assert even_probabilities(4) == [0.25, 0.5, 0.75]
-    assert [sketch_size(e) for e in (1.0, 0.1, 0.01, 0.001, 0.00001)] == [10, 10, 100, 1000, 10_000]
+    assert sketch_size(1.0) == 8
+    for error in (0.1, 0.01, 0.001, 0.0002):
+        size = sketch_size(error)
+        assert sketch_error(size) <= error < sketch_error(size - 1)
+    with pytest.raises(ValueError, match="no sketch"):
+        sketch_size(1e-5)
+    for size in (7, 65_536):
+        with pytest.raises(ValueError, match="sketch sizes"):
+            q.QuantileSketch("v", [0.5], size)
     with pytest.raises(ValueError):
         even_probabilities(1)
     with pytest.raises(ValueError):
@@ -173,3 +186,15 @@ def test_rank_error_of_repeated_values(spark):
     table = as_table(spark, [1.0] * 50 + [2.0] * 50)
     rows = q.rank_error(table, "v", [0.25, 0.75, 0.9], [1.0, 2.0, 1.0]).collect()
     assert [round(r["rank_error"], 9) for r in rows] == [0.0, 0.0, 0.4]
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000, 5])
+def test_exact_types_stay_exact(spark, window_rows):
+    base = 1 << 53
+    rows = spark.range(1, 101).selectExpr(
+        f"id + {base} AS whole", f"CAST(id + {base} AS DECIMAL(30, 3)) / 1000 AS exact", "id / 7 AS plain"
+    )
+    found = q.exact_quantiles(rows, ["whole", "exact", "plain"], [0.0, 0.5, 0.51, 1.0], window_rows=window_rows)
+    assert found["whole"] == [base + 1, base + 50, base + 51, base + 100]
+    assert [int(v * 1000) for v in found["exact"]] == found["whole"]
+    assert found["plain"][1] == 50 / 7

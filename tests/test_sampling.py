@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import quernstone as q
+from quernstone.functions.keys import hash_key
 from quernstone.operators import sampling
 from quernstone.sources.tables import read_nested, read_rate, write_nested, write_rates
 
@@ -35,7 +36,7 @@ def by_hand(rows, percent, seed):
         strata.setdefault(row["s"], []).append(row["k"])
     kept = set()
     for keys in strata.values():
-        ordered = sorted(keys, key=lambda k: hashlib.md5(f"{seed}|{k}".encode()).hexdigest())
+        ordered = sorted(keys, key=lambda k: hashlib.md5(f"{seed}|{len(str(k))}:{k}".encode()).hexdigest())
         kept |= set(ordered[: math.ceil(percent * len(keys) / 100)])
     return kept
 
@@ -140,3 +141,10 @@ def test_large_slices_are_split_until_small():
     assert sampling._next_digits(3, 240_000_000, 1_000_000) == 5
     assert sampling._next_digits(3, 10**12, 1) == 8
     assert sampling._next_digits(31, 10**12, 1) == 32
+
+
+def test_different_keys_have_different_hashes(spark):
+    pairs = [("a|b", "c"), ("a", "b|c"), (None, "q"), ("q", None), ("-", None), (None, "-"), ("", ""), (None, None), ("1:a", ""), ("", "1:a")]
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    hashes = [r.h for r in rows.select(hash_key(1, "x", "y").alias("h")).collect()]
+    assert len(set(hashes)) == len(pairs)

@@ -11,8 +11,8 @@ from pyspark.ml import feature as ml
 from pyspark.sql import functions as F
 
 import quernstone as q
-from quernstone.operators import text as text_operators
 from quernstone.support.cut import Size, measure
+from quernstone.support.plan_text import plan_text
 
 WHITE_SPACE = " \t\n\x0b\f\r"
 EDGES = ["", " ", "a ", "a  b", " a", "\x0bA\x0bb\x0b", "x y z", "\r\n", "Straße  ÉTÉ\t", "a\n"]
@@ -147,7 +147,10 @@ def test_all_transforms_by_hand(spark, load):
         assert len(found) == len(set(found))
         assert set(found) == by_hand
 
-    for vectors in (model.transform(tokens), model.transform_sparse(tokens, ["doc_id"])):
+    joined = q.CountVectorizerModel(model.vocabulary, local_terms=50, head_terms=20)
+    unknown = q.CountVectorizerModel(model.vocabulary, local_terms=0, head_terms=0)
+    for vectors in (m.transform(tokens) for m in (model, joined, unknown)):
+        assert vectors.columns == [*tokens.columns, "features"]
         seen = set()
         collected = vectors.select("doc_id", "features").collect()
         assert len(collected) == tokens.count()
@@ -162,13 +165,49 @@ def test_all_transforms_by_hand(spark, load):
     tokens.unpersist()
 
 
-def test_too_large_for_the_driver(spark, monkeypatch):
-    rows = spark.createDataFrame([(1, ["a", "b"])], "doc_id long, tokens array<string>")
+NULL_TOKENS = [
+    (1, ["a", None, "a", "b"]),
+    (1, ["a", None, "a", "b"]),
+    (None, ["b", None]),
+    (2, [None]),
+    (3, []),
+    (4, None),
+]
+
+
+def test_null_tokens_null_ids_and_repeated_ids(spark):
+    rows = spark.createDataFrame(NULL_TOKENS, "doc_id long, tokens array<string>")
+    terms = q.document_terms(rows, ["doc_id"], "tokens").collect()
+    assert sorted((r.doc_id or 0, r.term, r.cnt) for r in terms) == [
+        (0, "b", 1), (1, "a", 2), (1, "a", 2), (1, "b", 1), (1, "b", 1),
+    ]
+    statistics = {r.term: (r.tf, r.df) for r in q.term_statistics(rows).collect()}
+    assert statistics == {"a": (4, 2), "b": (3, 3)}
     model = q.CountVectorizer().fit(rows)
-    monkeypatch.setattr(text_operators, "DRIVER_TERMS", 1)
-    with pytest.raises(ValueError, match="transform_sparse"):
-        model.transform(rows)
-    assert model.transform_sparse(rows, ["doc_id"]).first()["features"].toArray().tolist() == [1, 1]
+    joined = q.CountVectorizerModel(model.vocabulary, local_terms=1, head_terms=1)
+    for step in (model, joined):
+        vectors = step.transform(rows).collect()
+        found = sorted((r.doc_id or 0, r.features.toArray().tolist()) for r in vectors)
+        assert found == [(0, [0, 1]), (1, [2, 1]), (1, [2, 1]), (2, [0, 0]), (3, [0, 0]), (4, [0, 0])]
+
+
+def test_large_path_reads_its_input_once(spark, sf_dir):
+    tokens = q.Tokenizer().transform(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    model = q.CountVectorizer(vocab_size=300).fit(tokens)
+    joined = q.CountVectorizerModel(model.vocabulary, local_terms=10, head_terms=10)
+    scans = plan_text(joined.transform(tokens)).count("documents.parquet")
+    assert scans == 1
+    assert plan_text(joined.transform_long(tokens, ["doc_id"], 10, 10)).count("documents.parquet") == 1
+
+
+def test_several_token_columns(spark):
+    rows = spark.createDataFrame([(["a", "b"], ["a"]), (None, ["c", "c"])], "x array<string>, y array<string>")
+    model = q.CountVectorizer(["x", "y"], ["fx", "fy"]).fit(rows)
+    assert [r.term for r in model.vocabulary.orderBy("term_index").collect()] == ["a", "c", "b"]
+    got = [(r.fx.toArray().tolist(), r.fy.toArray().tolist()) for r in model.transform(rows).collect()]
+    assert sorted(got) == [([0, 0, 0], [0, 2, 0]), ([1, 0, 1], [1, 0, 0])]
+    with pytest.raises(ValueError):
+        q.CountVectorizer(["x", "y"], "one")
 
 
 def test_one_term_filling_a_third_of_the_corpus(spark):
