@@ -69,6 +69,6 @@ def test_edges(edges, clashing):
 
 def test_words_encode_like_whole_texts():
     library, own = Tokenizer.from_file(PATH), tokenfile.WordTokens(PATH, 2)
-    texts = ["It's  a\ttest", "İSTANBUL ΣΑΣ ς", "a\x85b\xa0c\x1cd", "x<|endoftext|>y", "é ﬁ K", "", " \n", "漢字🎉1234"]
+    texts = ["It's  a\ttest", "İSTANBUL ΣΑΣ ς", "a\x85b\xa0c\x1cd", "x<|endoftext|>y", "<|ENDOFTEXT|> A", "Word. word, WORD.. it's, a.b, é. 9. ., . x!.", "é ﬁ K", "", " \n", "漢字🎉1234"]
     got = own([t.encode() for t in texts])
     assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
