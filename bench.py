@@ -1,6 +1,7 @@
 """Benchmark of the headline operators: prints one JSON line.
 
-Every input is projected, spread over the cores, persisted and counted before timing. All steps are
+Every input is projected, spread over the cores, persisted and counted before timing, but for the
+steps named scan, csv, whole and write, which go from files to files or a sink. All steps are
 run once to warm up, and each one three times more; the median counts. Fit and transform are timed
 apart, and a transform ends in a ``noop`` write of its output, because ``count()`` would prune it.
 ``peers`` times Spark ML's own operators on the same cached input, ended the same way, next to the
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import quernstone as q  # noqa: E402
 from quernstone.session import local_session  # noqa: E402
+from quernstone.sources.tables import CSV_TIMES, csv_to_parquet, write_csv, write_rates  # noqa: E402
+from quernstone.support.cut import scratch_path  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -73,6 +76,17 @@ def main() -> None:
     binned = by_value.fit(events)
     edges = q.bin_edges(events, "value", 10, "sketch", 0.01)
     cutter = q.CustomBinner({"value": edges}, include_lowest=True, duplicates="drop")
+    joined = q.CountVectorizerModel(counts.vocabulary, local_terms=1000, head_terms=1000)
+    vectors = counts.transform(tokens).select("features")
+    sparse_scaler = q.VectorStandardScaler(with_mean=False)
+    whole_orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").withColumn("stratum", F.year("o_orderdate"))
+    whole_events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    csv_path, csv_schema = scratch_path(spark, "bench-csv"), whole_events.schema
+    write_csv(whole_events, csv_path)
+
+    def read_documents() -> DataFrame:
+        return spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+
     start = F.unix_millis(F.col("ts").cast("timestamp"))
     end = start + F.ceil("value").cast("long") * 1000
 
@@ -101,6 +115,20 @@ def main() -> None:
             q.nested_samples(orders, ["stratum"], ["o_orderkey"], RATES, 7)
         ),
         "hash_sample": lambda: write_out(q.hash_sample(orders, ["o_orderkey"], 15, 7)),
+        "count_vector_joined_200k": lambda: write_out(joined.transform(tokens).select("features")),
+        "vector_scaler_sparse": lambda: write_out(sparse_scaler.fit_transform(vectors)),
+        "whole_row_sample": lambda: write_out(q.stratified_sample(whole_orders, ["stratum"], ["o_orderkey"], 5, 7)),
+        # From files to files, nothing held in memory.
+        "scan_scale_sink": lambda: write_out(
+            scaler.fit_transform(spark.read.parquet(f"{SF_DIR}/lineitem.parquet").select(*FEATURES))
+        ),
+        "scan_vocabulary_sink": lambda: write_out(
+            vectorizer.fit_transform(q.Tokenizer().transform(read_documents())).select("features")
+        ),
+        "csv_conversion": lambda: csv_to_parquet(spark, csv_path, scratch_path(spark, "bench"), csv_schema, **CSV_TIMES),
+        "write_3_rates": lambda: write_rates(
+            q.nested_samples(orders, ["stratum"], ["o_orderkey"], [5, 15, 25], 7), scratch_path(spark, "rates"), [5, 15, 25]
+        ),
         "utilisation_by_minute": lambda: write_out(q.utilisation(events, start, end, 60_000)),
     }
 

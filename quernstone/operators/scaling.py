@@ -7,12 +7,16 @@ shuffle, and the same plan on a stream.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from quernstone.functions.numeric import (
     min_max_scaled,
@@ -195,6 +199,10 @@ class VectorStandardScaler(FitStep):
     The output has the type of the input. The width need not be known: elements are aggregated by
     their position, with partial sums in every task. A null feature value or element, or a NaN,
     is left out of the statistics and passed through; the assembler decides whether to refuse it.
+
+    ML vectors without ``with_mean`` stay sparse: their statistics are summed up from the elements
+    that are stored, and one vector of factors multiplies them. There a NaN is not left out but makes
+    its element's deviation NaN.
     """
 
     def __init__(
@@ -219,7 +227,24 @@ class VectorStandardScaler(FitStep):
             value = vector_to_array(value)
         return value.cast("array<double>")
 
+    def _sparse(self, df: DataFrame) -> bool:
+        return not self.with_mean and not isinstance(df.schema[self.input_column].dataType, ArrayType)
+
+    def _fit_sparse(self, df: DataFrame) -> VectorStandardScalerModel:
+        """By Spark ML's summary: one row with one number per element."""
+        held = df.filter(F.col(self.input_column).isNotNull())
+        if held.isEmpty():
+            return VectorStandardScalerModel(self, [])
+        summary = Summarizer.metrics("count", "mean", "std").summary(F.col(self.input_column)).alias("s")
+        row = held.select(summary).select("s.count", "s.mean", "s.std").first()
+        n = row["count"]
+        factor = 1.0 if self.ddof or n < 2 else math.sqrt((n - 1) / n)
+        pairs = zip(row["mean"].toArray().tolist(), row["std"].toArray().tolist(), strict=True)
+        return VectorStandardScalerModel(self, [(mean, std * factor) for mean, std in pairs])
+
     def _fit(self, df: DataFrame) -> VectorStandardScalerModel:
+        if self._sparse(df):
+            return self._fit_sparse(df)
         spread_out = df.select(F.posexplode(self._elements(df)).alias("place", "value"))
         value = present_sql("value")
         # One row per element of the vector: bounded by its width.
@@ -246,6 +271,8 @@ class VectorStandardScalerModel(FittedStep):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         scaler = self.scaler
+        if scaler._sparse(df):
+            return self._transform_sparse(df)
         elements = scaler._elements(df)
         flat, unknown = float("inf"), float("nan")
         shift = [(unknown if m is None else m) if scaler.with_mean else 0.0 for m in self.mean]
@@ -264,3 +291,15 @@ class VectorStandardScalerModel(FittedStep):
         if not isinstance(df.schema[scaler.input_column].dataType, ArrayType):
             scaled = array_to_vector(scaled)
         return df.withColumn(scaler.output_column, scaled)
+
+    def _transform_sparse(self, df: DataFrame) -> DataFrame:
+        scaler, width = self.scaler, len(self.std)
+        factors = [(1 / s if s else 0.0) if scaler.with_std else 1.0 for s in self.std]
+        # The product refuses a null, so an empty vector stands in for it.
+        stored = f'{{"v":{{"type":0,"size":{width},"indices":[],"values":[]}}}}'
+        empty = F.from_json(F.lit(stored), StructType([StructField("v", VectorUDT())]))["v"]
+        value = F.col(scaler.input_column)
+        held = df.withColumn("_present", F.coalesce(value, empty))
+        product = ElementwiseProduct(scalingVec=Vectors.dense(factors), inputCol="_present", outputCol="_scaled")
+        scaled = F.when(value.isNotNull(), F.col("_scaled"))
+        return product.transform(held).withColumn(scaler.output_column, scaled).drop("_present", "_scaled")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from quernstone.operators.scaling import VectorStandardScaler
 from quernstone.operators.text import (
     CountVectorizer,
     CountVectorizerModel,
@@ -317,3 +318,30 @@ def count_vector_other_table(spark, sf_dir):
     model = CountVectorizerModel(fitted.vocabulary)
     items = Tokenizer().transform(table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return model.transform_long(items, ["item_id"])
+
+
+@PLANS.add(
+    f"""
+    {_VOCABULARY}, pairs AS (
+        SELECT doc_id, term_index, count(*)::DOUBLE AS cnt
+        FROM words JOIN vocabulary USING (term) GROUP BY doc_id, term_index
+    ),
+    spread AS (
+        SELECT term_index,
+               sqrt((sum(cnt * cnt) - sum(cnt) * sum(cnt) / n) / (n - 1)) AS std
+        FROM pairs, (SELECT count(*)::DOUBLE AS n FROM documents) GROUP BY term_index, n
+    ),
+    scaled AS (
+        SELECT doc_id, sum(cnt / std) AS total FROM pairs JOIN spread USING (term_index)
+        WHERE std > 0 GROUP BY doc_id
+    )
+    SELECT doc_id, round(coalesce(total, 0), 4) AS total FROM documents LEFT JOIN scaled USING (doc_id)
+    """
+)
+def scaled_count_vectors(spark, sf_dir):
+    """Count vectors scaled by their deviation, without becoming dense."""
+    counts = _model(spark, sf_dir).transform(_tokens(spark, sf_dir)).select("doc_id", "features")
+    scaled = VectorStandardScaler(with_mean=False).fit_transform(counts)
+    values = F.unwrap_udt("scaled_features")["values"]
+    total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    return scaled.select("doc_id", F.round(total, 4).alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml import feature as ml
@@ -11,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 import quernstone as q
+from quernstone.support.plan_text import plan_text
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -158,3 +160,30 @@ def test_cached_block_releases_the_input(spark):
         assert held.is_cached
         assert q.row_count(held).first()["n_rows"] == 10
     assert not rows.is_cached
+
+
+def test_sparse_vectors_stay_sparse(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tokens = q.Tokenizer().transform(docs)
+    counts = q.CountVectorizer(vocab_size=50).fit_transform(tokens).select("doc_id", "features")
+    counts = counts.union(spark.createDataFrame([(-1, None)], counts.schema)).persist()
+    for ddof in (0, 1):
+        scaler = q.VectorStandardScaler(with_mean=False, ddof=ddof)
+        model = scaler.fit(counts)
+        rows = model.transform(counts).collect()
+        held = np.array([r.features.toArray() for r in rows if r.features is not None])
+        std = held.std(axis=0, ddof=ddof)
+        assert np.allclose(model.std, std)
+        for r in rows:
+            if r.features is None:
+                assert r.scaled_features is None
+                continue
+            assert r.scaled_features.toArray() == pytest.approx(r.features.toArray() / std)
+            assert (r.scaled_features.indices == r.features.indices).all()
+    assert "Generate" not in plan_text(model.transform(counts))
+    counts.unpersist()
+
+
+def test_no_vectors_at_all(spark, load):
+    empty = q.FeatureAssembler(["l_tax"], as_vector=True).transform(load("lineitem").limit(0))
+    assert q.VectorStandardScaler(with_mean=False).fit(empty).transform(empty).count() == 0
