@@ -294,6 +294,9 @@ class VectorStandardScalerModel(FittedStep):
 
     def _transform_sparse(self, df: DataFrame) -> DataFrame:
         scaler, width = self.scaler, len(self.std)
+        if width == 0:  # fitted on no vector at all
+            nothing = F.when(F.lit(False), F.col(scaler.input_column))
+            return df.withColumn(scaler.output_column, nothing)
         factors = [(1 / s if s else 0.0) if scaler.with_std else 1.0 for s in self.std]
         # The product refuses a null, so an empty vector stands in for it.
         stored = f'{{"v":{{"type":0,"size":{width},"indices":[],"values":[]}}}}'
