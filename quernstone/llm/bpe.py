@@ -25,7 +25,7 @@ NONE = np.iinfo(np.int32).max
 SHORT = 64
 # Low bits of a leaf of such a tree that hold the position.
 SHIFT = 7
-# Pieces a worker remembers from slice to slice; beyond, it keeps the short ones of the last slice.
+# Pieces and chunks, each of SHORT bytes or signs at most, that a worker remembers from slice to slice.
 REMEMBERED = 300_000
 PIECES_AT_ONCE = 1 << 12
 
@@ -197,6 +197,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.loose = regex.compile(r"^\s|^$|\s$").search
         self.pieces: dict[str, bytes] = {}
+        self.long: list[str] = []
         # None for a chunk that can't be cut off.
         self.chunks: dict[str, bytes | None] = {}
 
@@ -211,6 +212,7 @@ class Encoder:
                 short.append((piece, data))
             else:
                 self.pieces[piece] = np.array(self.ranks.encode_long(data), "<u4").tobytes()
+                self.long.append(piece)
         ids = self.ranks.encode_short([data for _, data in short])
         self.pieces.update(zip((piece for piece, _ in short), ids, strict=True))
 
@@ -234,6 +236,13 @@ class Encoder:
             else:
                 ids[0] = b"".join(map(find, start))
             out.append(b"".join(ids))
+        # Few and short ones are remembered, so the memory is bounded.
+        for chunk in new:
+            if len(chunk) > SHORT:
+                del self.chunks[chunk]
+        for piece in self.long:
+            del self.pieces[piece]
+        self.long.clear()
         for held in (self.pieces, self.chunks):
             if len(held) > REMEMBERED:
                 held.clear()

@@ -261,7 +261,9 @@ class WordTokens:
     own, so each word without it is encoded once and remembered.
     """
 
+    # Words that a worker remembers from slice to slice, and bytes of each.
     REMEMBERED = 500_000
+    LONGEST = 64
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -305,7 +307,11 @@ class WordTokens:
         find = self.known.__getitem__
         out = [np.frombuffer(b"".join([*map(find, of_text), self.end]), np.uint32) for of_text in split]
         if len(self.known) > self.REMEMBERED:
-            self.known = {w: self.known[w] for w in words}
+            self.known = {w: self.known[w] for w in words if len(w) <= self.LONGEST}
+        else:
+            for word in words:
+                if len(word) > self.LONGEST:
+                    self.known.pop(word, None)
         return out
 
 
