@@ -25,7 +25,7 @@ SEED = 17
 DP_WORDS = 1 << 16
 
 # Documents of one length in a slice, on average, and the most slices of a length.
-SLICE_ROWS = 4096
+SLICE_ROWS = 512
 MOST_SLICES = 1 << 16
 
 BROADCAST_ROWS = 500_000
