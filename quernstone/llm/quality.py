@@ -27,6 +27,9 @@ SAMPLE_PER_CLASS = 2000
 THRESHOLD = 0.3
 FOLDS = 5
 
+# Bytes of text whose features are held at once, some hundred times as many bytes.
+FEATURE_SLICE = 1 << 19
+
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 
 
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SA
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FEATURE_SLICE):
                 buckets, counts = features(part.column("text"))
                 ends = np.cumsum(counts)
                 seen = [np.unique(buckets[b - c : b], return_counts=True) for b, c in zip(ends, counts, strict=True)]
@@ -168,7 +171,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", FEATURE_SLICE):
                 scores = pa.array(model.scores(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), scores], ["doc_id", "score"])
 
@@ -187,7 +190,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, FEATURE_SLICE):
                 scores = pa.array(model.scores(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], [*names, "score"])
 
