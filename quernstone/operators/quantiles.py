@@ -6,6 +6,7 @@ are left out everywhere.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,13 +24,16 @@ from quernstone.functions.probabilities import (
     sketch_size,
 )
 from quernstone.functions.steps import interval_tag
-from quernstone.support.cut import cut, discard
+from quernstone.support.cut import cut, cut_measured, discard
 
 # Sketch size of the first guess per ten probabilities, and the distinct values that one window
 # task may order.
 GUESS_SIZE = 4096
 WINDOW_ROWS = 1_000_000
 
+# Distinct values inside brackets that are looked through on the driver rather than in another job.
+LOCAL_ENTRIES = 20_000
+
 # Pivots per narrowing round of a bracket with more values than that.
 PIVOTS = 64
 
@@ -175,14 +179,19 @@ def _exact_of_type(
         brackets.append(_disjoint([(low, high) for low, high in pairs if low is not None]))
 
     counted = _tagged_values(numbers, places, brackets).groupBy("place", "tag", "value")
-    table = cut(counted.agg(F.count(F.lit(1)).alias("cnt")), "quantile-counts")
+    table, size = cut_measured(counted.agg(F.count(F.lit(1)).alias("cnt")), "quantile-counts")
+    summed = table.groupBy("place", "tag").agg(
+        F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("entries")
+    )
+    held: list | None = None
+    if size.rows <= min(LOCAL_ENTRIES, window_rows):
+        held = table.collect()  # few enough to be looked through here
+        tallies = _tally(held)
+    else:
+        tallies = summed.collect()  # one row per bracket and gap
     totals: dict[int, dict[int, tuple[int, int]]] = {}
-    for row in (
-        table.groupBy("place", "tag")
-        .agg(F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("entries"))
-        .collect()  # one row per bracket and gap
-    ):
-        totals.setdefault(row["place"], {})[row["tag"]] = (row["rows"], row["entries"])
+    for place, tag, rows, entries in tallies:
+        totals.setdefault(place, {})[tag] = (rows, entries)
 
     found: dict[int, float | None] = {}
     ordered_here: list[_Target] = []
@@ -206,13 +215,38 @@ def _exact_of_type(
                 found[slot] = _find_apart(
                     numbers, places[place], table, target, brackets[place], sizes, window_rows
                 )
-    found.update(_find_together(table, ordered_here))
+    found.update(_find_together(table, ordered_here) if held is None else _find_held(held, ordered_here))
     discard(table)
     return {
         c: [found[i * len(wanted) + j] for j in range(len(wanted))] for i, c in enumerate(names)
     }
 
 
+def _tally(held: list) -> list[tuple]:
+    """Rows and entries per bracket and gap of a collected table."""
+    rows, entries = Counter(), Counter()
+    for row in held:
+        rows[row["place"], row["tag"]] += row["cnt"]
+        entries[row["place"], row["tag"]] += 1
+    return [(*key, n, entries[key]) for key, n in rows.items()]
+
+
+def _find_held(held: list, targets: list[_Target]) -> dict[int, float]:
+    """All targets, from a collected table."""
+    inside: dict[tuple, list] = {}
+    for row in held:
+        inside.setdefault((row["place"], row["tag"]), []).append((row["value"], row["cnt"]))
+    found = {}
+    for t in targets:
+        rank = t.rank
+        for value, count in sorted(inside[t.place, t.tag]):
+            rank -= count
+            if rank <= 0:
+                found[t.slot] = value
+                break
+    return found
+
+
 def _find_together(table: DataFrame, targets: list[_Target]) -> dict[int, float]:
     """All targets whose brackets are small enough for one window task each, in one job."""
     if not targets:
