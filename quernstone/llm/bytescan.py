@@ -1,7 +1,7 @@
 """Words of whole texts by scanning Arrow string buffers with numpy.
 
 A word is a maximal run of bytes other than space and U+0009 to U+000D. A null text is empty.
-Texts are looked at in slices of a few megabytes, so the working memory of a task is bounded by the
+Texts are looked at in slices of about a megabyte, so the working memory of a task is bounded by the
 slice and by the longest text.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
