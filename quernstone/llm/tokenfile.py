@@ -262,7 +262,7 @@ class WordTokens:
     """
 
     # Words that a worker remembers from slice to slice, and bytes of each.
-    REMEMBERED = 500_000
+    REMEMBERED = 1_000_000
     LONGEST = 64
 
     def __init__(self, path: str, end_id: int):
