@@ -82,7 +82,10 @@ def test_sampled_rows_are_not_shuffled(load):
     assert len(moved) == 1 and "o_orderkey" not in moved[0]
 
 
-def test_many_strata_are_salted(load):
+def test_heavy_strata_are_not_shuffled_even_among_many(load):
+    """Rows of the most frequent strata meet their cuts by a broadcast; the others are shuffled."""
     orders = load("orders").select("o_orderkey", F.year("o_orderdate").alias("stratum"))
-    spread = q.nested_samples(orders, ["stratum"], ["o_orderkey"], [5], broadcast_rows=0)
-    assert "_salt_copy" in plan_text(spread)
+    text = plan_text(q.nested_samples(orders, ["stratum"], ["o_orderkey"], [5], broadcast_rows=0))
+    assert "Union" in text and "BroadcastHashJoin LeftAnti" in text
+    frequent = text[: text.index("LeftAnti")]
+    assert "BroadcastHashJoin Inner" in frequent
