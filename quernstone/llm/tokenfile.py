@@ -254,11 +254,12 @@ def read_tokens(docs_schema_id: str, shards: DataFrame) -> DataFrame:
     )
 
 
-class WordTokens:
+class WordTokens(dict):
     """Ids of texts by a tokenizer file that lower-cases and drops white space, with an end id.
 
     No match of its pattern crosses white space, and a stop or comma after a letter is a match of its
-    own, so each word without it is encoded once and remembered.
+    own, so each word without it is encoded once and remembered: as a key of this dictionary, with its
+    ids as bytes.
     """
 
     # Words that a worker remembers from slice to slice, and bytes of each.
@@ -268,50 +269,35 @@ class WordTokens:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
         self.end = array("I", [end_id]).tobytes()
-        self.marks = {mark: self._library([bytes([mark])])[0] for mark in b".,"}
-        self.known: dict[bytes, bytes] = {}
-
-    def _library(self, words: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
-
-    def _merged(self, word: bytes) -> bytes:
-        """Ids of a word of letters a-z, which normalising and splitting leave as it is."""
-        return array("I", [t.id for t in self.merges(word.decode())]).tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, marked = self.known, []
-        bare = set()
-        for word in words:
-            if word[-1] in self.marks and word[-2:-1].isalpha():
-                marked.append(word)
-                bare.add(word[:-1])
-            else:
-                bare.add(word)
-        bare.difference_update(known)
-        plain = [word for word in bare if word.isalpha() and word.islower()]
-        known.update((word, self._merged(word)) for word in plain)
-        others = list(bare.difference(plain))
-        known.update(zip(others, self._library(others), strict=True))
-        for word in marked:
-            known[word] = known[word[:-1]] + self.marks[word[-1]]
+        self.marks = {mark: self._library(bytes([mark])) for mark in b".,"}
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        # Names of special tokens are told apart by case.
-        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        words = set().union(*split)
-        self._learn(words.difference(self.known))
-        find = self.known.__getitem__
-        out = [np.frombuffer(b"".join([*map(find, of_text), self.end]), np.uint32) for of_text in split]
-        if len(self.known) > self.REMEMBERED:
-            self.known = {w: self.known[w] for w in words if len(w) <= self.LONGEST}
+    def _library(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1] in self.marks and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self.marks[word[-1]]
+        elif word.isalpha() and word.islower():
+            # Letters a-z, which normalising and splitting leave as they are.
+            ids = array("I", [t.id for t in self.merges(word.decode())]).tobytes()
         else:
-            for word in words:
-                if len(word) > self.LONGEST:
-                    self.known.pop(word, None)
+            ids = self._library(word)
+        if len(word) <= self.LONGEST:
+            self[word] = ids
+        return ids
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self) > self.REMEMBERED:
+            self.clear()
+        out = []
+        for text in texts:
+            # Names of special tokens are told apart by case.
+            words = (text if b"<|" in text else text.lower()).split()
+            out.append(np.frombuffer(b"".join([*map(self.__getitem__, words), self.end]), np.uint32))
         return out
 
 
