@@ -2,12 +2,15 @@
 
 Tokens are lower-cased words, and an end after each document. All training documents are counted and
 all of them train the model: every task runs gradient steps from a common start over its documents,
-and the parameters are averaged by tokens. The model predicts the most frequent words and one class
-for the others from the two tokens before; a word of that class then has its smoothed share of it.
-Log-probabilities are normalised by batched matrix products over all pairs of context tokens.
-
-Counts of frequent words travel to the tasks; those of all others meet the documents in a join, after
-each document has reduced its words to one row per distinct word.
+and the parameters are averaged by tokens. The model has two levels. The first predicts the most
+frequent words and classes of all others from the two tokens before; the number of classes grows with
+the square root of the distinct words. The second predicts the word within its class from the token
+before: every counted word has a vector of its own, learned from all its places, one class at a time.
+Both are normalised by batched matrix products, over all pairs of context tokens and over all words
+of a class for every token before. As context a word outside the most frequent ones is its class.
+
+Counts and vectors of frequent words travel to the tasks; those of all others stay a table and meet the
+documents in a join, after each document has reduced its words to one row per word and token before.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.bytescan import LOWER, flat, mixed, slices, word_hashes, words
 from quernstone.support.cut import cut, cut_measured
 
-# Words that the model tells apart, and frequent words whose counts every task holds.
+# Words that are classes of their own, and frequent words whose counts and vectors every task holds.
 MODEL_WORDS = 1000
 HELD_WORDS = 1 << 17
 
@@ -33,6 +36,13 @@ NOISE = 32
 BATCH = 2048
 RATE = 0.1
 
+# Passes over the places of a class, places at which a word has half of what its vector learned, tokens
+# that a task holds before it hands them on, and words of a class normalised at once.
+CLASS_PASSES = 2
+HALF_LEARNED = 10
+HELD_TOKENS = 1 << 20
+CLASS_ROWS = 512
+
 # Parameters averaged in one task, and first sums of each.
 SLICE = 4096
 FIRST_SUMS = 32
@@ -68,7 +78,11 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Frequent tokens by hash, with counts, and their number in the model (``others`` if none)."""
+    """Frequent tokens by hash, with counts and their number in the model.
+
+    Units of the model are the ``known`` most frequent tokens and, after them, the classes of all other
+    hashes; ``shares`` has one of each unit. A class has room for one token that was never seen.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -76,18 +90,35 @@ class Vocabulary:
     shares: np.ndarray
     total: int
     distinct: int
+    known: int
 
     @property
-    def others(self) -> int:
-        return len(self.shares) - 1
+    def classes(self) -> int:
+        return len(self.shares) - self.known
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each token (0 where it is not held), and its number in the model."""
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each token among those held, and whether it is one of them."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.full(len(hashes), self.others)
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        held = self.hashes[at] == hashes
-        return np.where(held, self.counts[at], 0), np.where(held, self.number[at], self.others)
+        return at, self.hashes[at] == hashes
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each token (0 where it is not held), and its unit in the model."""
+        unit = self.known + class_numbers(hashes, self.classes)
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), unit
+        at, held = self.places(hashes)
+        return np.where(held, self.counts[at], 0), np.where(held & (self.number[at] < self.known), self.number[at], unit)
+
+
+def class_count(words: int) -> int:
+    """Classes of so many words: half the square root, so that classes and their sizes both grow."""
+    return max(1, int(np.ceil(np.sqrt(words) / 2)))
+
+
+def class_numbers(hashes: np.ndarray, classes: int) -> np.ndarray:
+    return ((hashes >> np.uint64(33)) % np.uint64(classes)).astype(np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -109,10 +140,15 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     hashes, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     known = min(MODEL_WORDS, len(n))
     number = np.minimum(np.arange(len(n)), known)
-    rest = total - int(n[:known].sum()) + distinct - known + 1
-    shares = np.append(n[:known] + 1, rest) / (total + distinct + 1)
+    classes = class_count(distinct - known)
+    rest = np.ones(classes, np.int64)
+    of_class = counts.groupBy((F.shiftrightunsigned("hash", 33) % classes).alias("class"))
+    for row in of_class.agg(F.sum(F.col("n") + 1).alias("n")).collect():  # one row per class
+        rest[row["class"]] += row["n"]
+    np.subtract.at(rest, class_numbers(hashes[:known], classes), n[:known] + 1)
+    shares = np.append(n[:known] + 1, rest) / (total + distinct + classes)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], n[order], number[order], shares, int(total), int(distinct))
+    return Vocabulary(hashes[order], n[order], number[order], shares, int(total), int(distinct), known)
 
 
 def contexts(number: np.ndarray, begins: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,10 +236,10 @@ def train(docs: DataFrame, words_held, start: Parameters) -> Parameters:
             for piece in slices(batch, "text"):
                 hashes, begins = tokens(piece.column("text"))
                 word = known.find(hashes)[1]
-                last, second = contexts(word, begins, known.others + 1)
+                last, second = contexts(word, begins, len(known.shares))
                 for at in range(0, len(word), BATCH):
                     some = slice(at, at + BATCH)
-                    noise = np.minimum(np.searchsorted(drawn, random.random(NOISE)), known.others)
+                    noise = np.minimum(np.searchsorted(drawn, random.random(NOISE)), len(known.shares) - 1)
                     own.step(last[some], second[some], word[some], noise, prior)
                 seen += len(word)
         if seen:
@@ -236,35 +272,172 @@ def train(docs: DataFrame, words_held, start: Parameters) -> Parameters:
 
 @dataclass(frozen=True)
 class Tables:
-    """Unnormalised logits by context token and word for both places, and the norm of each context."""
+    """The model's parameters, and the norm of each pair of context tokens."""
 
-    last: np.ndarray
-    second: np.ndarray
+    model: Parameters
     norm: np.ndarray
 
     def log_probabilities(self, last: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return self.last[last, word] + self.second[second, word] - self.norm[last, second]
+        m, out = self.model, np.empty(len(word))
+        first, other = m.place[0] * m.context, m.place[1] * m.context
+        for at in range(0, len(word), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            logits = np.einsum("ij,ij->i", first[last[some]] + other[second[some]], m.target[word[some]])
+            out[some] = logits + m.offset[word[some]] - self.norm[last[some], second[some]]
+        return out
 
 
 def tables(docs: DataFrame, model: Parameters) -> Tables:
-    """Normalise over all words for every pair of context tokens, one token before per row."""
-    last = (model.place[0] * model.context) @ model.target.T + model.offset
-    second = (model.place[1] * model.context) @ model.target.T
+    """Normalise over all units for every pair of context tokens, one token before per row."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((last, second))
+    held = spark.sparkContext.broadcast(model)
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, other = held.value
+        m = held.value
+        second = (m.place[1] * m.context) @ m.target.T
         for batch in batches:
             for token in batch.column("id").to_pylist():
-                logits = other + first[token]
+                logits = second + ((m.place[0] * m.context[token]) @ m.target.T + m.offset)
                 top = logits.max(axis=1)
-                norm = np.log(np.exp(logits - top[:, None]).sum(axis=1, dtype=np.float64)) + top
+                np.exp(np.subtract(logits, top[:, None], out=logits), out=logits)
+                norm = (np.log(logits.sum(axis=1, dtype=np.float64)) + top).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([token]), pa.array([norm.tobytes()], pa.binary())], ["id", "norm"])
 
-    rows = spark.range(0, len(last), 1, 16).mapInArrow(norms, "id long, norm binary").collect()  # the model's words
-    norm = np.stack([np.frombuffer(r["norm"]) for r in sorted(rows)])
-    return Tables(last, second, norm)
+    n = len(model.context)
+    rows = spark.range(0, n, 1, max(16, n // 64)).mapInArrow(norms, "id long, norm binary").collect()  # the model's units
+    return Tables(model, np.stack([np.frombuffer(r["norm"], np.float32) for r in sorted(rows)]))
+
+
+def features(model: Parameters) -> np.ndarray:
+    """What a word's vector is held against for each token before: its context vector, standardised."""
+    values = model.place[0] * model.context
+    return ((values - values.mean(axis=0)) / (values.std(axis=0) + 1e-6)).astype(np.float32)
+
+
+def fit_class(hashes: np.ndarray, last: np.ndarray, before: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of one class, their counts and vectors, and the log norm for each token before.
+
+    A word w of count n after token t weighs (n + 1) * exp(vector[w] . before[t]), and words never seen weigh 1
+    together. The vectors are learned by noise-contrastive estimation against the words' shares;
+    a word of few places keeps little of what they say.
+    """
+    order = np.lexsort((last, hashes))
+    found, word, n = np.unique(hashes[order], return_inverse=True, return_counts=True)
+    last, random = last[order], np.random.default_rng(seed)
+    drawn = np.cumsum(n / n.sum())
+    vectors, seen = np.zeros((len(found), before.shape[1]), np.float32), np.full((len(found), before.shape[1]), 1e-10, np.float32)
+    prior = np.float32(np.log(NOISE))
+    for _ in range(CLASS_PASSES):
+        turn = random.permutation(len(word))
+        for at in range(0, len(turn), BATCH):
+            some = turn[at : at + BATCH]
+            noise = np.minimum(np.searchsorted(drawn, random.random(NOISE)), len(found) - 1)
+            hidden, own = before[last[some]], word[some]
+            likely = np.einsum("ij,ij->i", hidden, vectors[own]) - prior
+            other = hidden @ vectors[noise].T - prior
+            miss = -1 / (1 + np.exp(np.clip(likely, -30, 30)))
+            false = 1 / (1 + np.exp(-np.clip(other, -30, 30)))
+            gradient = _gathered([own, noise], [miss[:, None] * hidden, false.T @ hidden], vectors.shape) / len(some)
+            seen += gradient.astype(np.float32) ** 2
+            vectors -= RATE * gradient.astype(np.float32) / np.sqrt(seen)
+    vectors *= (n / (n + HALF_LEARNED)).astype(np.float32)[:, None]
+    sums = np.ones(len(before))
+    for at in range(0, len(found), CLASS_ROWS):
+        some = slice(at, at + CLASS_ROWS)
+        logits = vectors[some] @ before.T + np.log(n[some] + 1.0).astype(np.float32)[:, None]
+        sums += np.exp(logits).sum(axis=0, dtype=np.float64)
+    return found, n, vectors, np.log(sums).astype(np.float32)
+
+
+def train_classes(docs: DataFrame, words_held, before_held) -> DataFrame:
+    """(class, hashes, counts, vectors, norm), one row per class with a word in ``docs``."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words_held.value
+
+        def hand_on(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            number, hashes, last = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(number, kind="stable")
+            number, hashes, last = number[order], hashes[order], last[order].astype(np.int32)
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            ends = [*first[1:].tolist(), len(number)]
+            runs = list(zip(first.tolist(), ends, strict=True))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(number[first]),
+                    pa.array([hashes[a:b].tobytes() for a, b in runs], pa.binary()),
+                    pa.array([last[a:b].tobytes() for a, b in runs], pa.binary()),
+                ],
+                ["class", "hashes", "last"],
+            )
+
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, begins = tokens(part.column("text"))
+                unit = known.find(hashes)[1]
+                last = contexts(unit, begins, len(known.shares))[0]
+                some = np.flatnonzero(unit >= known.known)
+                if len(some):
+                    held.append((unit[some] - known.known, hashes[some], last[some]))
+                    size += len(some)
+                if size >= HELD_TOKENS:
+                    yield hand_on(held)
+                    held, size = [], 0
+        if held:
+            yield hand_on(held)
+
+    def fit(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last = [], []
+        for batch in batches:
+            hashes += [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            last += [np.frombuffer(x, np.int32) for x in batch.column("last").to_pylist()]
+        number = key[0].as_py()
+        made = fit_class(np.concatenate(hashes), np.concatenate(last), before_held.value, number)
+        parts = [pa.array([x.tobytes()], pa.binary()) for x in made]
+        yield pa.RecordBatch.from_arrays([pa.array([number]), *parts], ["class", "hashes", "counts", "vectors", "norm"])
+
+    dealt = docs.select("text").mapInArrow(deal, "class long, hashes binary, last binary")
+    return dealt.groupBy("class").applyInArrow(fit, "class long, hashes binary, counts binary, vectors binary, norm binary")
+
+
+def word_rows(learned: DataFrame) -> DataFrame:
+    """(hash, n, vector) of the words of all classes."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, n, vectors in zip(*(batch.column(c).to_pylist() for c in ("hashes", "counts", "vectors")), strict=True):
+                width = 4 * DIMENSIONS
+                rows = [vectors[at : at + width] for at in range(0, len(vectors), width)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(hashes, np.int64)), pa.array(np.frombuffer(n, np.int64)), pa.array(rows, pa.binary())],
+                    ["hash", "n", "vector"],
+                )
+
+    return learned.select("hashes", "counts", "vectors").mapInArrow(unpack, "hash long, n long, vector binary")
+
+
+@dataclass(frozen=True)
+class Second:
+    """Features of the tokens before, norms by class and token before, and vectors of the words held."""
+
+    before: np.ndarray
+    norm: np.ndarray
+    vectors: np.ndarray
+
+
+def second_level(learned: DataFrame, known: Vocabulary, before: np.ndarray) -> Second:
+    norm = np.zeros((known.classes, len(before)), np.float32)
+    for row in learned.select("class", "norm").toLocalIterator():  # one row per class
+        norm[row["class"]] = np.frombuffer(row["norm"], np.float32)
+    vectors = np.zeros((len(known.hashes), DIMENSIONS), np.float32)
+    if len(known.hashes):
+        least = int(known.counts.min())
+        rows = word_rows(learned).filter(F.col("n") >= least).toPandas()  # HELD_WORDS at most
+        at, held = known.places(rows["hash"].to_numpy(np.int64).view(np.uint64))
+        if held.any():
+            vectors[at[held]] = np.frombuffer(b"".join(rows["vector"][held]), np.float32).reshape(-1, DIMENSIONS)
+    return Second(before, norm, vectors)
 
 
 def score(docs: DataFrame, train_column: str = "train") -> DataFrame:
@@ -282,26 +455,35 @@ def score(docs: DataFrame, train_column: str = "train") -> DataFrame:
     known = vocabulary(counts)
     held = rows.sparkSession.sparkContext.broadcast(known)
     model = train(learned, held, Parameters.start(known.shares))
-    looked_up = rows.sparkSession.sparkContext.broadcast(tables(rows, model))
+    context = rows.sparkSession.sparkContext
+    before = features(model)
+    before_held = context.broadcast(before)
+    classes = cut(train_classes(learned, held, before_held), "word-vectors")
+    looked_up = context.broadcast((tables(rows, model), second_level(classes, known, before)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, norms = held.value, looked_up.value
+        known, (norms, level) = held.value, looked_up.value
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, begins = tokens(part.column("text"))
                 count, word = known.find(hashes)
-                last, second = contexts(word, begins, known.others + 1)
+                last, second = contexts(word, begins, len(known.shares))
                 log = np.log10(count + 1.0)
-                other = word == known.others
-                own = norms.log_probabilities(last, second, word) / np.log(10)
+                own = norms.log_probabilities(last, second, word)
+                other = np.flatnonzero(word >= known.known)
+                own[other] -= level.norm[word[other] - known.known, last[other]]
+                near = other[count[other] > 0]
+                at = known.places(hashes[near])[0]
+                own[near] += log[near] * np.log(10) + np.einsum("ij,ij->i", level.vectors[at], level.before[last[near]])
+                own /= np.log(10)
                 first = begins[:-1]
                 total = lambda values, first=first: pa.array(np.add.reduceat(values, first))
                 rare = np.flatnonzero(count == 0)
                 row = np.searchsorted(begins, rare, "right") - 1
-                order = np.lexsort((hashes[rare], row))
-                row, rare = row[order], hashes[rare[order]]
+                order = np.lexsort((last[rare], hashes[rare], row))
+                row, after, rare = row[order], last[rare[order]], hashes[rare[order]]
                 new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])
+                new[1:] = (row[1:] != row[:-1]) | (rare[1:] != rare[:-1]) | (after[1:] != after[:-1])
                 at = np.flatnonzero(new)
                 times = np.diff(np.append(at, len(row)))
                 ends = pa.array(np.searchsorted(row[at], np.arange(len(begins))).astype(np.int32))
@@ -313,33 +495,48 @@ def score(docs: DataFrame, train_column: str = "train") -> DataFrame:
                         total((count > 0).astype(np.int64)),
                         total(log),
                         total(own.astype(np.float64)),
-                        total(np.where(other, log, 0.0)),
-                        total(other.astype(np.int64)),
                         pa.ListArray.from_arrays(ends, pa.array(rare[at].view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
+                        pa.ListArray.from_arrays(ends, pa.array(after[at].astype(np.int32))),
                     ],
-                    ["doc_id", "train", "n_tokens", "n_held", "log_held", "model", "log_others", "n_others", "rare", "times"],
+                    ["doc_id", "train", "n_tokens", "n_held", "log_held", "model", "rare", "times", "after"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scanned = rows.mapInArrow(
         scan,
         f"doc_id {kind}, train boolean, n_tokens long, n_held long, log_held double, model double, "
-        "log_others double, n_others long, rare array<long>, times array<long>",
+        "rare array<long>, times array<long>, after array<int>",
     )
     # Written, so that the number of a row stays the same for both sides of the join.
     table = cut(scanned.withColumn("row", F.monotonically_increasing_id()), "token-scores")
-    rare = table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
-        "row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times")
+    rare = table.select("row", F.explode(F.arrays_zip("rare", "times", "after")).alias("r")).select(
+        "row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"), F.col("r.after").alias("after")
+    )
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = before_held.value
+        for batch in batches:
+            times, n, after = (batch.column(c).to_numpy() for c in ("times", "n", "after"))
+            vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+            log = times * np.log10(n + 1.0)
+            gain = times * np.einsum("ij,ij->i", vectors, before[after]) / np.log(10)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("times"), pa.array(log), pa.array(gain)], ["row", "times", "log_n", "gain"]
+            )
+
+    met = rare.join(word_rows(classes), "hash").select("row", "times", "after", "n", "vector")
+    weighed = met.mapInArrow(weigh, "row long, times long, log_n double, gain double")
+    found = weighed.groupBy("row").agg(
+        F.sum("log_n").alias("log_rare"), F.sum("gain").alias("gain"), F.sum("times").alias("n_rare")
     )
-    found = rare.join(counts, "hash").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_rare"), F.sum("times").alias("n_rare")
+    joined = table.drop("rare", "times", "after").join(
+        found.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left"
     )
-    joined = table.drop("rare", "times").join(found.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
     log_rare, n_rare = F.coalesce("log_rare", F.lit(0.0)), F.coalesce("n_rare", F.lit(0))
-    everything, others = known.total + known.distinct + 1, known.shares[-1] * (known.total + known.distinct + 1)
+    everything = known.total + known.distinct + 1
     base = F.col("log_held") + log_rare - F.col("n_tokens") * float(np.log10(everything))
-    model_score = F.col("model") + F.col("log_others") + log_rare - F.col("n_others") * float(np.log10(others))
+    model_score = F.col("model") + log_rare + F.coalesce("gain", F.lit(0.0))
     return joined.select(
         "doc_id",
         "train",

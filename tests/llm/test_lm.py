@@ -73,3 +73,28 @@ def test_edges(edges, clashing):
     untrained = lm.score(edges.withColumn("train", F.lit(False))).collect()
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in untrained)
     assert lm.score(edges.limit(0).withColumn("train", F.lit(True))).count() == 0
+
+
+@pytest.mark.parametrize("held", [lm.HELD_WORDS, 2])
+def test_words_outside_the_most_frequent_have_their_own_context(spark, monkeypatch, held):
+    monkeypatch.setattr(lm, "MODEL_WORDS", 2)
+    monkeypatch.setattr(lm, "HELD_WORDS", held)
+    learned = spark.range(200).select("id", F.lit("a a p b b q " * 5).alias("text"), F.lit(True).alias("train"))
+    asked = spark.createDataFrame([(1000, "a a p b b q", False), (1001, "a a q b b p", False)], learned.schema)
+    rows = lm.score(learned.unionByName(asked).withColumnRenamed("id", "doc_id")).filter("not train").collect()
+    usual, swapped = (r.score for r in sorted(rows))
+    assert usual > swapped + 0.5
+
+
+def test_words_of_a_class_add_up_to_one():
+    random = np.random.default_rng(3)
+    before = random.normal(size=(9, lm.DIMENSIONS)).astype(np.float32)
+    hashes = random.zipf(1.5, 5000).astype(np.uint64) % np.uint64(700)
+    found, n, vectors, norm = lm.fit_class(hashes, random.integers(0, 9, 5000), before, 1)
+    assert n.sum() == 5000 and len(found) == len(set(hashes.tolist()))
+    weights = (n + 1)[:, None] * np.exp(vectors @ before.T)
+    assert (weights.sum(axis=0) + 1) / np.exp(norm) == pytest.approx(1, abs=1e-4)
+
+
+def test_classes_grow_with_the_words():
+    assert [lm.class_count(n) for n in (0, 4, 400_000, 40_000_000)] == [1, 1, 317, 3163]
