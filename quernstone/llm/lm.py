@@ -1,8 +1,8 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation.
 
 Tokens are lower-cased words, and an end after each document. All training documents are counted and
-all of them train the model: every task runs gradient steps from a common start over its documents,
-and the parameters are averaged by tokens. The model has two levels. The first predicts the most
+all of them train the model in rounds: every task runs gradient steps from the last average over its
+documents of the round, and parameters are averaged by tokens. The model has two levels. The first predicts the most
 frequent words and classes of all others from the two tokens before; the number of classes grows with
 the square root of the distinct words. The second predicts the word within its class from the token
 before: every counted word has a vector of its own, learned from all its places, one class at a time.
@@ -43,6 +43,11 @@ HALF_LEARNED = 10
 HELD_TOKENS = 1 << 20
 CLASS_ROWS = 512
 
+# Tokens that a training task has at least, if there are as many, and those of the first round. Each
+# time the corpus is four times as large, a round is added.
+TASK_TOKENS = 1 << 20
+ROUND_TOKENS = 1 << 18
+
 # Parameters averaged in one task, and first sums of each.
 SLICE = 4096
 FIRST_SUMS = 32
@@ -184,14 +189,16 @@ class Parameters:
         return [self.context, self.place, self.target, self.offset]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
+        """All parameters, and the squares of gradients that each has seen."""
+        seen = self.seen or [np.full(p.shape, 1e-10, np.float32) for p in self.parts()]
+        return np.concatenate([p.ravel() for p in [*self.parts(), *seen]])
 
     def filled(self, values: np.ndarray) -> Parameters:
         out, at = [], 0
-        for part in self.parts():
+        for part in [*self.parts(), *self.parts()]:
             out.append(values[at : at + part.size].reshape(part.shape).astype(np.float32))
             at += part.size
-        return Parameters(*out)
+        return Parameters(*out[:4], out[4:])
 
     def step(self, last: np.ndarray, second: np.ndarray, word: np.ndarray, noise: np.ndarray, prior: np.ndarray) -> None:
         """One gradient step: each word against the same drawn noise; ``prior`` is log(draws * share)."""
@@ -224,13 +231,27 @@ def _gathered(rows: list[np.ndarray], values: list[np.ndarray], shape: tuple[int
 
 
 def train(docs: DataFrame, words_held, start: Parameters) -> Parameters:
+    """Parameters after rounds over all documents, each in one of them by a hash of its text.
+
+    Small partitions are put together first, so that a task has enough steps to learn from.
+    """
+    total = words_held.value.total
+    packed = docs.select("text").coalesce(max(1, -(-total // TASK_TOKENS)))
+    rounds = 1 + (total // ROUND_TOKENS).bit_length() // 2
+    for number in range(rounds):
+        own = packed.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == number)
+        start = train_round(own, words_held, start, number)
+    return start
+
+
+def train_round(docs: DataFrame, words_held, start: Parameters, number: int) -> Parameters:
     """Parameters after every task has passed its documents once, averaged by tokens."""
     size = len(start.flat())
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own, seen = words_held.value, start.filled(start.flat()), 0
         part = TaskContext.get().partitionId()
-        random, drawn = np.random.default_rng(part), np.cumsum(known.shares)
+        random, drawn = np.random.default_rng([number, part]), np.cumsum(known.shares)
         prior = np.log(NOISE * known.shares).astype(np.float32)
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -288,20 +309,23 @@ class Tables:
 
 
 def tables(docs: DataFrame, model: Parameters) -> Tables:
-    """Normalise over all units for every pair of context tokens, one token before per row."""
+    """Normalise over all units for every pair of context tokens, one row per token before."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        second = (m.place[1] * m.context) @ m.target.T
+        # A sum of exp(a + b) over units is a product of exp(a) and exp(b), each scaled by its largest.
+        second = ((m.place[1] * m.context) @ m.target.T).astype(np.float64)
+        other = second.max(axis=1)
+        weights = np.exp(second - other[:, None]).T
         for batch in batches:
-            for token in batch.column("id").to_pylist():
-                logits = second + ((m.place[0] * m.context[token]) @ m.target.T + m.offset)
-                top = logits.max(axis=1)
-                np.exp(np.subtract(logits, top[:, None], out=logits), out=logits)
-                norm = (np.log(logits.sum(axis=1, dtype=np.float64)) + top).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([token]), pa.array([norm.tobytes()], pa.binary())], ["id", "norm"])
+            ids = batch.column("id").to_numpy()
+            first = ((m.place[0] * m.context[ids]) @ m.target.T + m.offset).astype(np.float64)
+            top = first.max(axis=1)
+            norm = np.log(np.exp(first - top[:, None]) @ weights) + top[:, None] + other
+            rows = [x.tobytes() for x in norm.astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], ["id", "norm"])
 
     n = len(model.context)
     rows = spark.range(0, n, 1, max(16, n // 64)).mapInArrow(norms, "id long, norm binary").collect()  # the model's units
@@ -344,8 +368,8 @@ def fit_class(hashes: np.ndarray, last: np.ndarray, before: np.ndarray, seed: in
     sums = np.ones(len(before))
     for at in range(0, len(found), CLASS_ROWS):
         some = slice(at, at + CLASS_ROWS)
-        logits = vectors[some] @ before.T + np.log(n[some] + 1.0).astype(np.float32)[:, None]
-        sums += np.exp(logits).sum(axis=0, dtype=np.float64)
+        weights = vectors[some] @ before.T
+        sums += (n[some] + 1).astype(np.float32) @ np.exp(weights, out=weights)
     return found, n, vectors, np.log(sums).astype(np.float32)
 
 

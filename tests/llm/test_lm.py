@@ -98,3 +98,15 @@ def test_words_of_a_class_add_up_to_one():
 
 def test_classes_grow_with_the_words():
     assert [lm.class_count(n) for n in (0, 4, 400_000, 40_000_000)] == [1, 1, 317, 3163]
+
+
+def test_many_small_partitions_learn_as_much_as_few(spark):
+    text = F.concat_ws(" ", *[F.when(F.col("id") % 2 == 0, "a b c d").otherwise("e f g h")] * 30)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 5 != 0).alias("train"))
+
+    def gain(parts):
+        row = lm.score(docs.repartition(parts)).filter("not train").agg(F.sum("score"), F.sum("base_score")).first()
+        return row[0] - row[1]
+
+    few, many = gain(2), gain(64)
+    assert many > 0.8 * few > 0
