@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, lm, mih, mixing, pii, quality, simhash, substring, tokenfile, topk
+from quernstone.llm import bpe, lm, mih, mixing, pii, quality, simhash, substring, tokenfile, topk, urls
 from quernstone.llm.blocks import usable
 from quernstone.llm.ship import workers_see_package
 from quernstone.plans.registry import Plans, table
@@ -84,3 +84,38 @@ def op10_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(documents(spark, sf_dir).withColumn("train", ~held_out))
     rest = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), *rest)
+
+
+@PLANS.add(
+    """
+    WITH split AS (
+        SELECT page_id,
+               translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+        FROM pages
+    ),
+    rules(verdict, rule_host, rule_path) AS (
+        VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+               ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+    ),
+    fits AS (
+        SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+               arg_max(verdict, length(rule_host || rule_path)) AS verdict
+        FROM split, rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY page_id
+    )
+    SELECT split.page_id, host, path, rule,
+           CASE WHEN rule IS NOT NULL THEN fits.verdict
+                WHEN host = '' OR host LIKE '%casino%' OR host LIKE '%-bets.%' THEN 'block'
+                WHEN regexp_matches(host || path, '(?s)\\.(jpg|png|gif|css|js|mp4|zip|exe)$') THEN 'block'
+                WHEN path LIKE '/%login' OR path LIKE '/%login/%' THEN 'block'
+                WHEN starts_with(path, '/wp-admin/') OR starts_with(path, '/cgi-bin/') THEN 'block'
+                ELSE 'allow' END AS verdict
+    FROM split LEFT JOIN fits ON split.page_id = fits.page_id
+    """
+)
+def op13_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_see_package(spark)
+    return urls.judge(table(spark, sf_dir, "pages"))
