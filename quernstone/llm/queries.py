@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, lm, mih, mixing, pii, quality, simhash, substring, tokenfile, topk, urls
+from quernstone.llm import align, bpe, lm, mih, mixing, pii, quality, simhash, substring, tokenfile, topk, urls
 from quernstone.llm.blocks import usable
 from quernstone.llm.ship import workers_see_package
 from quernstone.plans.registry import Plans, table
@@ -86,6 +86,12 @@ def op10_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), *rest)
 
 
+@PLANS.add(None)
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.alignments(documents(spark, sf_dir), path_a, path_b)
+
+
 @PLANS.add(
     """
     WITH split AS (
