@@ -68,8 +68,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    solid = ~SPACE[data]
+def words(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = SPACE) -> Words:
+    """Runs of bytes outside ``gaps``, a table over the byte values."""
+    solid = ~gaps[data]
     before = np.zeros_like(solid)
     before[1:] = solid[:-1]
     before[bounds[:-1][bounds[:-1] < len(data)]] = False

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import align, bpe, lm, mih, mixing, pii, quality, simhash, substring, tokenfile, topk, urls
+from quernstone.llm import align, bpe, lm, mih, mixing, phrases, pii, quality, simhash, substring, tokenfile, topk, urls
 from quernstone.llm.blocks import usable
 from quernstone.llm.ship import workers_see_package
 from quernstone.plans.registry import Plans, table
@@ -86,6 +86,58 @@ def op10_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), *rest)
 
 
+@PLANS.add(
+    r"""
+    WITH texts AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents
+    ),
+    pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+    tokens AS (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+    ),
+    runs AS (
+        SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS w
+        FROM tokens, range(1, 4) AS lengths(m)
+    ),
+    counts AS (
+        SELECT lang, m, w, array_to_string(w, ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL
+    ),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+    candidates AS (SELECT lang, m, w, phrase, f AS a FROM counts WHERE m >= 2 AND f >= 10),
+    cuts AS (SELECT lang, m, w, phrase, a, unnest(range(1, m)) AS k FROM candidates),
+    scored AS (
+        SELECT c.lang, c.phrase, c.m, c.a, c.k, x.f AS l, y.f AS r,
+               ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM cuts c
+        JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+        JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+    ),
+    best AS (
+        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ),
+    around AS (
+        SELECT lang, phrase, max(a) AS longer FROM (
+            SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE m = 3
+            UNION ALL
+            SELECT lang, array_to_string(w[2:3], ' ') AS phrase, a FROM candidates WHERE m = 3
+        ) GROUP BY lang, phrase
+    ),
+    ranked AS (
+        SELECT best.lang, best.phrase, a, l, r, score,
+               row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+        FROM best LEFT JOIN around ON around.lang = best.lang AND around.phrase = best.phrase
+        WHERE longer IS NULL OR 100 * longer < 50 * a
+    )
+    SELECT ranked.lang, rank, phrase, a, l, r, n, score
+    FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+    """
+)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 @PLANS.add(None)
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path_a, path_b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
