@@ -9,6 +9,8 @@ from quernstone.operators.binning import (
     distinct_buckets,
 )
 from quernstone.operators.features import FeatureAssembler, cached, project, row_count
+from quernstone.operators.footers import footer_statistics
+from quernstone.operators.logbuckets import log_bucket_quantiles, log_buckets, merged_buckets
 from quernstone.operators.quantiles import (
     Maximum,
     Minimum,
@@ -24,6 +26,13 @@ from quernstone.operators.quantiles import (
     rank_error,
     sketch_quantiles,
 )
+from quernstone.operators.rates import (
+    fit_by_rate,
+    merged_moments,
+    moments,
+    moments_by_rate,
+    term_statistics_by_rate,
+)
 from quernstone.operators.sampling import (
     hash_sample,
     hash_sample_by,
@@ -50,9 +59,14 @@ from quernstone.operators.text import (
     top_terms,
 )
 from quernstone.operators.trace import (
+    capacity_share,
+    executor_spans,
     parse_task_ends,
+    parse_trace,
     read_task_ends,
+    read_trace,
     task_overhead,
+    task_overhead_by_job,
     utilisation,
 )
 
@@ -79,15 +93,26 @@ __all__ = [
     "bin_edges",
     "bucket_distribution",
     "cached",
+    "capacity_share",
     "distinct_buckets",
     "document_terms",
     "exact_quantiles",
+    "executor_spans",
+    "fit_by_rate",
+    "footer_statistics",
     "hash_sample",
     "hash_sample_by",
+    "log_bucket_quantiles",
+    "log_buckets",
     "mean_absolute_error",
+    "merged_buckets",
+    "merged_moments",
     "min_max_statistics",
+    "moments",
+    "moments_by_rate",
     "nested_samples",
     "parse_task_ends",
+    "parse_trace",
     "project",
     "quantile_error",
     "quantile_table",
@@ -95,12 +120,15 @@ __all__ = [
     "random_sample_by",
     "rank_error",
     "read_task_ends",
+    "read_trace",
     "row_count",
     "sketch_quantiles",
     "standard_statistics",
     "stratified_sample",
     "task_overhead",
+    "task_overhead_by_job",
     "term_statistics",
+    "term_statistics_by_rate",
     "top_terms",
     "utilisation",
 ]

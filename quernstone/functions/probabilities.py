@@ -5,6 +5,9 @@ from __future__ import annotations
 from fractions import Fraction
 from math import ceil
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The sizes that Spark's sketch accepts, and its published error curve.
 LEAST_SKETCH_SIZE = 8
 MOST_SKETCH_SIZE = 65_535
@@ -51,6 +54,18 @@ def rank_of(probability: float, n: int) -> int:
     The product is exact for the short fraction the float stands for, so that 0.07 of 100 rows
     is rank 7 and 5/7 of 70 rows is rank 50, whatever the float's last bit.
     """
+    return max(1, ceil(_short(probability) * n))
+
+
+
+def rank_column(probability: float, n: str) -> Column:
+    """The same rank of a column of counts below 10**15, in whole numbers."""
+    exact = _short(probability)
+    above, below = (f"cast({x} AS decimal(20,0))" for x in (exact.numerator, exact.denominator))
+    return F.expr(f"greatest(1L, (cast({n} AS decimal(15,0)) * {above} + {below} - 1) div {below})")
+
+
+def _short(probability: float) -> Fraction:
+    """The short fraction the float stands for, else the float itself."""
     short = Fraction(probability).limit_denominator(100_000)
-    exact = short if float(short) == probability else Fraction(probability)
-    return max(1, ceil(exact * n))
+    return short if float(short) == probability else Fraction(probability)

@@ -21,14 +21,18 @@ def token_body(text: Column) -> Column:
     return F.when(ends_open, F.rtrim(lower, F.lit(WHITE_SPACE))).otherwise(lower)
 
 
+def no_tokens() -> Column:
+    """An empty array of strings that can't hold a null."""
+    return F.array_remove(F.split(F.lit(""), ","), "")
+
+
 def split_body(text: Column, body: Column) -> Column:
     """Tokens of ``text``, given its ``token_body`` as a column of an earlier projection.
 
     Inner empty tokens stay and trailing ones go; an empty text is one empty token, a text of
     white space alone is none.
     """
-    none = F.array().cast("array<string>")
-    return F.when((body == "") & (text != ""), none).otherwise(F.split(body, r"\s"))
+    return F.when((body == "") & (text != ""), no_tokens()).otherwise(F.split(body, r"\s"))
 
 
 def run_starts(ordered: Column) -> Column:

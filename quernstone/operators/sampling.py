@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.keys import below_percent, hash_key
 from quernstone.support.cut import Size, cut_measured
 from quernstone.support.lookup import lookup_join
+from quernstone.support.names import unused
 
 # Hex digits of a hash; of the first slices of a stratum (4,096 of them); and the most by which a
 # large slice is split again (1,048,576).
@@ -133,10 +134,12 @@ def nested_samples(
     """
     rates = _rates(percents)
     cuts, size = sample_cuts(df, strata, key, rates, seed, slice_rows, broadcast_rows)
-    hashed = df.withColumn("_hash", hash_key(seed, *key))
+    place, *limits = unused(df.columns, "_hash", *[f"cut_{p}" for p in rates])
+    cuts = cuts.withColumnsRenamed({f"cut_{p}": limit for p, limit in zip(rates, limits, strict=True)})
+    hashed = df.withColumn(place, hash_key(seed, *key))
     joined = lookup_join(hashed, cuts, list(strata), size, broadcast_rows)
     first = F.coalesce(
-        *[F.when(F.col("_hash") <= F.col(f"cut_{p}"), F.lit(p)) for p in rates]
+        *[F.when(F.col(place) <= F.col(limit), F.lit(p)) for p, limit in zip(rates, limits, strict=True)]
     )
     marked = joined.withColumn("first_rate", first).filter(F.col("first_rate").isNotNull())
     return marked.select(*df.columns, "first_rate")

@@ -26,6 +26,7 @@ from quernstone.functions.numeric import (
     unless_missing,
 )
 from quernstone.operators.base import FitStep, FittedStep, check_invalid, output_names
+from quernstone.support.names import unused
 
 
 def _check_ddof(ddof: int) -> int:
@@ -302,7 +303,8 @@ class VectorStandardScalerModel(FittedStep):
         stored = f'{{"v":{{"type":0,"size":{width},"indices":[],"values":[]}}}}'
         empty = F.from_json(F.lit(stored), StructType([StructField("v", VectorUDT())]))["v"]
         value = F.col(scaler.input_column)
-        held = df.withColumn("_present", F.coalesce(value, empty))
-        product = ElementwiseProduct(scalingVec=Vectors.dense(factors), inputCol="_present", outputCol="_scaled")
-        scaled = F.when(value.isNotNull(), F.col("_scaled"))
-        return product.transform(held).withColumn(scaler.output_column, scaled).drop("_present", "_scaled")
+        present, product_of = unused([*df.columns, scaler.output_column], "_present", "_scaled")
+        held = df.withColumn(present, F.coalesce(value, empty))
+        product = ElementwiseProduct(scalingVec=Vectors.dense(factors), inputCol=present, outputCol=product_of)
+        scaled = F.when(value.isNotNull(), F.col(product_of))
+        return product.transform(held).withColumn(scaler.output_column, scaled).drop(present, product_of)

@@ -11,19 +11,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel as SparkCountVectorizerModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quernstone.functions.text import run_lengths, run_starts, split_body, token_body
+from quernstone.functions.text import no_tokens, run_lengths, run_starts, split_body, token_body
 from quernstone.operators.base import FitStep, FittedStep, PlainStep, check_invalid
-from quernstone.support.cut import Size, cut_measured, discard, measure
+from quernstone.support.cut import Size, cut, cut_measured, discard, measure, scratch_path
 from quernstone.support.lookup import BROADCAST_BYTES, BROADCAST_ROWS
+from quernstone.support.names import unused
 from quernstone.support.ranking import SINGLE_TASK_ROWS, rank_rows
 
-# Largest vocabulary that the driver hands to every task; a larger one is joined, to the same end.
+# Terms of a slice of the vocabulary that every task holds, at most and at least, and slices it holds at once.
 LOCAL_TERMS = 1_000_000
+LEAST_TERMS = 200
+HELD_SLICES = 2
+# Terms that are handed to the vectoriser one by one; more are read by it from a file.
+FEW_TERMS = 1000
 
 # Most frequent terms broadcast ahead of the shuffle join with a larger vocabulary.
 HEAD_TERMS = 100_000
@@ -58,23 +64,34 @@ class Tokenizer(PlainStep):
             refused = F.raise_error(F.lit(message)).cast("string")
             text = F.when(text.isNull(), refused).otherwise(text)
         # The body is used more than once: as a column of its own it is computed once.
-        staged = df.withColumn("_body", token_body(text))
-        split = split_body(F.col(self.input_column), F.col("_body"))
+        (body,) = unused([*df.columns, self.output_column], "_body")
+        staged = df.withColumn(body, token_body(text))
+        split = split_body(F.col(self.input_column), F.col(body))
         if self.drop_empty:
             split = F.array_remove(split, "")
-        return staged.withColumn(self.output_column, split).drop("_body")
+        return staged.withColumn(self.output_column, split).drop(body)
 
 
-def term_statistics(df: DataFrame, tokens_column: str = "tokens", min_df: int = 1) -> DataFrame:
-    """``(term, tf, df)``: total count and number of documents per term, over all documents.
+def _without_nulls(df: DataFrame, tokens_column: str) -> Column:
+    """The tokens that are terms; arrays that can't hold a null are taken as they are."""
+    kind = df.schema[tokens_column].dataType
+    return F.array_compact(tokens_column) if kind.containsNull else F.col(tokens_column)
 
-    Each document first counts its own terms, so it adds one row per distinct term; the only shuffle
-    carries partial sums by term. A null token is no term.
+
+def term_statistics(
+    df: DataFrame, tokens_column: str = "tokens", min_df: int = 1, by: Sequence[str] = ()
+) -> DataFrame:
+    """``(by..., term, tf, df)``: total count and number of documents per term, over all documents.
+
+    Each document adds a row per token and one more per distinct term, all counted by one aggregation, whose
+    shuffle carries partial sums by term. A null token is no term.
     """
-    counted = (
-        document_terms(df, [], tokens_column)
-        .groupBy("term")
-        .agg(F.sum("cnt").alias("tf"), F.count(F.lit(1)).alias("df"))
+    at, n, held = unused([*by, "term"], "at", "n", "held")
+    tokens = df.select(*by, _without_nulls(df, tokens_column).alias(held))
+    both = F.posexplode(F.concat(held, F.array_distinct(held))).alias(at, "term")
+    rows = tokens.select(*by, F.size(held).alias(n), both)
+    counted = rows.groupBy(*by, "term").agg(
+        F.count_if(F.col(at) < F.col(n)).alias("tf"), F.count_if(F.col(at) >= F.col(n)).alias("df")
     )
     return counted.filter(F.col("df") >= min_df) if min_df > 1 else counted
 
@@ -85,7 +102,7 @@ def document_terms(df: DataFrame, id_columns: Sequence[str], tokens_column: str)
     Null tokens are left out.
     """
     ids = list(id_columns)
-    present = F.sort_array(F.array_compact(tokens_column))
+    present = F.sort_array(_without_nulls(df, tokens_column))
     ordered = df.select(*ids, present.alias("_ordered"))
     started = ordered.select(*ids, "_ordered", run_starts(F.col("_ordered")).alias("_starts"))
     terms = started.select(
@@ -158,8 +175,7 @@ class CountVectorizer(FitStep):
         if len(names) == 1:
             tokens = df.select(F.col(names[0]).alias("_tokens"))
         else:
-            none = F.array().cast("array<string>")
-            tokens = df.select(F.concat(*[F.coalesce(c, none) for c in names]).alias("_tokens"))
+            tokens = df.select(F.concat(*[F.coalesce(c, no_tokens()) for c in names]).alias("_tokens"))
         statistics, found = cut_measured(term_statistics(tokens, "_tokens", self.min_df), "terms")
         top = top_terms(statistics, self.vocab_size, found)
         vocabulary, size = cut_measured(top, "vocabulary")
@@ -181,8 +197,9 @@ class CountVectorizerModel(FittedStep):
     """A vocabulary kept as a table ``(term, tf, df, term_index)``, and its transforms.
 
     ``transform`` adds ML sparse vectors and keeps all columns; ``transform_long`` gives rows of
-    pairs. Both give the same result at every vocabulary size. A vocabulary within the measured
-    ``local_terms`` and bytes is held by every task and nothing is shuffled.
+    pairs. Both give the same result at every vocabulary size. ``transform`` never shuffles a document: its tasks
+    hold the vocabulary in slices of ``local_terms`` terms and a bounded number of bytes. More slices than
+    ``HELD_SLICES`` are met one after the other, with the documents written in between.
     """
 
     def __init__(
@@ -202,7 +219,10 @@ class CountVectorizerModel(FittedStep):
         self.bytes = measured.bytes
         self.local_terms = local_terms
         self.head_terms = head_terms
-        self._vectorizer = None
+        self._paths: dict[tuple[int, int], str] = {}
+
+    def _restored(self) -> None:
+        self._paths = {}
 
     @property
     def input_column(self) -> str:
@@ -219,7 +239,7 @@ class CountVectorizerModel(FittedStep):
         df: DataFrame,
         id_columns: Sequence[str],
         broadcast_rows: int = BROADCAST_ROWS,
-        head_terms: int = HEAD_TERMS,
+        head_terms: int | None = None,
     ) -> DataFrame:
         """``(id..., term_index, cnt)``, one row per document and vocabulary term in it.
 
@@ -228,7 +248,7 @@ class CountVectorizerModel(FittedStep):
         no term can be very frequent, is joined by a shuffle on the term.
         """
         terms = document_terms(df, list(id_columns), self.input_column)
-        indexed = self._indexed(terms, broadcast_rows, head_terms)
+        indexed = self._indexed(terms, broadcast_rows, self.head_terms if head_terms is None else head_terms)
         return indexed.filter(F.col("term_index").isNotNull()).drop("term").select(
             *id_columns, "term_index", "cnt"
         )
@@ -267,68 +287,62 @@ class CountVectorizerModel(FittedStep):
 
         Null tokens and a null token array count nothing. Neither ids nor unique rows are needed.
         """
-        local = self.size <= self.local_terms and self.bytes <= BROADCAST_BYTES
         for source, target in zip(self.input_columns, self.output_columns, strict=True):
-            df = self._held_vectors(df, source, target) if local else self._joined_vectors(df, source, target)
+            df = self._vectors(df, source, target)
         return df
 
-    def _held_vectors(self, df: DataFrame, source: str, target: str) -> DataFrame:
-        """By Spark ML's vectoriser over this vocabulary: counted in the row, no shuffle."""
-        if self._vectorizer is None:
-            rows = self.vocabulary.orderBy("term_index").select("term").toArrow()  # within the bounds
-            self._vectorizer = _spark_vectorizer(self.vocabulary.sparkSession, rows.column("term").to_pylist())
-        present = F.coalesce(F.array_compact(source), F.array().cast("array<string>"))
-        model = self._vectorizer.copy().setInputCol("_present").setOutputCol(target)
-        return model.transform(df.withColumn("_present", present)).drop("_present")
-
-    def _joined_vectors(self, df: DataFrame, source: str, target: str) -> DataFrame:
-        """By a join on the terms, for a vocabulary of any size.
-
-        A document becomes a row per distinct term, the first of which carries its columns; they
-        are put together again by a number given to the document here. The input is read once.
-        """
+    def _vectors(self, df: DataFrame, source: str, target: str) -> DataFrame:
+        """By Spark ML's vectoriser over slices of this vocabulary, counted in the row and put end to end."""
         columns = df.columns
-        whole = F.struct(*[F.col(c) for c in columns])
-        numbered = df.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_whole"), F.col(source).alias("_tokens"))
-        none = F.array().cast("array<string>")
-        ordered = F.sort_array(F.array_compact(F.coalesce("_tokens", none)))
-        started = numbered.select("_row", "_whole", ordered.alias("_ordered"))
-        started = started.withColumn("_starts", run_starts(F.col("_ordered")))
-        terms = started.select(
-            "_row", "_whole", F.posexplode_outer(run_lengths(F.col("_ordered"), F.col("_starts"))).alias("_at", "_t")
-        ).select(
-            "_row",
-            F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_whole")).alias("_whole"),
-            F.col("_t.term").alias("term"),
-            F.col("_t.cnt").alias("cnt"),
-        )
-        indexed = self._indexed(terms, self.local_terms, self.head_terms)
-        pair = F.when(F.col("term_index").isNotNull(), F.struct("term_index", "cnt"))
-        gathered = indexed.groupBy("_row").agg(
-            F.first("_whole", ignorenulls=True).alias("_whole"), F.array_sort(F.collect_list(pair)).alias("_pairs")
-        )
-        fields = F.struct(
-            F.struct(
-                F.lit(0).alias("type"),
-                F.lit(self.size).alias("size"),
-                F.col("_pairs.term_index").alias("indices"),
-                F.col("_pairs.cnt").cast("array<double>").alias("values"),
-            ).alias("v")
-        )
-        # Spark's JSON reader builds the vector type from its stored fields inside the JVM.
-        vector = F.from_json(F.to_json(fields), StructType([StructField("v", VectorUDT())]))
-        kept = [F.col("_whole")[c].alias(c) for c in columns if c != target]
-        return gathered.select(*kept, vector["v"].alias(target))
-
-
-def _spark_vectorizer(spark: SparkSession, terms: list[str]) -> SparkCountVectorizerModel:
-    """Spark ML's vectoriser over a list of terms, which go to the JVM as one string.
-
-    The list could also be handed over term by term, at a call for each.
-    """
-    mark = next(c for c in "\0\1\2\3" if not any(c in t for t in terms)) if terms else "\0"
-    joined = mark.join(terms)
-    split = spark._jvm.org.apache.commons.lang3.StringUtils.splitPreserveAllTokens
-    # No term at all would leave the model without a vocabulary, which Spark refuses.
-    array = split(joined, mark) if joined else SparkCountVectorizerModel._new_java_array(terms or [mark], spark._jvm.java.lang.String)
-    return SparkCountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", array)
+        slices = self._slices()
+        present, *parts = unused([*columns, target], "_present", *[f"_part_{i}" for i in range(len(slices))])
+        out = df.withColumn(present, F.coalesce(_without_nulls(df, source), no_tokens()))
+        for i, (first, last) in enumerate(slices):
+            if i and i % HELD_SLICES == 0:
+                out = cut(out, "vectors")
+            out = self._vectorizer(first, last).setInputCol(present).setOutputCol(parts[i]).transform(out)
+        kept = [F.col(c) for c in columns if c != target]
+        if len(slices) == 1:
+            return out.select(*kept, F.col(parts[0]).alias(target))
+        whole, *_ = unused([*out.columns, target], "_whole")
+        joined = VectorAssembler(inputCols=parts, outputCol=whole).transform(out)
+        return joined.select(*kept, _sparse(whole, self.size).alias(target))
+
+    def _slices(self) -> list[tuple[int, int]]:
+        """First and last index (exclusive) of runs of terms within the bounds, one at least."""
+        within = int(self.size * BROADCAST_BYTES / max(self.bytes, 1))
+        terms = max(LEAST_TERMS, min(self.local_terms, within))
+        return [(a, min(a + terms, self.size)) for a in range(0, self.size, terms)] or [(0, 0)]
+
+    def _vectorizer(self, first: int, last: int) -> SparkCountVectorizerModel:
+        """Spark ML's vectoriser over a slice of the terms, which it reads from a stored model."""
+        inside = self.vocabulary.filter((F.col("term_index") >= first) & (F.col("term_index") < last))
+        if last - first <= FEW_TERMS:
+            # Without any term Spark refuses a model: one that no text holds stands in.
+            terms = [r["term"] for r in inside.orderBy("term_index").collect()] or ["\0"]
+            return SparkCountVectorizerModel.from_vocabulary(terms, inputCol="tokens")
+        if (first, last) not in self._paths:
+            spark = self.vocabulary.sparkSession
+            row = F.array_sort(F.collect_list(F.struct("term_index", "term")))
+            terms = inside.agg(row["term"].alias("vocabulary"))
+            path = scratch_path(spark, "vectorizer")
+            SparkCountVectorizerModel.from_vocabulary(["\0"], inputCol="tokens").write().save(f"{path}/made")
+            spark.read.text(f"{path}/made/metadata").coalesce(1).write.text(f"{path}/metadata")
+            terms.coalesce(1).write.parquet(f"{path}/data")
+            self._paths[first, last] = path
+        return SparkCountVectorizerModel.load(self._paths[first, last])
+
+
+def _sparse(column: str, size: int) -> Column:
+    """A vector column, its dense vectors (those with few zeros) as sparse ones."""
+    values = F.unwrap_udt(column)["values"]
+    held = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get(values, i) != 0)
+    fields = F.struct(
+        F.lit(0).alias("type"),
+        F.lit(size).alias("size"),
+        held.alias("indices"),
+        F.transform(held, lambda i: F.get(values, i)).alias("values"),
+    )
+    # Spark's JSON reader builds the vector type from its stored fields inside the JVM.
+    made = F.from_json(F.to_json(F.struct(fields.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+    return F.when(F.unwrap_udt(column)["type"] == 1, made).otherwise(F.col(column))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from quernstone.operators.features import FeatureAssembler
+from quernstone.operators.binning import CustomBinner
+from quernstone.operators.rates import fit_by_rate, merged_moments, moments, moments_by_rate
 from quernstone.operators.scaling import (
     MinMaxScaler,
     StandardScaler,
@@ -15,6 +17,7 @@ from quernstone.operators.scaling import (
 )
 from quernstone.plans.registry import Plans, table
 from quernstone.plans.tables import FEATURES
+from quernstone.support.cut import scratch_path
 
 PLANS = Plans()
 
@@ -174,3 +177,85 @@ def _min_max(spark, sf_dir, scaler):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *FEATURES)
     scaled = scaler.fit_transform(rows)
     return _rounded(scaled, [f"scaled_{c}" for c in FEATURES], "l_orderkey")
+
+
+# The sample rates in percent.
+RATES = list(range(5, 96, 10))
+_RATED = "(SELECT *, CAST(l_orderkey % 100 + 1 AS INTEGER) AS first_rate FROM lineitem)"
+
+
+def _rated(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *FEATURES)
+    return rows.withColumn("first_rate", (F.col("l_orderkey") % 100 + 1).cast("int"))
+
+
+@PLANS.add(
+    "SELECT rate, "
+    + ", ".join(
+        f"count({c}) AS n_{c}, round(avg({c}), 6) AS mean_{c}, round(stddev_samp({c}), 6) AS std_{c}, "
+        f"min({c}) AS min_{c}, max({c}) AS max_{c}"
+        for c in FEATURES
+    )
+    + f" FROM {_RATED}, (SELECT unnest({RATES}) AS rate) WHERE first_rate <= rate GROUP BY rate"
+)
+def scaler_fit_by_rate(spark, sf_dir):
+    """The fits of ten nested samples from one scan."""
+    found = moments_by_rate(moments(_rated(spark, sf_dir), FEATURES), FEATURES, RATES)
+    rounded = [c for c in found.columns if c.startswith(("mean_", "std_"))]
+    return found.withColumns({c: F.round(c, 6) for c in rounded})
+
+
+@PLANS.add(
+    "SELECT rate, "
+    + ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(stddev_samp({c}), 6) AS std_{c}" for c in FEATURES)
+    + f" FROM {_RATED}, (SELECT unnest({RATES}) AS rate) WHERE first_rate <= rate GROUP BY rate"
+)
+def scaler_fit_by_rate_later_rows(spark, sf_dir):
+    """States of the rows so far and of rows that come later, put together."""
+    rows = _rated(spark, sf_dir)
+    now = F.col("l_orderkey") % 7 <= 3
+    parts = [moments(rows.filter(some), FEATURES) for some in (now, ~now)]
+    states = merged_moments(parts[0].unionByName(parts[1]), FEATURES)
+    found = moments_by_rate(states, FEATURES, RATES)
+    return found.select("rate", *[F.round(f"{n}_{c}", 6).alias(f"{n}_{c}") for c in FEATURES for n in ("mean", "std")])
+
+
+@PLANS.add(
+    f"""
+    WITH fits AS (
+        SELECT rate, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s
+        FROM {_RATED}, (SELECT unnest([5, 45]) AS rate) WHERE first_rate <= rate GROUP BY rate
+    )
+    SELECT l_orderkey, l_linenumber, round((l_quantity - (SELECT m FROM fits WHERE rate = 5))
+               / (SELECT s FROM fits WHERE rate = 5), 6) AS at_5,
+           round((l_quantity - (SELECT m FROM fits WHERE rate = 45)) / (SELECT s FROM fits WHERE rate = 45), 6) AS at_45
+    FROM lineitem
+    """
+)
+def scaler_transform_by_rate(spark, sf_dir):
+    """Models of two samples, from one scan, applied to the whole table."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    rated = rows.withColumn("first_rate", (F.col("l_orderkey") % 100 + 1).cast("int"))
+    models = fit_by_rate(StandardScaler(["l_quantity"]), rated, [5, 45])
+    five = models[5].transform(rows).withColumnRenamed("scaled_l_quantity", "at_5")
+    both = models[45].transform(five).withColumnRenamed("scaled_l_quantity", "at_45")
+    return _rounded(both, ["at_5", "at_45"], "l_orderkey", "l_linenumber")
+
+
+@PLANS.add(
+    """
+    WITH fits AS (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem),
+    scaled AS (SELECT l_orderkey, l_linenumber, (l_quantity - m) / s AS z FROM lineitem, fits)
+    SELECT l_orderkey, l_linenumber, round(z, 6) AS scaled_l_quantity,
+           CAST(CASE WHEN z <= -1 THEN 0 WHEN z <= 0 THEN 1 WHEN z <= 1 THEN 2 ELSE 3 END AS INTEGER) AS level
+    FROM scaled
+    """
+)
+def stored_scaler_and_bins(spark, sf_dir):
+    """A pipeline of scaler and binner written, loaded and applied."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    bins = CustomBinner({"scaled_l_quantity": [-9, -1, 0, 1, 9]}, ["level"])
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=[StandardScaler(["l_quantity"]), bins]).fit(rows).write().save(path)
+    found = PipelineModel.load(path).transform(rows)
+    return _rounded(found, ["scaled_l_quantity"], "l_orderkey", "l_linenumber", "level")

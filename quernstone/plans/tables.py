@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.operators.features import FeatureAssembler, cached, project, row_count
+from quernstone.operators.footers import footer_statistics
 from quernstone.operators.scaling import StandardScaler
 from quernstone.plans.registry import Plans, micros, table
 from quernstone.sources.tables import (
@@ -33,6 +34,20 @@ def row_count_lineitem(spark, sf_dir):
     return row_count(table(spark, sf_dir, "lineitem"))
 
 
+@PLANS.add(
+    """
+    SELECT count(*) AS row_count, min(l_orderkey) AS min_l_orderkey, max(l_orderkey) AS max_l_orderkey,
+           min(l_linenumber) AS min_l_linenumber, max(l_linenumber) AS max_l_linenumber,
+           min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity
+    FROM lineitem
+    """
+)
+def footer_counts_and_extremes(spark, sf_dir):
+    """Row count and whole-number extremes from Parquet footers, those of doubles by a scan."""
+    path = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    return footer_statistics(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
 @PLANS.add(
     """
     SELECT l_orderkey, 4 AS width, l_quantity AS f0, l_extendedprice AS f1,

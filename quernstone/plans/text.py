@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
+from quernstone.operators.rates import term_statistics_by_rate
 from quernstone.operators.scaling import VectorStandardScaler
 from quernstone.operators.text import (
     CountVectorizer,
@@ -15,7 +16,7 @@ from quernstone.operators.text import (
     top_terms,
 )
 from quernstone.plans.registry import Plans, table
-from quernstone.support.cut import cut_measured
+from quernstone.support.cut import cut_measured, scratch_path
 
 PLANS = Plans()
 
@@ -184,12 +185,12 @@ def count_vector_sparse(spark, sf_dir):
 
 @PLANS.add(_LONG)
 def count_vector_sparse_any_size(spark, sf_dir):
-    """ML sparse vectors by the join on terms, as for a vocabulary of any size."""
+    """ML sparse vectors by slices of the vocabulary, as for one of any size."""
     return _unpacked(_joined(_model(spark, sf_dir)).transform(_tokens(spark, sf_dir)))
 
 
 def _joined(model):
-    """The same vocabulary, too large to be held: most frequent terms first, the rest shuffled."""
+    """The same vocabulary, too large to be held at once."""
     return CountVectorizerModel(
         model.vocabulary, model.input_columns, model.output_columns, local_terms=100, head_terms=50
     )
@@ -345,3 +346,30 @@ def scaled_count_vectors(spark, sf_dir):
     values = F.unwrap_udt("scaled_features")["values"]
     total = F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
     return scaled.select("doc_id", F.round(total, 4).alias("total"))
+
+
+@PLANS.add(_LONG)
+def stored_model_transform(spark, sf_dir):
+    """A pipeline of tokeniser and vectoriser written with its vocabulary, loaded and applied."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    steps = Pipeline(stages=[Tokenizer(), CountVectorizer(vocab_size=VOCAB_SIZE, min_df=MIN_DF)])
+    path = scratch_path(spark, "pipeline")
+    steps.fit(rows).write().save(path)
+    return _unpacked(PipelineModel.load(path).transform(rows))
+
+
+@PLANS.add(
+    f"""
+    WITH {_TOKENS},
+    rated AS (
+        SELECT rate, term, doc_id FROM words, (SELECT unnest([5, 25, 65, 95]) AS rate)
+        WHERE doc_id % 100 + 1 <= rate
+    )
+    SELECT CAST(rate AS INTEGER) AS rate, term, count(*) AS tf, count(DISTINCT doc_id) AS df
+    FROM rated GROUP BY rate, term
+    """
+)
+def term_statistics_of_rates(spark, sf_dir):
+    """Term counts of four nested samples from one scan."""
+    tokens = _tokens(spark, sf_dir).withColumn("first_rate", F.col("doc_id") % 100 + 1)
+    return term_statistics_by_rate(tokens, [65, 5, 25, 95])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.support.cut import Size, cut, measure
+from quernstone.support.names import unused
 
 # Largest table sent to every executor, as measured rows and bytes.
 BROADCAST_ROWS = 1_000_000
@@ -39,13 +40,13 @@ def lookup_join(
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     size = measure(small) if size is None else size
-    names = {c: f"_key_{i}" for i, c in enumerate(on)}
-    small = small.withColumnsRenamed(names)
-    keys = list(names.values())
+    keys = unused([*large.columns, *small.columns], *[f"_key_{i}" for i in range(len(on))])
+    small = small.withColumnsRenamed(dict(zip(on, keys, strict=True)))
     if size.rows <= limit and size.bytes <= BROADCAST_BYTES:
         return large.join(F.broadcast(small), same_key(large, small, on, keys)).drop(*keys)
-    counted = large.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    often = cut(counted.orderBy(F.desc("_n")).limit(HEAVY_KEYS).select(*on), "heavy-keys")
+    (n,) = unused(on, "_n")
+    counted = large.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    often = cut(counted.orderBy(F.desc(n)).limit(HEAVY_KEYS).select(*on), "heavy-keys")
     heavy = F.broadcast(small.join(F.broadcast(often), same_key(small, often, keys, on), "left_semi"))
     frequent = large.join(heavy, same_key(large, heavy, on, keys)).drop(*keys)
     rest = large.join(F.broadcast(often), same_key(large, often, on, on), "left_anti")
