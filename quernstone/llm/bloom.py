@@ -40,6 +40,7 @@ class Filter:
     rows: int
     split: int = field(init=False)
     bits: int = field(init=False)
+    whole: Loaded | None = field(init=False, default=None)
 
     def __post_init__(self):
         wanted = max(LEAST_BITS, (CELLS * max(self.rows, 1) - 1).bit_length())
@@ -47,7 +48,12 @@ class Filter:
         self.split = wanted - self.bits
 
     def load(self, number: int) -> Loaded:
-        """One slice, built by ranges of cells. The driver holds its bits once, 2**MOST_BITS at most."""
+        """One slice, built by ranges of cells. The driver holds its bits once, 2**MOST_BITS at most.
+
+        A filter of one slice is built once.
+        """
+        if self.whole is not None:
+            return self.whole
         bits, split = self.bits, self.split
         range_bits = min(RANGE_BITS, bits)
 
@@ -77,9 +83,17 @@ class Filter:
         merged = partial.groupBy("range").applyInArrow(merge, "range long, bitmap binary")
         size = (1 << range_bits) // 8
         out = np.zeros((1 << bits) // 8, np.uint8)
-        for part in merged.toLocalIterator():
+        for part in merged.collect():  # 2**MOST_BITS bits at most
             out[part["range"] * size : (part["range"] + 1) * size] = np.frombuffer(part["bitmap"], np.uint8)
-        return Loaded(self.entries.sparkSession.sparkContext.broadcast(out), bits, split, number)
+        loaded = Loaded(self.entries.sparkSession.sparkContext.broadcast(out), bits, split, number)
+        if not split:
+            self.whole = loaded
+        return loaded
+
+    def release(self, loaded: Loaded) -> None:
+        """Free a slice of several that has been used."""
+        if self.split:
+            loaded.bitmap.unpersist()
 
     def covering(self, run: int, split: int) -> Loaded:
         """The slice that holds all hashes with these first bits, ``split`` or more than the filter's."""

@@ -14,15 +14,15 @@ hash, each in a pass of its own. The words themselves are read from the corpus o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm.bloom import Filter, Loaded, slice_of
 from quernstone.llm.bytescan import BYTE_BASE, LOWER, WORD_BASE, flat, mixed, range_hashes, slices, word_hashes, words
 from quernstone.support.cut import cut, cut_measured
 from quernstone.support.lookup import lookup_join
@@ -38,13 +38,7 @@ TOP = 2000
 SAMPLE_SHARE = 0.25
 LOWERED = 0.8
 
-# Cells of a filter per phrase and at most, cells looked up per phrase, cells merged in one task.
-CELLS = 16
-LEAST_BITS, MOST_BITS = 16, 28
-PROBES = 3
-RANGE_BITS = 22
-
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # Signs that end a piece of a text, and all that end a word.
 BREAKS = np.zeros(256, bool)
@@ -64,20 +58,24 @@ class Scanned:
     row: np.ndarray
     room: np.ndarray
     own: np.ndarray
-    other: np.ndarray
     lang: np.ndarray
 
     def phrases(self, length: int) -> np.ndarray:
-        """First words of all phrases of a length; every word begins an empty one."""
-        return np.flatnonzero(self.room >= length)
+        """First words of all phrases of a length. Each text with words has one empty phrase, at its first."""
+        if length:
+            return np.flatnonzero(self.room >= length)
+        return np.flatnonzero(np.diff(self.row, prepend=-1))
 
-    def keys(self, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """64 bits of hash of each phrase, and 24 bits of another with its length below."""
-        last = first + length
+    def hashes(self, first: np.ndarray, length: int) -> np.ndarray:
+        """64 bits of hash of the phrases that begin at these words."""
         lang = self.lang[self.row[first]]
-        hashes = mixed(range_hashes(self.own, first, last, WORD_BASE) ^ mixed(lang + np.uint64(length)))
-        checks = mixed(range_hashes(self.other, first, last, BYTE_BASE) ^ mixed(~lang))
-        return hashes, ((checks >> np.uint64(40) << np.uint64(8)) | np.uint64(length)).astype(np.uint32)
+        return mixed(range_hashes(self.own, first, first + length, WORD_BASE) ^ mixed(lang + np.uint64(length)))
+
+    def checks(self, first: np.ndarray, length: int) -> np.ndarray:
+        """24 bits of another hash, with the length below."""
+        other = mixed(self.own ^ np.uint64(BYTE_BASE))
+        checks = mixed(range_hashes(other, first, first + length, BYTE_BASE) ^ ~self.lang[self.row[first]])
+        return ((checks >> np.uint64(40) << np.uint64(8)) | np.uint64(length)).astype(np.uint32)
 
 
 def scanned(part: pa.RecordBatch) -> Scanned:
@@ -91,91 +89,7 @@ def scanned(part: pa.RecordBatch) -> Scanned:
     last = np.flatnonzero(ends_piece)
     room = last[np.searchsorted(last, np.arange(len(row)))] - np.arange(len(row)) + 1 if len(row) else row
     lang = part.column("lang_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    return Scanned(data, found.starts, found.ends, row, room, word_hashes(found), word_hashes(found, 1), lang)
-
-
-def _cells(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
-    return mixed(hashes + np.uint64(probe * BYTE_BASE % (1 << 64))) >> np.uint64(64 - bits)
-
-
-def _slice_of(hashes: np.ndarray, split: int) -> np.ndarray:
-    return hashes >> np.uint64(64 - split) if split else np.zeros(len(hashes), np.uint64)
-
-
-@dataclass
-class Filter:
-    """A set of hashes: 2**split slices by the first bits, each a Bloom filter of 2**bits cells."""
-
-    entries: DataFrame  # (hash)
-    rows: int
-    split: int = field(init=False)
-    bits: int = field(init=False)
-
-    def __post_init__(self):
-        wanted = max(LEAST_BITS, (CELLS * max(self.rows, 1) - 1).bit_length())
-        self.bits = min(wanted, MOST_BITS)
-        self.split = wanted - self.bits
-
-    def load(self, number: int) -> Broadcast:
-        """One slice, built by ranges of cells."""
-        bits, split = self.bits, self.split
-        range_bits = min(RANGE_BITS, bits)
-
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hashes = batch.column("hash").to_numpy().view(np.uint64)
-                hashes = hashes[_slice_of(hashes, split) == number]
-                cells = np.unique(np.concatenate([_cells(hashes, k, bits) for k in range(PROBES)]))
-                of = cells >> np.uint64(range_bits)
-                low = (cells & np.uint64((1 << range_bits) - 1)).astype("<u4")
-                ranges = np.unique(of)
-                ends = np.searchsorted(of, ranges, "right").tolist()
-                packed = [low[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranges.astype(np.int64)), pa.array(packed, pa.binary())], ["range", "cells"]
-                )
-
-        def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(1 << range_bits, bool)
-            for batch in batches:
-                for cells in batch.column("cells"):
-                    held[np.frombuffer(cells.as_py(), "<u4")] = True
-            bitmap = np.packbits(held, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([bitmap], pa.binary())], ["range", "bitmap"])
-
-        partial = self.entries.select("hash").mapInArrow(build, "range long, cells binary")
-        merged = partial.groupBy("range").applyInArrow(merge, "range long, bitmap binary")
-        size = (1 << range_bits) // 8
-        out = np.zeros((1 << bits) // 8, np.uint8)
-        for part in merged.toLocalIterator():
-            out[part["range"] * size : (part["range"] + 1) * size] = np.frombuffer(part["bitmap"], np.uint8)
-        return self.entries.sparkSession.sparkContext.broadcast(out)
-
-
-@dataclass(frozen=True)
-class Loaded:
-    """A slice of a filter inside a task. Hashes of other slices pass."""
-
-    bitmap: Broadcast
-    bits: int
-    split: int
-    number: int
-
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        at = np.flatnonzero(_slice_of(hashes, self.split) == self.number)
-        held = self.bitmap.value
-        for k in range(PROBES):
-            cell = _cells(hashes[at], k, self.bits)
-            hit = (held[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            out[at[~hit]] = False
-            at = at[hit]
-        return out
-
-
-def _loaded(known: Filter, run: int, split: int) -> Loaded:
-    number = run >> split - known.split
-    return Loaded(known.load(number), known.bits, known.split, number)
+    return Scanned(data, found.starts, found.ends, row, room, word_hashes(found), lang)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -208,32 +122,38 @@ def _counted(
                 found = scanned(part)
                 buckets = part.column("bucket").to_numpy().astype(np.int16)
                 for length in lengths:
-                    first = found.phrases(max(length, 1))
+                    first = found.phrases(length)
                     if length - 1 in new:
-                        head = found.keys(first, length - 1)[0]
-                        tail = found.keys(first + 1, length - 1)[0]
-                        taken = _slice_of(head, split) == run
-                        taken &= new[length - 1].passes(head) & new[length - 1].passes(tail)
+                        # The parts of a phrase begin at its first two words.
+                        parts = found.phrases(length - 1)
+                        hashes = found.hashes(parts, length - 1)
+                        known = np.zeros((3, len(found.row) + 1), bool)
+                        known[0, parts] = slice_of(hashes, split) == run
+                        known[1, parts] = new[length - 1].passes(hashes)
                         if length - 1 in old:
-                            taken &= ~(old[length - 1].passes(head) & old[length - 1].passes(tail))
-                        first = first[taken]
-                    hashes, checks = found.keys(first, length)
-                    if length - 1 not in new:
-                        taken = _slice_of(hashes, split) == run
-                        first, hashes, checks = first[taken], hashes[taken], checks[taken]
+                            known[2, parts] = old[length - 1].passes(hashes)
+                        here, now, before = known[:, first]
+                        first = first[here & now & known[1, first + 1] & ~(before & known[2, first + 1])]
+                    hashes = found.hashes(first, length)
+                    if length - 1 not in new and split:
+                        taken = slice_of(hashes, split) == run
+                        first, hashes = first[taken], hashes[taken]
+                    if not len(first):
+                        continue
                     order = np.argsort(hashes, kind="stable")
-                    hashes, checks = hashes[order], checks[order]
+                    hashes, checks = hashes[order], found.checks(first, length)[order]
                     begins = np.ones(len(order), bool)
                     begins[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
                     at = np.flatnonzero(begins)
-                    if not len(at):
-                        continue
+                    n = np.diff(at, append=len(order))
+                    if length == 0:
+                        n = np.add.reduceat(np.bincount(found.row)[found.row[first[order]]], at)
                     bucket = np.minimum.reduceat(buckets[found.row[first[order]]], at)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(hashes[at].view(np.int64)),
                             pa.array(checks[at].view(np.int32)),
-                            pa.array(np.diff(at, append=len(order))),
+                            pa.array(n),
                             pa.array(bucket),
                         ],
                         ["hash", "check", "n", "bucket"],
@@ -257,7 +177,7 @@ def _missing(entries: DataFrame, known: Filter) -> DataFrame:
 
         return unheld
 
-    slices_of = [_loaded(known, number, known.split) for number in range(1 << known.split)]
+    slices_of = [known.load(number) for number in range(1 << known.split)]
     return _together([entries.select("hash").mapInArrow(scan(one), "hash long") for one in slices_of])
 
 
@@ -291,12 +211,13 @@ def frequent_phrases(
         used = [(new[m - 1], old.get(m - 1)) for m in lengths if m - 1 in new]
         split = max([0, *[f.split for both in used for f in both if f is not None]])
         for run in range(1 << split):
-            now, before = ({k: _loaded(f, run, split) for k, f in x.items() if k + 1 in lengths} for x in (new, old))
+            now, before = ({k: f.covering(run, split) for k, f in x.items() if k + 1 in lengths} for x in (new, old))
             counted = _counted(texts, lengths, now, before, run, split)
             kept = counted.filter((F.col("n") >= least) | (length_of() == 0))
             passes.append(cut(kept, "frequent"))
-            for held in (*now.values(), *before.values()):
-                held.bitmap.unpersist()
+            for filters, loaded in ((new, now), (old, before)):
+                for length, held in loaded.items():
+                    filters[length].release(held)
         # Failures of the border: frequent phrases that the filter does not hold make longer ones possible. The next
         # pass knows all frequent phrases of that length, not only those, as another filter is full elsewhere.
         old, failed = dict(new), []
@@ -341,19 +262,19 @@ def with_words(docs: DataFrame, frequent: DataFrame, most_words: int = MOST_WORD
                     buckets = part.column("bucket").to_numpy()
                     held, langs = found.data.tobytes(), part.column("lang").to_pylist()
                     for length in range(most_words + 1):
-                        first = found.phrases(max(length, 1))
-                        hashes, checks = found.keys(first, length)
+                        first = found.phrases(length)
+                        hashes = found.hashes(first, length)
                         place = _in_bucket(hashes, buckets[found.row[first]])
-                        at = np.flatnonzero(_slice_of(place, one.split) == one.number)
-                        at = at[one.passes(place[at])]
+                        at = np.flatnonzero(one.passes(place) & (slice_of(place, one.split) == one.number))
                         at = at[np.unique(hashes[at], return_index=True)[1]]
-                        first = first[at].tolist()
+                        checks = found.checks(first[at], length)
+                        hashes, first = hashes[at], first[at].tolist()
                         begin, end, row = found.starts, found.ends, found.row
                         texts = [b" ".join([held[begin[k] : end[k]] for k in range(i, i + length)]) for i in first]
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(hashes[at].view(np.int64)),
-                                pa.array(checks[at].view(np.int32)),
+                                pa.array(hashes.view(np.int64)),
+                                pa.array(checks.view(np.int32)),
                                 pa.array([langs[row[i]] for i in first], pa.string()),
                                 pa.array(texts, pa.binary()).cast(pa.string()),
                             ],
@@ -363,7 +284,7 @@ def with_words(docs: DataFrame, frequent: DataFrame, most_words: int = MOST_WORD
         return scan
 
     texts = _texts(docs).select("text", "lang", "lang_key", "bucket")
-    slices_of = [_loaded(known, number, known.split) for number in range(1 << known.split)]
+    slices_of = [known.load(number) for number in range(1 << known.split)]
     schema = "hash long, check int, lang string, phrase string"
     handed = _together([texts.mapInArrow(read(one), schema) for one in slices_of])
     named = handed.groupBy("hash", "check").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
@@ -414,8 +335,11 @@ def collocations(
         F.array_join(F.slice(split, F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("right"),
     )
     for side, count in (("left", "l"), ("right", "r")):
-        counts = known.filter("words >= 1").select("lang", F.col("phrase").alias(side), F.col("n").alias(count))
-        cuts = lookup_join(cuts, counts, ["lang", side], size)
+        counts = known.filter("words >= 1").select(
+            F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("n").alias(count)
+        )
+        # A part that begins or ends very many phrases is a partition that Spark splits.
+        cuts = cuts.join(counts, (F.col("lang") == F.col("_lang")) & (F.col(side) == F.col("_part"))).drop("_lang", "_part")
     best = cuts.withColumn("score", exact_score("a", "l", "r")).groupBy("lang", "phrase").agg(
         F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("_cut")
     )

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from oracle import connect, differences
 
-from quernstone.llm import phrases
+from quernstone.llm import bloom, phrases
 from quernstone.llm.queries import PLANS
 
 
@@ -90,15 +90,15 @@ def test_filters_in_slices_and_full_ones(spark, monkeypatch):
     rows = drawn(4)
     frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     want = sorted(brute([r[1:] for r in rows], 3, 4))
-    monkeypatch.setattr(phrases, "LEAST_BITS", 5)
-    monkeypatch.setattr(phrases, "MOST_BITS", 9)
-    filters = phrases.Filter(frame.limit(0), 200)
+    monkeypatch.setattr(bloom, "LEAST_BITS", 5)
+    monkeypatch.setattr(bloom, "MOST_BITS", 9)
+    filters = bloom.Filter(frame.limit(0), 200)
     assert (filters.bits, filters.split) == (9, 3)
     assert sorted(map(tuple, phrases.collocations(frame, least=4, share=0.1).collect())) == want
     # Every cell taken: all phrases pass.
-    monkeypatch.setattr(phrases, "CELLS", 1)
-    monkeypatch.setattr(phrases, "LEAST_BITS", 3)
-    monkeypatch.setattr(phrases, "MOST_BITS", 3)
+    monkeypatch.setattr(bloom, "CELLS", 1)
+    monkeypatch.setattr(bloom, "LEAST_BITS", 3)
+    monkeypatch.setattr(bloom, "MOST_BITS", 3)
     assert sorted(map(tuple, phrases.collocations(frame, least=4, share=0.01).collect())) == want
 
 
@@ -132,6 +132,6 @@ def test_products_beyond_64_bits(spark):
 def test_filter_holds_what_it_was_given(spark):
     hashes = np.random.default_rng(1).integers(0, 2**63, 5000)
     frame = spark.createDataFrame([(int(h),) for h in hashes[:2500]], "hash long").repartition(3)
-    held = phrases.Filter(frame, 2500)
-    passes = phrases._loaded(held, 0, 0).passes(hashes.astype(np.uint64))
+    held = bloom.Filter(frame, 2500)
+    passes = held.load(0).passes(hashes.astype(np.uint64))
     assert passes[:2500].all() and passes[2500:].mean() < 0.02
