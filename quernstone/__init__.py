@@ -55,6 +55,7 @@ from quernstone.operators.text import (
     CountVectorizerModel,
     Tokenizer,
     document_terms,
+    frequent_terms,
     term_statistics,
     top_terms,
 )
@@ -100,6 +101,7 @@ __all__ = [
     "executor_spans",
     "fit_by_rate",
     "footer_statistics",
+    "frequent_terms",
     "hash_sample",
     "hash_sample_by",
     "log_bucket_quantiles",

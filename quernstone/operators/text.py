@@ -31,6 +31,9 @@ HELD_SLICES = 2
 # Terms that are handed to the vectoriser one by one; more are read by it from a file.
 FEW_TERMS = 1000
 
+# Buckets that tokens are counted in before terms are, where few terms are sought.
+BUCKETS = 1 << 17
+
 # Most frequent terms broadcast ahead of the shuffle join with a larger vocabulary.
 HEAD_TERMS = 100_000
 
@@ -96,6 +99,43 @@ def term_statistics(
     return counted.filter(F.col("df") >= min_df) if min_df > 1 else counted
 
 
+def frequent_terms(
+    df: DataFrame, vocab_size: int, tokens_column: str = "tokens", min_df: int = 1, buckets: int = BUCKETS
+) -> DataFrame:
+    """``(term, tf, df)`` of every term that can be among the ``vocab_size`` most frequent, and few others.
+
+    Tokens are first counted by a hash of the term into so many buckets. A bucket's total bounds the count of each of its
+    terms, so the terms of the fullest buckets, counted exactly, give a count that the sought ones reach, and only
+    buckets with as large a total are counted further. The result is exact for any hash, ties included; a shuffle carries
+    a count per bucket, and terms of the buckets looked into. It pays where few of very many terms are sought.
+    """
+    held, bucket, total = "held", "bucket", "total"
+    tokens = df.select(_without_nulls(df, tokens_column).alias(held))
+
+    def place(term: str) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(buckets)).alias(bucket)
+
+    single = tokens.select(F.explode(held).alias("term")).select(place("term"))
+    totals = cut(single.groupBy(bucket).agg(F.count(F.lit(1)).alias(total)), "buckets")
+    both = F.posexplode(F.concat(held, F.array_distinct(held))).alias("at", "term")
+    rows = tokens.select(F.size(held).alias("n"), both).select("n", "at", "term", place("term"))
+
+    def counted(chosen: DataFrame) -> DataFrame:
+        # At most one row per bucket.
+        inside = rows.join(F.broadcast(chosen.select(bucket)), bucket, "left_semi")
+        sums = inside.groupBy("term").agg(
+            F.count_if(F.col("at") < F.col("n")).alias("tf"), F.count_if(F.col("at") >= F.col("n")).alias("df")
+        )
+        return cut(sums.filter(F.col("df") >= min_df), "terms")
+
+    fullest = totals.orderBy(F.desc(total)).limit(2 * vocab_size).agg(F.min(total)).first()[0] or 0
+    found = counted(totals.filter(F.col(total) >= fullest))
+    top = found.orderBy(F.desc("tf")).limit(vocab_size).agg(F.count(F.lit(1)), F.min("tf")).first()
+    reached = top[1] if top[0] == vocab_size else 0
+    rest = totals.filter((F.col(total) < fullest) & (F.col(total) >= reached))
+    return found if rest.isEmpty() else found.unionByName(counted(rest))
+
+
 def document_terms(df: DataFrame, id_columns: Sequence[str], tokens_column: str) -> DataFrame:
     """``(id..., term, cnt)``: one row per distinct term of each document, without a shuffle.
 
@@ -153,7 +193,8 @@ class CountVectorizer(FitStep):
     """Term counts over the ``vocab_size`` most frequent terms found in ``min_df`` documents.
 
     Several token columns share one vocabulary, as if a row held the tokens of all of them, and each
-    gets an output column of its own.
+    gets an output column of its own. ``method`` is ``count``, which counts all terms at once, or ``buckets``, which
+    gives the same vocabulary and looks only into those that can be in it (see ``frequent_terms``).
     """
 
     def __init__(
@@ -162,10 +203,14 @@ class CountVectorizer(FitStep):
         output_column: str | Sequence[str] = "features",
         vocab_size: int = 1 << 18,
         min_df: int = 1,
+        method: str = "count",
     ):
         super().__init__()
         if vocab_size < 1 or min_df < 1:
             raise ValueError("vocab_size and min_df must be at least 1")
+        if method not in ("count", "buckets"):
+            raise ValueError("method must be 'count' or 'buckets'")
+        self.method = method
         self.input_columns, self.output_columns = _paired(input_column, output_column)
         self.vocab_size = vocab_size
         self.min_df = min_df
@@ -176,7 +221,11 @@ class CountVectorizer(FitStep):
             tokens = df.select(F.col(names[0]).alias("_tokens"))
         else:
             tokens = df.select(F.concat(*[F.coalesce(c, no_tokens()) for c in names]).alias("_tokens"))
-        statistics, found = cut_measured(term_statistics(tokens, "_tokens", self.min_df), "terms")
+        if self.method == "buckets":
+            terms = frequent_terms(tokens, self.vocab_size, "_tokens", self.min_df)
+        else:
+            terms = term_statistics(tokens, "_tokens", self.min_df)
+        statistics, found = cut_measured(terms, "terms")
         top = top_terms(statistics, self.vocab_size, found)
         vocabulary, size = cut_measured(top, "vocabulary")
         discard(statistics)

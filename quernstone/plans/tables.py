@@ -8,6 +8,7 @@ from quernstone.operators.features import FeatureAssembler, cached, project, row
 from quernstone.operators.footers import footer_statistics
 from quernstone.operators.scaling import StandardScaler
 from quernstone.plans.registry import Plans, micros, table
+from quernstone.sources.quoted import quoted_csv_to_parquet
 from quernstone.sources.tables import (
     CSV_TIMES,
     csv_to_parquet,
@@ -127,6 +128,23 @@ def csv_quoted_texts(spark, sf_dir):
     return back.select("doc_id", "n_chars", "lang", "source", F.md5("text").alias("text_md5"))
 
 
+@PLANS.add(
+    """
+    SELECT doc_id, n_chars, lang, source, md5(concat(text, ' "said", ', chr(10), lang)) AS text_md5, 0::BIGINT AS bad
+    FROM documents
+    """
+)
+def csv_quoted_texts_in_parallel(spark, sf_dir):
+    """The same from one file, read by lines in as many tasks as it has blocks."""
+    quoted = F.concat("text", F.lit(' "said", \n'), "lang").alias("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", quoted, "lang", "source", "n_chars")
+    csv_path = scratch_path(spark, "documents-csv")
+    write_csv(rows.coalesce(1), csv_path)
+    path, bad_path = scratch_path(spark, "documents"), scratch_path(spark, "documents-bad")
+    back, bad = quoted_csv_to_parquet(spark, csv_path, path, rows.schema, bad_path)
+    return back.select("doc_id", "n_chars", "lang", "source", F.md5("text").alias("text_md5"), F.lit(bad).cast("long").alias("bad"))
+
+
 @PLANS.add(
     """
     SELECT l_orderkey,

@@ -111,6 +111,13 @@ def vocabulary_topk(spark, sf_dir):
     return _model(spark, sf_dir).vocabulary
 
 
+@PLANS.add(f"{_VOCABULARY} SELECT term, tf, df, term_index FROM vocabulary")
+def vocabulary_by_buckets(spark, sf_dir):
+    """The same, of terms in buckets full enough to hold one of them."""
+    step = CountVectorizer(vocab_size=VOCAB_SIZE, min_df=MIN_DF, method="buckets")
+    return step.fit(_tokens(spark, sf_dir)).vocabulary
+
+
 @PLANS.add(f"{_VOCABULARY} SELECT term, tf, df, term_index FROM vocabulary")
 def vocabulary_topk_ranged(spark, sf_dir):
     """The same by range partitions, as for more terms than one task should order."""

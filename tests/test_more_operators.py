@@ -194,3 +194,26 @@ def test_default_discretizer_shares(load, method):
     total = events.count()
     for row in binned.groupBy("value_bucket").count().collect():
         assert abs(row["count"] / total - 1 / 8) <= 2 * 0.011
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 12, 1 << 17])
+@pytest.mark.parametrize("vocab_size, min_df", [(1, 1), (40, 1), (40, 3), (300, 2), (100_000, 1)])
+def test_frequent_terms_hold_the_vocabulary(load, buckets, vocab_size, min_df):
+    tokens = q.Tokenizer().transform(load("documents").limit(60)).select("tokens").cache()
+    whole = [tuple(r) for r in q.term_statistics(tokens, min_df=min_df).collect()]
+    found = [tuple(r) for r in q.frequent_terms(tokens, vocab_size, min_df=min_df, buckets=buckets).collect()]
+    assert set(found) <= set(whole) and len(found) == len(set(found))
+    order = lambda r: (-r[1], r[0].encode())
+    assert sorted(found, key=order)[:vocab_size] == sorted(whole, key=order)[:vocab_size]
+    if buckets == 1 << 17 and vocab_size == 40:
+        assert len(found) < len(whole) / 5
+    tokens.unpersist()
+
+
+def test_frequent_terms_of_nothing(spark):
+    for rows in ([], [([],)], [(None,)], [([None],)]):
+        frame = spark.createDataFrame(rows, "tokens array<string>")
+        assert q.frequent_terms(frame, 5).count() == 0
+        assert q.CountVectorizer(method="buckets").fit(frame).vocabulary.count() == 0
+    with pytest.raises(ValueError):
+        q.CountVectorizer(method="guess")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 
 import quernstone as q
-from quernstone.sources.tables import csv_to_parquet, read_parquet
+from quernstone.sources.quoted import quoted_csv_to_parquet, quoted_records, read_quoted_csv
+from quernstone.sources.tables import csv_to_parquet, read_parquet, write_csv
 from quernstone.streaming.scoring import append_to_parquet, apply_steps
 
 SCHEMA = "year int, delay double, note string"
@@ -42,3 +43,48 @@ def test_stream_gives_the_rows_of_the_batch(spark, load, sf_dir, tmp_path):
     written = read_parquet(spark, out, batch.columns)
     assert written.exceptAll(batch).count() == 0
     assert written.count() == batch.count()
+
+
+ODD = [
+    (1, 'plain, "quoted" and\nbroken\n\nlines', 1.5),
+    (2, '"""', None),
+    (3, "carriage\r\nreturn\rhere", -3.0),
+    (4, "", 0.0),
+    (5, None, 2.0),
+    (6, "\n" * 40 + '"' * 9, 1e9),
+    (7, "é漢🎉 " * 30, 7.0),
+]
+
+
+@pytest.mark.parametrize("block", [16, 57, 1000, 1 << 20])
+def test_quoted_csv_in_blocks_of_any_size(spark, tmp_path, block):
+    rows = [(i * 10 + k, note, delay) for i in range(6) for k, note, delay in ODD]
+    frame = spark.createDataFrame(rows, "id int, note string, delay double")
+    write_csv(frame.coalesce(1), str(tmp_path / "in"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        records = quoted_records(spark, str(tmp_path / "in"))
+        if block < 1000:
+            assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 4
+        assert sorted(r.record for r in records.select("record").collect()) == list(range(1, len(rows) + 2))
+        good, bad = read_quoted_csv(spark, str(tmp_path / "in"), frame.schema)
+        assert sorted(map(tuple, good.collect())) == sorted(rows) and bad.count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_bad_records_go_to_a_table_of_their_own(spark, tmp_path):
+    text = 'year,delay,note\r\n1999,1.5,"a\r\nb"\r\n2000,late,x\r\n\r\n2001,NA,y\r\n2002,1,z,too,many\r\n2003,2,"torn\r\nend'
+    (tmp_path / "in.csv").write_bytes(text.encode())
+    table, number = quoted_csv_to_parquet(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), SCHEMA, str(tmp_path / "bad"))
+    assert sorted(map(tuple, table.filter("year < 2003").collect())) == [(1999, 1.5, "a\r\nb"), (2001, None, "y")]
+    bad = {r.record: r.value for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert number == len(bad) and bad[3] == "2000,late,x" and "2002,1,z,too,many" in bad.values()
+    with pytest.raises(ValueError, match="record 3|record 6"):
+        quoted_csv_to_parquet(spark, str(tmp_path / "in.csv"), str(tmp_path / "out2"), SCHEMA)
+    (tmp_path / "empty.csv").write_text("")
+    good, bad = read_quoted_csv(spark, str(tmp_path / "empty.csv"), SCHEMA)
+    assert good.count() == bad.count() == 0
