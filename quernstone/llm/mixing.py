@@ -1,8 +1,8 @@
 """Mix sources to target weights: every source's taken words are fitted to a budget.
 
 Documents are counted by exact length. Whole rounds over a source come first; the rest of its budget
-is spread evenly over the lengths, and what then still lacks is filled by bounded-knapsack dynamic
-programming over the lengths left. Which documents of a length are taken follows a seeded hash, so
+but a few documents' words is spread evenly over the lengths, and what then still lacks is filled by
+bounded-knapsack dynamic programming over the lengths left, at every size of a source alike. Which documents of a length are taken follows a seeded hash, so
 reruns agree. Only length counts meet in one task, a table that grows at most with the square root
 of the words; documents of one length are ranked in slices by hash.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.support.cut import Size, cut, cut_measured
+from quernstone.support.names import unused
 from quernstone.support.ranking import rank_rows
 
 WEIGHTS = (3, 1, 2)
@@ -23,11 +24,16 @@ SEED = 17
 
 # Words of a source's budget that the dynamic programme fills at most; a bit for each is held.
 DP_WORDS = 1 << 16
+# Documents of mean length that the spread leaves to it at first, and how much more where these do not fit.
+REST_DOCUMENTS, REST_GROWTH = 4, 4
 
 # Documents of one length in a slice, on average, and the most slices of a length.
 SLICE_ROWS = 512
 MOST_SLICES = 1 << 16
 
+# Fixed value: the golden ratio's fraction, whose multiples are spread evenly.
+GOLDEN = 0.6180339887498949
+
 BROADCAST_ROWS = 500_000
 
 _WHITE = " \t\n\x0b\f\r"
@@ -51,7 +57,9 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> tuple[dict[int,
     """
     reach, layers = 1, []
     keep = (1 << (budget + 1)) - 1
-    for length, count in sorted(zip(lengths, counts, strict=True), reverse=True):
+    # Far apart one after the other, so that no end of the lengths is used up first.
+    spread = sorted(enumerate(sorted(zip(lengths, counts, strict=True))), key=lambda x: x[0] * GOLDEN % 1)
+    for _, (length, count) in spread:
         if reach >> budget & 1:
             break
         if length > budget:
@@ -72,38 +80,47 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> tuple[dict[int,
     return taken, total
 
 
+def _evenly(lengths: list[int], counts: list[int], words: int, most: int) -> list[int]:
+    """Documents of each length, the same share of all, that hold ``words`` or so and never more than ``most``."""
+    everything, more, seen = sum(a * b for a, b in zip(lengths, counts, strict=True)), [], 0
+    for count in counts:
+        more.append((seen + count) * words // everything - seen * words // everything)
+        seen += count
+    excess = sum(a * b for a, b in zip(lengths, more, strict=True)) - most
+    while excess > 0:
+        # The shortest document that makes up for it, else the longest.
+        held = [i for i, m in enumerate(more) if m]
+        i = next((i for i in held if lengths[i] >= excess), held[-1])
+        fewer = max(1, min(more[i], excess // lengths[i]))
+        more[i] -= fewer
+        excess -= fewer * lengths[i]
+    return more
+
+
 def fit_lengths(lengths: list[int], counts: list[int], goal: int) -> tuple[int, list[int]]:
     """Rounds over all documents, and how many of each length are taken once more.
 
-    ``lengths`` ascend and are positive. A rest of the goal within DP_WORDS of nothing or of everything
-    is left to the dynamic programme alone, of what is taken or of what is left out. Of a larger one
-    all but half that many words are spread evenly first, so that it has documents of all lengths
-    to choose from.
+    ``lengths`` ascend and are positive. All of the rest of the goal but a few documents' words is spread evenly
+    over the lengths; the dynamic programme fills these from the documents left. Where they have no
+    choice that fits exactly, it gets more of the rest, up to all of it or half of DP_WORDS.
     """
-    everything = sum(a * b for a, b in zip(lengths, counts, strict=True))
+    everything, documents = sum(a * b for a, b in zip(lengths, counts, strict=True)), sum(counts)
     rounds, budget = divmod(goal, everything) if everything else (0, 0)
-    if budget < DP_WORDS:
-        taken, _ = fill(lengths, counts, budget)
-        return rounds, [taken.get(a, 0) for a in lengths]
-    if everything - budget < DP_WORDS:
-        left_out, _ = fill(lengths, counts, everything - budget)
-        return rounds, [b - left_out.get(a, 0) for a, b in zip(lengths, counts, strict=True)]
-    even, more, seen = budget - DP_WORDS // 2, [], 0
-    for count in counts:
-        more.append((seen + count) * even // everything - seen * even // everything)
-        seen += count
-    lack = budget - sum(a * b for a, b in zip(lengths, more, strict=True))
-    for i in reversed(range(len(lengths))):
-        if lack < 0 and more[i]:
-            fewer = min(more[i], -(lack // lengths[i]))
-            more[i] -= fewer
-            lack += fewer * lengths[i]
-        elif lack >= DP_WORDS and lengths[i] <= lack:
-            extra = min(counts[i] - more[i], (lack - DP_WORDS) // lengths[i] + 1)
-            more[i] += extra
-            lack -= extra * lengths[i]
-    taken, _ = fill(lengths, [b - m for b, m in zip(counts, more, strict=True)], min(lack, DP_WORDS))
-    return rounds, [m + taken.get(a, 0) for a, m in zip(lengths, more, strict=True)]
+    most = min(budget, DP_WORDS // 2)
+    rest = min(most, REST_DOCUMENTS * everything // max(documents, 1))
+    while True:
+        more = _evenly(lengths, counts, budget - rest, budget) if budget > rest else [0] * len(lengths)
+        left = [b - m for b, m in zip(counts, more, strict=True)]
+        lack = budget - sum(a * b for a, b in zip(lengths, more, strict=True))
+        for i in reversed(range(len(lengths))):
+            # Only documents longer than DP_WORDS can leave so much.
+            if lack >= DP_WORDS and lengths[i] <= lack:
+                extra = min(left[i], (lack - DP_WORDS) // lengths[i] + 1)
+                more[i], left[i], lack = more[i] + extra, left[i] - extra, lack - extra * lengths[i]
+        taken, words = fill(lengths, left, min(lack, DP_WORDS))
+        if words == lack or rest >= most:
+            return rounds, [m + taken.get(a, 0) for a, m in zip(lengths, more, strict=True)]
+        rest = min(most, max(1, rest) * REST_GROWTH)
 
 
 def _plan_source(group: pd.DataFrame) -> pd.DataFrame:
@@ -206,27 +223,33 @@ def mix(
 
 
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source and any others), each as often as the mix takes it."""
+    """The rows of ``docs`` (doc_id, text, source and any others), each as often as the mix takes it.
+
+    Null and wordless texts are taken not at all, an empty table gives none, ties go as in ``mix``. Rows that share
+    id, text and source divide their copies. All columns stay, whatever their names.
+    """
+    names = unused(docs.columns, "_id", "_key", "_source", "_copies", "_rows", "_time", "_each")
+    id_name, key_name, source_name, copies, rows_name, time, each_name = names
     taken = cut(
         mix(docs, **options)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"))
-        .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-        .filter("_copies > 0"),
+        .groupBy(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name), F.col("source").alias(source_name))
+        .agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows_name))
+        .filter(F.col(copies) > 0),
         "copies",
     )
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (key == F.col(key_name))
+    same &= F.col("source").eqNullSafe(F.col(source_name))
 
     def repeated(rows: DataFrame, times: Column) -> DataFrame:
-        several = rows.withColumn("_time", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+        several = rows.withColumn(time, F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
         return several.select(docs.columns)
 
-    single = repeated(docs.join(taken.filter("_rows = 1"), same), F.col("_copies"))
-    shared = taken.filter("_rows > 1")
+    single = repeated(docs.join(taken.filter(F.col(rows_name) == 1), same), F.col(copies))
+    shared = taken.filter(F.col(rows_name) > 1)
     if shared.isEmpty():
         return single
-    # Rows that share id, text and source divide their copies as evenly as they go.
-    place = F.row_number().over(Window.partitionBy("_id", "_key", "_source").orderBy("_key"))
-    each = F.floor(F.col("_copies") / F.col("_rows")) + (place <= F.col("_copies") % F.col("_rows")).cast("long")
-    divided = docs.join(shared, same).withColumn("_each", each)
-    return single.unionByName(repeated(divided, F.col("_each")))
+    place = F.row_number().over(Window.partitionBy(id_name, key_name, source_name).orderBy(key_name))
+    whole, more = F.floor(F.col(copies) / F.col(rows_name)), F.col(copies) % F.col(rows_name)
+    divided = docs.join(shared, same).withColumn(each_name, whole + (place <= more).cast("long"))
+    return single.unionByName(repeated(divided, F.col(each_name)))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -53,6 +55,37 @@ def test_documents_against_definition(spark, sf_dir):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("documents", [200, 600, 5_000, 50_000])
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.5, 0.8, 0.95])
+def test_every_third_of_the_lengths_has_its_share(documents, share):
+    """The same kind of mix from small and large sources: no switch by size."""
+    draw = random.Random(documents)
+    counts = Counter(draw.randrange(5, 400) for _ in range(documents))
+    lengths = sorted(counts)
+    goal = int(share * sum(a * b for a, b in counts.items()))
+    rounds, more = mixing.fit_lengths(lengths, [counts[a] for a in lengths], goal)
+    assert rounds == 0 and all(0 <= m <= counts[a] for a, m in zip(lengths, more, strict=True))
+    assert goal - 400 < sum(a * m for a, m in zip(lengths, more, strict=True)) <= goal
+    ascending = [(a, k < m) for a, m in zip(lengths, more, strict=True) for k in range(counts[a])]
+    for third in range(3):
+        some = ascending[third * documents // 3 : (third + 1) * documents // 3]
+        assert abs(sum(taken for _, taken in some) / len(some) - share) < 0.10
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_few_or_very_long_documents_come_near(seed):
+    draw = random.Random(seed)
+    counts = Counter(int(10 ** draw.uniform(0, 6)) for _ in range(draw.choice([1, 2, 5, 30, 300])))
+    lengths = sorted(counts)
+    everything = sum(a * b for a, b in counts.items())
+    goal = int(draw.uniform(0, 2) * everything)
+    rounds, more = mixing.fit_lengths(lengths, [counts[a] for a in lengths], goal)
+    assert all(0 <= m <= counts[a] for a, m in zip(lengths, more, strict=True))
+    words = rounds * everything + sum(a * m for a, m in zip(lengths, more, strict=True))
+    left = [a for a, m in zip(lengths, more, strict=True) if m < counts[a]]
+    assert words <= goal and (not left or goal - words < max(left))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), min_size=1, max_size=6), st.integers(0, 150))
 def test_fill_is_the_best_sum(counts, budget):
