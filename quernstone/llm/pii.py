@@ -1,7 +1,7 @@
 """Personal data in whole texts, with Spark's own functions only.
 
 Regular expressions propose spans, validators (value ranges, digit counts, Luhn, mod-97) confirm
-them, and words shortly before a span raise its score. Spans are in code points, the end exclusive.
+them, and words shortly before or after a span raise its score. Spans are in code points, the end exclusive.
 Kinds whose shape alone is evidence start above the threshold; others pass only with a context word.
 A text is split at the matches and positions are running sums of the lengths of gaps and matches.
 """
@@ -14,9 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.support.names import unused
+
 THRESHOLD = 0.5
 CONTEXT_CHARACTERS = 48
 CONTEXT_BONUS = 0.3
+# Matches on each side that context is looked for across; with a digit and a sign each they fill its length.
+CONTEXT_MATCHES = 10
 
 
 def _digits(match: Column) -> Column:
@@ -97,10 +101,43 @@ BASE_KINDS = (
     ),
 )
 
+# Characters of an account number by country, its code and check digits included.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Groups of four, with or without a space before each, as many as the country has."""
+    shapes = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        last = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        shapes.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{last}")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(shapes)})(?![A-Za-z0-9])"
+
+
 MORE_KINDS = (
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        _iban_pattern(),
         0.6,
         _mod_97,
         "iban|account|bank",
@@ -139,6 +176,7 @@ def _spans(text: Column, kind: Kind) -> Column:
     pattern = F.lit(kind.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     nothing = F.array().cast(f"array<{_SPAN}>")
+    near = F.lit(CONTEXT_CHARACTERS)
 
     def place(found: Column) -> Column:
         gaps = F.split(text, kind.pattern, -1)
@@ -147,21 +185,36 @@ def _spans(text: Column, kind: Kind) -> Column:
         placed = F.zip_with(
             both, _scan(steps, lambda a, b: a + b), lambda x, p: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), p.alias("end"))
         )
+        # The ends of the text between two matches are all that context can reach into.
+        before = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.concat(F.right(g, near), m))
+        after = F.zip_with(found, F.slice(gaps, 2, F.size(found)), lambda m, g: F.concat(m, F.left(g, near)))
+        sides = F.array(F.struct(before.alias("before"), after.alias("after"), gaps.alias("gaps")))
+        numbered = F.transform(placed, lambda x, i: F.struct(x["match"].alias("match"), x["end"].alias("end"), (i + 1).alias("i")))
         if kind.valid is not None:
-            placed = F.filter(placed, lambda x: kind.valid(x["match"]))
-        near = rf"(?i)\b(?:{kind.context})"
-        return F.transform(
-            placed,
-            lambda x: F.struct(
-                F.lit(kind.name).alias("kind"),
-                (x["end"] - F.length(x["match"])).alias("start"),
-                x["end"].alias("end"),
-                (
-                    F.lit(kind.score)
-                    + F.when(F.right(x["gap"], F.lit(CONTEXT_CHARACTERS)).rlike(near), CONTEXT_BONUS).otherwise(0.0)
-                ).alias("score"),
-            ),
-        )
+            numbered = F.filter(numbered, lambda x: kind.valid(x["match"]))
+        words = rf"(?i)\b(?:{kind.context})"
+
+        def score(side: Column, i: Column) -> Column:
+            first = F.greatest(i - CONTEXT_MATCHES, F.lit(1))
+            left = F.concat(F.array_join(F.slice(side["before"], first, i - first), ""), F.element_at(side["gaps"], i))
+            here = F.left(F.element_at(side["gaps"], i + 1), near)
+            right = F.concat(here, F.array_join(F.slice(side["after"], i + 1, F.lit(CONTEXT_MATCHES)), ""))
+            met = F.right(left, near).rlike(words) | F.left(right, near).rlike(words)
+            return F.lit(kind.score) + F.when(met, CONTEXT_BONUS).otherwise(0.0)
+
+        def spans(side: Column) -> Column:
+            return F.transform(
+                numbered,
+                lambda x: F.struct(
+                    F.lit(kind.name).alias("kind"),
+                    (x["end"] - F.length(x["match"])).alias("start"),
+                    x["end"].alias("end"),
+                    score(side, x["i"]).alias("score"),
+                ),
+            )
+
+        # A one-element transform names the sides, so that they are cut once.
+        return F.transform(sides, spans)[0]
 
     # A one-element transform names the matches, so that they are found once.
     located = F.transform(F.array(matches), lambda m: F.when(F.size(m) > 0, place(m)).otherwise(nothing))[0]
@@ -179,7 +232,7 @@ def find(
 ) -> DataFrame:
     """``docs`` with a column ``into``: (kind, start, end, score) by kind as listed, then by start.
 
-    A null or empty text has an empty array. Matches that a validator refuses are dropped and not
+    A null or empty text has an empty array, an empty table no rows; a text is read whole, however long. Matches that a validator refuses are dropped and not
     tried again from a later place. Equal rows give equal spans; other columns are kept, but one named
     ``into`` is replaced.
     """
@@ -216,21 +269,22 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
     Texts without a span, null ones among them, stay as they are.
     """
-    found = find(docs, into="_spans", **options)
-    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"], -x["end"], x["end"], x["kind"])))
-    found = found.withColumn("_spans", ordered)
-    reach = _scan(F.transform("_spans", lambda x: x["end"]), F.greatest)
-    found = found.withColumn("_reach", F.when(F.size("_spans") > 0, reach))
+    spans, until = unused(docs.columns, "_spans", "_reach")
+    found = find(docs, into=spans, **options)
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], -x["end"], x["end"], x["kind"])))
+    found = found.withColumn(spans, ordered)
+    reach = _scan(F.transform(spans, lambda x: x["end"]), F.greatest)
+    found = found.withColumn(until, F.when(F.size(spans) > 0, reach))
     text = F.col("text")
 
     def piece(span: Column, i: Column) -> Column:
         # The text between all spans before and this one; nothing if this one starts inside them.
-        done = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.element_at("_reach", F.greatest(i, F.lit(1))))
+        done = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.element_at(until, F.greatest(i, F.lit(1))))
         between = F.substring(text, (done + 1).cast("int"), (span["start"] - done).cast("int"))
         return F.when(span["start"] < done, F.lit("")).otherwise(
             F.concat(between, F.lit("["), F.upper(span["kind"]), F.lit("]"))
         )
 
-    rest = F.substring(text, (F.element_at("_reach", -1) + 1).cast("int"), F.length(text))
-    masked = F.concat(F.array_join(F.transform("_spans", piece), ""), rest)
-    return found.withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(text)).select(docs.columns)
+    rest = F.substring(text, (F.element_at(until, -1) + 1).cast("int"), F.length(text))
+    masked = F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+    return found.withColumn("text", F.when(F.size(spans) > 0, masked).otherwise(text)).select(docs.columns)

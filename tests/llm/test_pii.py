@@ -62,7 +62,16 @@ def test_any_text_against_brute_force(spark):
     [
         ("GB82 WEST 1234 5698 7654 32", "iban:0:27"),
         ("GB82 WEST 1234 5698 7654 33", ""),
+        ("BE68 5390 0754 7034 EUR", "iban:0:19"),
+        ("ES91 2100 0418 4502 0005 1332 PLEASE PAY", "iban:0:29"),
+        ("to DE89370400440532013000, DE89 3704 0044 0532 0130 00 A", "iban:3:25,iban:27:54"),
+        ("DE89370400440532013000X", ""),
         ("social security 123-45-6789", "ssn:16:27"),
+        ("SSN 123-45-6789, 187-65-4321", "ssn:4:15,ssn:17:28"),
+        ("SSN 123-45-6789, 000-65-4321, 187-65-4321", "ssn:4:15,ssn:30:41"),
+        ("123-45-6789 is my social security number", "ssn:0:11"),
+        ("123-45-6789" + " " * 48 + "ssn", ""),
+        ("ssn" + " " * 48 + "123-45-6789", ""),
         ("part number 123-45-6789", ""),
         ("ssn 666-45-6789", ""),
         ("mail a@b.cc", "email:5:11"),
@@ -88,6 +97,8 @@ def test_redaction_merges_overlaps_and_keeps_columns(spark, edges, clashing):
     assert masked.columns == clashing.columns and masked.count() == edges.count()
     assert pii.counted(pii.find(clashing)).count() == edges.count()
     assert pii.counted(pii.find(edges.limit(0))).count() == 0
+    named = docs.selectExpr("*", "'kept' AS _spans", "7 AS _reach")
+    assert [tuple(r)[1:] for r in pii.redact(named).orderBy("doc_id").collect()] == [(t, "kept", 7) for t in got]
 
 
 def test_plan_has_no_python(spark, sf_dir):
