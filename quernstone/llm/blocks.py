@@ -28,13 +28,16 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def block_count(rows: int, per_block: int) -> int:
+    return max(1, -(-rows // per_block))
+
+
 def pack(rows: DataFrame, count: int, per_block: int) -> DataFrame:
     """(dims, block, ids, data): about ``per_block`` vectors of one length in a row, by ascending id.
 
     Rows go to blocks by a hash of id and vector, so equal ids and hot vectors are spread.
     """
-    blocks = max(1, -(-count // per_block))
-    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(block_count(count, per_block)))
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         dims = key[0].as_py()
@@ -71,15 +74,19 @@ def search(
     queries that share an id are searched one by one.
     """
     kept, size = cut_measured(rows, "vectors")
-    queries, n_queries = cut_measured(pack(kept.filter(is_query), max(1, size.rows // 16), QUERY_ROWS), "queries")
+    queries = cut(pack(kept.filter(is_query), max(1, size.rows // 16), QUERY_ROWS), "queries")
     blocks = cut(prepare(pack(kept, size.rows, per_block)), "blocks")
     columns = [c for c in blocks.columns if c != "dims"]
-    sent = queries.select("dims", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # One row of numbers per block of queries; the blocks themselves meet in the join.
-    wanted = queries.select(F.col("dims").alias("_dims"), F.col("block").alias("_block"))
-    pairs = blocks.join(wanted, F.col("dims") == F.col("_dims")).join(
-        sent.withColumnRenamed("dims", "q_dims"), (F.col("_dims") == F.col("q_dims")) & (F.col("_block") == F.col("q_block"))
+    # The blocks of queries, which are small, go to every block of rows of their length.
+    everywhere = F.sequence(F.lit(0), F.lit(block_count(size.rows, per_block) - 1).cast("long"))
+    sent = queries.select(
+        F.col("dims").alias("_dims"),
+        F.col("block").alias("q_block"),
+        F.col("ids").alias("q_ids"),
+        F.col("data").alias("q_data"),
+        F.explode(everywhere).alias("_block"),
     )
+    pairs = blocks.join(sent, (F.col("dims") == F.col("_dims")) & (F.col("block") == F.col("_block")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -65,9 +65,10 @@ def learn(sample: np.ndarray, total: int, k: int, seed: int = 5) -> Coder:
         left, _, right = np.linalg.svd(np.sign(flat @ turn).T @ flat)
         turn = (left @ right).T
     coder = Coder(mean, axes @ turn, 0)
-    codes, asked = coder.codes(sample), np.arange(len(sample))[:SAMPLE_QUERIES]
+    # Drawn at random: ids that lie together may be alike.
+    codes, asked = coder.codes(sample), random.permutation(len(sample))[:SAMPLE_QUERIES]
     scores = sample[asked] @ sample.T
-    scores[asked, asked] = -np.inf
+    scores[np.arange(len(asked)), asked] = -np.inf
     near = min(len(sample) - 1, max(1, round(k * len(sample) / max(total, 1))))
     if near < 1:
         return coder
@@ -119,7 +120,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     ``vectors`` has (vec_id long, v array<double>) without zero vectors. A block that holds fewer than k
     codes within the radius is probed further until it gives k or all it has, so no query goes
-    short. Vectors of different lengths do not meet.
+    short. Vectors of different lengths do not meet. Equal scores go by the smaller id; queries that share an id are
+    searched one by one, and no row with a query's own id is found.
     """
     lengths = vectors.groupBy(F.size("v").alias("dims")).count().collect()  # one row per vector length
     coders = {}

@@ -90,6 +90,57 @@ def test_ties_repeats_and_unusable_rows(spark):
     assert mih.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0, 3).count() == 0
 
 
+@pytest.mark.parametrize("outliers", [[], [3], [0, 3, 50], "all"])
+@pytest.mark.parametrize("large", [5e4, 1e9, 1e15])
+def test_large_components_are_summed_exactly(spark, outliers, large):
+    """One row out of line costs no other its scores, and none fails the query."""
+    random = np.random.default_rng(8)
+    vectors = np.round(random.normal(size=(120, 64)), 3)
+    at = np.arange(120) if outliers == "all" else np.array(outliers, int)
+    vectors[at] = vectors[at] * (large if large < 1e15 else 1.0)
+    if large == 1e15 and len(at):
+        vectors[at, 7] = 2.0**53
+        vectors[at, 9] = -(2.0**53)
+        vectors[:, 7] = vectors[:, 9] = np.where(np.isin(np.arange(120), at), vectors[:, 7], 0.25)
+    whole = [[int(np.floor(4 * x)) for x in v] for v in vectors.tolist()]
+    want = []
+    for q in range(0, 120, 50):
+        scores = [(-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:5])]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    if any(abs(r[3]) >= 2**63 for r in want):
+        with pytest.raises(Exception, match="(?i)overflow|too large"):
+            topk.top_k(usable(rows), F.col("vec_id") % 50 == 0, 5, 4).collect()
+        return
+    got = topk.top_k(usable(rows), F.col("vec_id") % 50 == 0, 5, 4).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def recall(got, ids, vectors, k, queries):
+    found, hits = {}, 0
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in queries:
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len({int(i) for i in ids[np.argpartition(-scores, k)[:k]]} & found[int(ids[q])])
+    return hits / (k * len(queries))
+
+
+def test_recall_where_the_lowest_ids_are_one_cluster(spark):
+    """More than one block of rows; the queries inside and outside the cluster each find their neighbours."""
+    base = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()])
+    random = np.random.default_rng(4)
+    vectors = base[random.integers(0, len(base), 20_000)] + random.normal(scale=0.05, size=(20_000, base.shape[1]))
+    vectors[:2000] = base[0] + random.normal(scale=0.01, size=(2000, base.shape[1]))
+    ids = np.arange(20_000)
+    frame = spark.createDataFrame(list(zip(ids.tolist(), vectors.tolist(), strict=True)), "vec_id long, embedding array<double>").repartition(8)
+    got = mih.nearest(usable(frame), F.col("vec_id") % 100 == 0, 20).collect()
+    inside, outside = ids[:2000:100], ids[2000::100]
+    assert recall(got, ids, vectors, 20, inside) >= 0.9
+    assert recall(got, ids, vectors, 20, outside) >= 0.9
+
+
 def test_sums_that_could_be_inexact_are_refused():
     with pytest.raises(OverflowError):
         topk.accumulate(np.full((1, 2), 2.0**30), np.full((1, 2), 2.0**30))
