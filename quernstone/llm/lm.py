@@ -4,7 +4,7 @@ Tokens are lower-cased words, and an end after each document. All training docum
 all of them train the model in rounds: every task runs gradient steps from the last average over its
 documents of the round, and parameters are averaged by tokens. The model has two levels. The first predicts the most
 frequent words and classes of all others from the two tokens before; the number of classes grows with
-the square root of the distinct words. The second predicts the word within its class from the token
+the square root of the distinct words, up to a bound. The second predicts the word within its class from the token
 before: every counted word has a vector of its own, learned from all its places, one class at a time.
 Both are normalised by batched matrix products, over all pairs of context tokens and over all words
 of a class for every token before. As context a word outside the most frequent ones is its class.
@@ -29,6 +29,7 @@ from quernstone.support.cut import cut, cut_measured
 
 # Words that are classes of their own, and frequent words whose counts and vectors every task holds.
 MODEL_WORDS = 1000
+MOST_CLASSES = 4096
 HELD_WORDS = 1 << 17
 
 DIMENSIONS = 16
@@ -42,6 +43,9 @@ CLASS_PASSES = 2
 HALF_LEARNED = 10
 HELD_TOKENS = 1 << 20
 CLASS_ROWS = 512
+# Places of a class that one task learns from, or so, and parts of a class put together in one task.
+CLASS_TOKENS = 1 << 22
+MERGED = 16
 
 # Tokens that a training task has at least, if there are as many, and those of the first round. Each
 # time the corpus is four times as large, a round is added.
@@ -96,6 +100,8 @@ class Vocabulary:
     total: int
     distinct: int
     known: int
+    # Places of the words of each class.
+    class_tokens: np.ndarray
 
     @property
     def classes(self) -> int:
@@ -118,8 +124,11 @@ class Vocabulary:
 
 
 def class_count(words: int) -> int:
-    """Classes of so many words: half the square root, so that classes and their sizes both grow."""
-    return max(1, int(np.ceil(np.sqrt(words) / 2)))
+    """Classes of so many words: half the square root, so that classes and their sizes both grow.
+
+    From MOST_CLASSES on only their sizes grow: norms of pairs of units are sent to all tasks, and have a bound so.
+    """
+    return min(MOST_CLASSES, max(1, int(np.ceil(np.sqrt(words) / 2))))
 
 
 def class_numbers(hashes: np.ndarray, classes: int) -> np.ndarray:
@@ -146,14 +155,16 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     known = min(MODEL_WORDS, len(n))
     number = np.minimum(np.arange(len(n)), known)
     classes = class_count(distinct - known)
-    rest = np.ones(classes, np.int64)
+    rest, places = np.ones(classes, np.int64), np.zeros(classes, np.int64)
     of_class = counts.groupBy((F.shiftrightunsigned("hash", 33) % classes).alias("class"))
-    for row in of_class.agg(F.sum(F.col("n") + 1).alias("n")).collect():  # one row per class
+    for row in of_class.agg(F.sum(F.col("n") + 1).alias("n"), F.sum("n").alias("places")).collect():  # one row per class
         rest[row["class"]] += row["n"]
+        places[row["class"]] += row["places"]
     np.subtract.at(rest, class_numbers(hashes[:known], classes), n[:known] + 1)
+    np.subtract.at(places, class_numbers(hashes[:known], classes), n[:known])
     shares = np.append(n[:known] + 1, rest) / (total + distinct + classes)
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], n[order], number[order], shares, int(total), int(distinct), known)
+    return Vocabulary(hashes[order], n[order], number[order], shares, int(total), int(distinct), known, places)
 
 
 def contexts(number: np.ndarray, begins: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,11 +350,15 @@ def features(model: Parameters) -> np.ndarray:
 
 
 def fit_class(hashes: np.ndarray, last: np.ndarray, before: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of one class, their counts and vectors, and the log norm for each token before.
+    """Words of one class, their counts and vectors, and the log norm for each token before."""
+    found, n, vectors = learn_class(hashes, last, before, seed)
+    return found, n, *finish_class(n, vectors, before)
 
-    A word w of count n after token t weighs (n + 1) * exp(vector[w] . before[t]), and words never seen weigh 1
-    together. The vectors are learned by noise-contrastive estimation against the words' shares;
-    a word of few places keeps little of what they say.
+
+def learn_class(hashes: np.ndarray, last: np.ndarray, before: np.ndarray, seed: int | list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of one class, their counts, and the vectors that they learn from these places.
+
+    By noise-contrastive estimation against the words' shares.
     """
     order = np.lexsort((last, hashes))
     found, word, n = np.unique(hashes[order], return_inverse=True, return_counts=True)
@@ -364,23 +379,47 @@ def fit_class(hashes: np.ndarray, last: np.ndarray, before: np.ndarray, seed: in
             gradient = _gathered([own, noise], [miss[:, None] * hidden, false.T @ hidden], vectors.shape) / len(some)
             seen += gradient.astype(np.float32) ** 2
             vectors -= RATE * gradient.astype(np.float32) / np.sqrt(seen)
-    vectors *= (n / (n + HALF_LEARNED)).astype(np.float32)[:, None]
+    return found, n, vectors
+
+
+def merge_class(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, counts and vectors of a class from those of its parts, vectors averaged by the places they saw."""
+    hashes, n, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found, word = np.unique(hashes, return_inverse=True)
+    total = np.bincount(word, n, len(found)).astype(np.int64)
+    sums = _gathered([word], [vectors * n[:, None]], (len(found), vectors.shape[1]))
+    return found, total, (sums / total[:, None]).astype(np.float32)
+
+
+def finish_class(n: np.ndarray, vectors: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a whole class as they are used, and the log norm for each token before.
+
+    A word w of count n after token t weighs (n + 1) * exp(vector[w] . before[t]), and words never seen weigh 1
+    together; a word of few places keeps little of what they say.
+    """
+    vectors = vectors * (n / (n + HALF_LEARNED)).astype(np.float32)[:, None]
     sums = np.ones(len(before))
-    for at in range(0, len(found), CLASS_ROWS):
+    for at in range(0, len(n), CLASS_ROWS):
         some = slice(at, at + CLASS_ROWS)
         weights = vectors[some] @ before.T
         sums += (n[some] + 1).astype(np.float32) @ np.exp(weights, out=weights)
-    return found, n, vectors, np.log(sums).astype(np.float32)
+    return vectors, np.log(sums).astype(np.float32)
 
 
 def train_classes(docs: DataFrame, words_held, before_held) -> DataFrame:
-    """(class, hashes, counts, vectors, norm), one row per class with a word in ``docs``."""
+    """(class, hashes, counts, vectors, norm), one row per class with a word in ``docs``.
+
+    The places of a class are dealt by text into parts of CLASS_TOKENS or so, each of which learns by itself; the
+    parts of a class are put together MERGED at a time. So no task gets more than that, however large the corpus.
+    """
+    parts_of = np.maximum(1, -(-words_held.value.class_tokens // CLASS_TOKENS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_held.value
 
         def hand_on(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             number, hashes, last = (np.concatenate(x) for x in zip(*held, strict=True))
+            # The class, and the part below it.
             order = np.argsort(number, kind="stable")
             number, hashes, last = number[order], hashes[order], last[order].astype(np.int32)
             first = np.flatnonzero(np.diff(number, prepend=-1))
@@ -388,11 +427,12 @@ def train_classes(docs: DataFrame, words_held, before_held) -> DataFrame:
             runs = list(zip(first.tolist(), ends, strict=True))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(number[first]),
+                    pa.array(number[first] >> 32),
+                    pa.array(number[first] & ((1 << 32) - 1)),
                     pa.array([hashes[a:b].tobytes() for a, b in runs], pa.binary()),
                     pa.array([last[a:b].tobytes() for a, b in runs], pa.binary()),
                 ],
-                ["class", "hashes", "last"],
+                ["class", "part", "hashes", "last"],
             )
 
         held, size = [], 0
@@ -403,7 +443,9 @@ def train_classes(docs: DataFrame, words_held, before_held) -> DataFrame:
                 last = contexts(unit, begins, len(known.shares))[0]
                 some = np.flatnonzero(unit >= known.known)
                 if len(some):
-                    held.append((unit[some] - known.known, hashes[some], last[some]))
+                    number = unit[some] - known.known
+                    text = part.column("text_key").to_numpy()[np.searchsorted(begins, some, "right") - 1]
+                    held.append((number << 32 | text % parts_of[number], hashes[some], last[some]))
                     size += len(some)
                 if size >= HELD_TOKENS:
                     yield hand_on(held)
@@ -416,13 +458,38 @@ def train_classes(docs: DataFrame, words_held, before_held) -> DataFrame:
         for batch in batches:
             hashes += [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
             last += [np.frombuffer(x, np.int32) for x in batch.column("last").to_pylist()]
-        number = key[0].as_py()
-        made = fit_class(np.concatenate(hashes), np.concatenate(last), before_held.value, number)
-        parts = [pa.array([x.tobytes()], pa.binary()) for x in made]
-        yield pa.RecordBatch.from_arrays([pa.array([number]), *parts], ["class", "hashes", "counts", "vectors", "norm"])
+        number, part = key[0].as_py(), key[1].as_py()
+        made = learn_class(np.concatenate(hashes), np.concatenate(last), before_held.value, [number, part] if part else number)
+        yield packed(number, part, made)
+
+    def packed(number: int, part: int, made: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        values = [pa.array([x.tobytes()], pa.binary()) for x in made]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part]), *values], ["class", "part", *names[: len(made)]])
+
+    def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        columns = (batch.column(c).to_pylist() for c in ("class", "hashes", "counts", "vectors"))
+        for number, hashes, n, vectors in zip(*columns, strict=True):
+            shaped = np.frombuffer(vectors, np.float32).reshape(-1, DIMENSIONS)
+            yield number, (np.frombuffer(hashes, np.uint64), np.frombuffer(n, np.int64), shaped)
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(key[0].as_py(), key[1].as_py(), merge_class([made for b in batches for _, made in unpacked(b)]))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, (hashes, n, vectors) in unpacked(batch):
+                yield packed(number, 0, (hashes, n, *finish_class(n, vectors, before_held.value)))
 
-    dealt = docs.select("text").mapInArrow(deal, "class long, hashes binary, last binary")
-    return dealt.groupBy("class").applyInArrow(fit, "class long, hashes binary, counts binary, vectors binary, norm binary")
+    names = ["hashes", "counts", "vectors", "norm"]
+    schema = "class long, part long, hashes binary, counts binary, vectors binary"
+    keyed = docs.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("text_key"))
+    dealt = keyed.mapInArrow(deal, "class long, part long, hashes binary, last binary")
+    learned = dealt.groupBy("class", "part").applyInArrow(fit, schema)
+    most = int(parts_of.max(initial=1))
+    while most > 1:
+        learned = learned.withColumn("part", F.expr(f"part div {MERGED}")).groupBy("class", "part").applyInArrow(merge, schema)
+        most = -(-most // MERGED)
+    return learned.mapInArrow(finish, schema + ", norm binary").drop("part")
 
 
 def word_rows(learned: DataFrame) -> DataFrame:
@@ -470,6 +537,8 @@ def score(docs: DataFrame, train_column: str = "train") -> DataFrame:
     ``docs`` has doc_id, text and a boolean column that marks what is learned from. ``base_score`` is
     the smoothed unigram log10 probability of the text, ``score`` the model's. A null or empty text is one
     end. Without a training document each known count is 0 and both scores are those of a uniform model of one word.
+    Texts are read whole, however long; repeated rows are learned from and scored each by itself, an empty table gives
+    none. Other columns, whatever their names, are not looked at.
     """
     rows = docs.select(
         "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(train_column).alias("train")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,8 +97,60 @@ def test_words_of_a_class_add_up_to_one():
     assert (weights.sum(axis=0) + 1) / np.exp(norm) == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_score_adds_up_to_one_over_all_next_words(spark, monkeypatch, parts):
+    """Frequent words, those held, rare ones from the table, and for each class one word never seen."""
+    monkeypatch.setattr(lm, "MODEL_WORDS", 8)
+    monkeypatch.setattr(lm, "HELD_WORDS", 20)
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{min(w, 60)}" for w in random.zipf(1.3, 30)) for _ in range(200)]
+    if parts > 1:
+        monkeypatch.setattr(lm, "CLASS_TOKENS", 100)
+        monkeypatch.setattr(lm, "MERGED", 2)
+    kept = {}
+    for name in ("vocabulary", "tables"):
+        own = getattr(lm, name)
+        monkeypatch.setattr(lm, name, lambda *a, own=own, name=name: kept.setdefault(name, own(*a)))
+    seen = sorted({w for t in texts for w in t.split()})
+    hash_of = lambda w: lm.tokens(pa.array([w]))[0][:1]
+    classes = lm.class_count(len(seen) + 1 - 8)
+    unseen = {}
+    for i in range(1000):
+        unseen.setdefault(int(lm.class_numbers(hash_of(f"new{i}"), classes)[0]), f"new{i}")
+    assert len(unseen) == classes > 1
+    words = [*seen, *unseen.values()]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, f"w2 {w}", False) for i, w in enumerate(words)]
+    frame = spark.createDataFrame([*rows, (5000, "w2", False)], "doc_id long, text string, train boolean")
+    score = {r.doc_id: r.score * np.log(10) for r in lm.score(frame).collect()}
+    known, norms = kept["vocabulary"], kept["tables"]
+    assert (known.class_tokens.sum() > 500) and known.class_tokens.sum() == known.total - np.sort(known.counts)[-8:].sum()
+    unit = lambda h: known.find(h)[1]
+    end, first, start = unit(np.array([lm.END])), unit(hash_of("w2")), np.array([len(known.shares)])
+    assert end[0] < known.known
+
+    def ends(last, second):
+        return float(norms.log_probabilities(last, second, end)[0])
+
+    log_first = score[5000] - ends(first, start)
+    total = sum(np.exp(score[1000 + i] - log_first - ends(unit(hash_of(w)), first)) for i, w in enumerate(words))
+    # An end right away is the last thing that can follow.
+    assert total + np.exp(ends(first, start)) == pytest.approx(1, abs=1e-4)
+
+
+def test_parts_of_a_class_keep_counts_and_average_vectors():
+    random = np.random.default_rng(9)
+    hashes = [random.integers(0, 40, 300).astype(np.uint64) for _ in range(3)]
+    made = [lm.learn_class(h, random.integers(0, 5, 300), random.normal(size=(5, lm.DIMENSIONS)).astype(np.float32), i) for i, h in enumerate(hashes)]
+    found, n, vectors = lm.merge_class(made)
+    every = np.concatenate(hashes)
+    assert found.tolist() == sorted(set(every.tolist())) and n.tolist() == [int((every == f).sum()) for f in found]
+    for f, v in zip(found, vectors, strict=True):
+        parts = [(c[w == f][0], x[w == f][0]) for w, c, x in made if (w == f).any()]
+        assert v == pytest.approx(sum(c * x for c, x in parts) / sum(c for c, _ in parts), abs=1e-5)
+
+
 def test_classes_grow_with_the_words():
-    assert [lm.class_count(n) for n in (0, 4, 400_000, 40_000_000)] == [1, 1, 317, 3163]
+    assert [lm.class_count(n) for n in (0, 4, 400_000, 40_000_000, 10**11)] == [1, 1, 317, 3163, 4096]
 
 
 def test_many_small_partitions_learn_as_much_as_few(spark):
