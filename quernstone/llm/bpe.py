@@ -265,7 +265,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     bytes that these ids decode to.
 
     ``path`` names the vocabulary on every machine. A null or empty text has no ids. Repeated rows give
-    repeated rows.
+    repeated rows, an empty table none. Texts are encoded whole, however long; other columns, whatever their names,
+    are not looked at.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quernstone.support.cut import scratch_path
-
-ROUNDS = 60
+from quernstone.support.cut import discard, scratch_path
 
 
 def _written(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
@@ -44,18 +42,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` has (u long, v long); returns (node, root), the least node reachable.
 
-    Nodes without an edge to another node are not returned. Loops and repeated edges do no harm.
+    Nodes without an edge to another node are not returned. Loops and repeated edges do no harm. Rounds go on while
+    the edges change; each one brings nodes nearer to their least, and a path of n nodes takes some log2(n) squared.
     """
     current, seen = _written(edges.select("u", "v").filter("u != v").distinct(), "edges")
-    for _ in range(ROUNDS):
-        if seen[0] == 0:
-            break
+    while seen[0]:
         following, now = _written(_small_star(_large_star(current)), "edges")
-        if now == seen:
+        discard(current)
+        settled, current, seen = now == seen, following, now
+        if settled:
             break
-        current, seen = following, now
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     # Settled: every edge leads from a node straight to the least one.
     leaves = current.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
     return leaves.union(leaves.select(F.col("root").alias("node"), "root")).distinct()

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SA
     below = [known.filter((F.col("label") == k) & (place < int(share[k] * (1 << 30)))) for k in (0, 1)]
     chosen = below[0].limit(sample).unionByName(below[1].limit(sample)).withColumnRenamed("doc_id", "_id")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", text)
+    rows = docs.select("doc_id", text).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SA
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score): likelihood of label 1 by the text alone; null and empty texts have one too."""
+    """(doc_id, score): likelihood of label 1 by the text alone; null and empty texts have one too.
+
+    Whole texts are read, however long. Equal texts have equal scores; repeated rows and null ids give rows of their own,
+    an empty table none. Other columns, whatever their names, are not looked at.
+    """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more. All columns are kept."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more. All columns are kept, whatever their names.
+
+    A null text scores as an empty one and stays null. Rows that repeat a text stay or go together; a score that equals
+    the threshold stays; an empty table gives none.
+    """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     names = [f"c{i}" for i in range(len(docs.columns))]

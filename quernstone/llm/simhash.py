@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.bytescan import LOWER, Words, flat, slices, spaced, words
 from quernstone.llm.components import connected_components
 from quernstone.support.cut import cut, cut_measured
+from quernstone.support.names import unused
 
 SHINGLE = 3
 RADIUS = 3
@@ -239,18 +240,18 @@ def keep_one_per_group(docs: DataFrame, size: int = SHINGLE, radius: int = RADIU
     """
     grouped = _first_of_group(docs, "doc_id", "text", size, radius)
     led = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    id_name, key_name, led_name, again_name = unused(docs.columns, "_id", "_key", "_led", "_again")
     gone = cut(
-        grouped.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-            F.max(led).alias("_led"), (F.count(F.lit(1)) > 1).alias("_again")
-        ).filter("_led or _again"),
+        grouped.groupBy(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name)).agg(
+            F.max(led).alias(led_name), (F.count(F.lit(1)) > 1).alias(again_name)
+        ).filter(F.col(led_name) | F.col(again_name)),
         "copies",
     )
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (key == F.col(key_name))
     kept = docs.join(gone, same, "left_anti")
-    again = gone.filter("not _led")
+    again = gone.filter(~F.col(led_name))
     if again.isEmpty():
         return kept
-    return kept.unionByName(
-        docs.join(again, same, "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    )
+    several = docs.join(again, same, "left_semi").withColumn(key_name, key)
+    return kept.unionByName(several.dropDuplicates(["doc_id", key_name]).drop(key_name))

@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, encode: Callable[[], Callable[[list[bytes]], l
 
     ``encode`` is called once in a worker and returns what turns UTF-8 texts into ids. ``place`` orders the
     shards. Documents are ranged over the tasks by a sampled distribution of ids; a null text is
-    empty.
+    empty. Repeated rows are documents of their own, next to each other; an empty table gives no shard.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))

@@ -73,3 +73,29 @@ def test_missing_labels(spark, edges):
 def test_fold(spark):
     rows = spark.range(50).select("id", quality.in_fold(F.col("id"), 5, 0).alias("held"))
     assert all(r.held == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows.collect())
+
+
+def naive_features(text):
+    """One value for the text, its words, pairs and byte runs, each by the same hash as a bucket."""
+    found = (text or "").encode().split()
+    whole = quality.mixed
+    word = {w: quality.word_hashes(quality.words(*quality.flat(pa.array([w.decode()]))))[0] for w in set(found)}
+    out = [whole(np.zeros(1, np.uint64))[0]] + [word[w] for w in found]
+    for a, b in zip(found, found[1:], strict=False):
+        pair = whole(np.array([word[a]]) * np.uint64(3) + word[b])[0]
+        out.append(whole(np.ones(1, np.uint64))[0] if a == b else pair)
+    joined = b" ".join(found) + b" " if found else b""
+    for size in quality.CHARACTER_GRAMS:
+        for i in range(len(joined) - size + 1):
+            gram = int.from_bytes(joined[i : i + size], "little") + (size << 56)
+            out.append(whole(np.array([gram], np.uint64))[0])
+    return [int(h) >> (64 - quality.BUCKET_BITS) for h in out]
+
+
+def test_scores_against_features_averaged_one_by_one():
+    random = np.random.default_rng(5)
+    model = quality.Model(random.normal(size=1 << quality.BUCKET_BITS).astype(np.float32), 0.25)
+    texts = ["", None, "a", "aa  bb\naa aa", "é漢 🎉 x", "word " * 50, " lead and trail \t"]
+    for text, got in zip(texts, model.scores(pa.array(texts, pa.string())), strict=True):
+        average = np.mean([float(model.shares[b]) for b in naive_features(text)])
+        assert got == pytest.approx(1 / (1 + np.exp(-(average + 0.25))), rel=1e-6)
