@@ -34,9 +34,6 @@ FEW_TERMS = 1000
 # Buckets that tokens are counted in before terms are, where few terms are sought.
 BUCKETS = 1 << 17
 
-# Most frequent terms broadcast ahead of the shuffle join with a larger vocabulary.
-HEAD_TERMS = 100_000
-
 
 class Tokenizer(PlainStep):
     """``text`` to an array of lower-case tokens, split on ASCII white space.
@@ -258,7 +255,7 @@ class CountVectorizerModel(FittedStep):
         output_column: str | Sequence[str] = "features",
         size: Size | None = None,
         local_terms: int = LOCAL_TERMS,
-        head_terms: int = HEAD_TERMS,
+        head_terms: int | None = None,
     ):
         super().__init__()
         self.vocabulary = vocabulary
@@ -292,44 +289,19 @@ class CountVectorizerModel(FittedStep):
     ) -> DataFrame:
         """``(id..., term_index, cnt)``, one row per document and vocabulary term in it.
 
-        ``df`` is read once. A vocabulary within the measured broadcast bounds joins without a
-        shuffle. Of a larger one the most frequent terms are broadcast, and only the rest, in which
-        no term can be very frequent, is joined by a shuffle on the term.
+        ``df`` is read once and not shuffled. A vocabulary within the measured broadcast bounds is joined; a larger one is
+        met slice by slice, as in ``transform``. ``head_terms`` is accepted and has no effect.
         """
-        terms = document_terms(df, list(id_columns), self.input_column)
-        indexed = self._indexed(terms, broadcast_rows, self.head_terms if head_terms is None else head_terms)
-        return indexed.filter(F.col("term_index").isNotNull()).drop("term").select(
-            *id_columns, "term_index", "cnt"
-        )
-
-    def _indexed(self, terms: DataFrame, broadcast_rows: int, head_terms: int) -> DataFrame:
-        """``terms`` with ``term_index``, null where the vocabulary lacks the term. No row is lost."""
-        index = self.vocabulary.select(F.col("term").alias("_known"), "term_index")
+        ids = list(id_columns)
         if self.size <= broadcast_rows and self.bytes <= BROADCAST_BYTES:
-            found = terms.join(F.broadcast(index), F.col("term") == F.col("_known"), "left")
-            return found.drop("_known")
-        rows = self._head_rows(min(head_terms, broadcast_rows))
-        head = F.broadcast(index.filter(F.col("term_index") < rows))
-        met = terms.join(head, F.col("term") == F.col("_known"), "left").drop("_known")
-        tail = self.vocabulary.filter(F.col("term_index") >= rows).select(
-            F.col("term").alias("_rare"), F.lit(True).alias("_asked"), F.col("term_index").alias("_tail_index")
-        )
-        # A term found by now asks for nothing: it is spread over the tasks by its row's hash.
-        asks = F.col("term_index").isNull() & F.col("term").isNotNull()
-        spread = F.xxhash64(*[c for c in met.columns if c != "term"], "term").cast("string")
-        asked = met.withColumn("_asks", asks).withColumn("_key", F.when(asks, F.col("term")).otherwise(spread))
-        both = (F.col("_key") == F.col("_rare")) & (F.col("_asks") == F.col("_asked"))
-        found = asked.join(tail, both, "left")
-        return found.withColumn("term_index", F.coalesce("term_index", "_tail_index")).select(met.columns)
-
-    def _head_rows(self, rows: int) -> int:
-        """The largest halving of ``rows`` whose terms fit the broadcast bound in bytes."""
-        while rows > 0:
-            head = self.vocabulary.filter(F.col("term_index") < rows)
-            if measure(head).bytes <= BROADCAST_BYTES:
-                break
-            rows //= 2
-        return rows
+            index = self.vocabulary.select(F.col("term").alias("_known"), "term_index")
+            terms = document_terms(df, ids, self.input_column)
+            return terms.join(F.broadcast(index), F.col("term") == F.col("_known")).select(*ids, "term_index", "cnt")
+        (vector,) = unused(df.columns, "_vector")
+        stored = F.unwrap_udt(vector)
+        pairs = F.explode(F.arrays_zip(stored["indices"].alias("i"), stored["values"].alias("v")))
+        counted = self._vectors(df, self.input_column, vector).select(*ids, pairs.alias("_p"))
+        return counted.select(*ids, F.col("_p.i").alias("term_index"), F.col("_p.v").cast("long").alias("cnt"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         """Add the counts as one ML sparse vector per document and token column.

@@ -155,7 +155,7 @@ def count_vector_long(spark, sf_dir):
 
 @PLANS.add(_LONG)
 def count_vector_long_split(spark, sf_dir):
-    """The same with the vocabulary too large to broadcast: frequent terms first, rest shuffled."""
+    """The same with the vocabulary too large to broadcast at once."""
     return _model(spark, sf_dir).transform_long(
         _tokens(spark, sf_dir), ["doc_id"], broadcast_rows=100, head_terms=100
     )
