@@ -76,7 +76,7 @@ def main() -> None:
     binned = by_value.fit(events)
     edges = q.bin_edges(events, "value", 10, "sketch", 0.01)
     cutter = q.CustomBinner({"value": edges}, include_lowest=True, duplicates="drop")
-    joined = q.CountVectorizerModel(counts.vocabulary, local_terms=1000, head_terms=1000)
+    joined = q.CountVectorizerModel(counts.vocabulary, local_terms=50_000)
     vectors = counts.transform(tokens).select("features")
     sparse_scaler = q.VectorStandardScaler(with_mean=False)
     whole_orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").withColumn("stratum", F.year("o_orderdate"))

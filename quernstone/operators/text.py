@@ -266,9 +266,10 @@ class CountVectorizerModel(FittedStep):
         self.local_terms = local_terms
         self.head_terms = head_terms
         self._paths: dict[tuple[int, int], str] = {}
+        self._loaded: dict[tuple[int, int], SparkCountVectorizerModel] = {}
 
     def _restored(self) -> None:
-        self._paths = {}
+        self._paths, self._loaded = {}, {}
 
     @property
     def input_column(self) -> str:
@@ -351,7 +352,12 @@ class CountVectorizerModel(FittedStep):
             spark.read.text(f"{path}/made/metadata").coalesce(1).write.text(f"{path}/metadata")
             terms.coalesce(1).write.parquet(f"{path}/data")
             self._paths[first, last] = path
-        return SparkCountVectorizerModel.load(self._paths[first, last])
+        if (first, last) in self._loaded:
+            return self._loaded[first, last].copy()
+        model = SparkCountVectorizerModel.load(self._paths[first, last])
+        if self.size <= HELD_SLICES * (last - first):
+            self._loaded[first, last] = model
+        return model.copy()
 
 
 def _sparse(column: str, size: int) -> Column:
