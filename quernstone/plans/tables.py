@@ -135,11 +135,11 @@ def csv_quoted_texts(spark, sf_dir):
     """
 )
 def csv_quoted_texts_in_parallel(spark, sf_dir):
-    """The same from one file, read by lines in as many tasks as it has blocks."""
+    """The same with each file read by lines, in as many tasks as it has blocks."""
     quoted = F.concat("text", F.lit(' "said", \n'), "lang").alias("text")
     rows = table(spark, sf_dir, "documents").select("doc_id", quoted, "lang", "source", "n_chars")
     csv_path = scratch_path(spark, "documents-csv")
-    write_csv(rows.coalesce(1), csv_path)
+    write_csv(rows, csv_path)
     path, bad_path = scratch_path(spark, "documents"), scratch_path(spark, "documents-bad")
     back, bad = quoted_csv_to_parquet(spark, csv_path, path, rows.schema, bad_path)
     return back.select("doc_id", "n_chars", "lang", "source", F.md5("text").alias("text_md5"), F.lit(bad).cast("long").alias("bad"))

@@ -1,8 +1,8 @@
 """CSV files with line breaks inside quoted values, read by many tasks per file.
 
 A line break ends a record where the quotes before it are even in number. Files are read as lines, block
-by block; each block is counted by itself for both cases, an even and an odd number of quotes before it, and
-running sums over the blocks tell which case holds and how many records begin before. Lines that
+by block; each run of lines of a block is counted by itself for both cases, an even and an odd number of quotes
+before it, and running sums over the runs tell which case holds and how many records begin before. Lines that
 are whole records are parsed where they are; only the lines of longer records are brought together.
 """
 
@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 from quernstone.support.cut import cut, cut_measured
 from quernstone.support.lookup import lookup_join
 
+# Lines of a block that are counted together, at most (as a power of two).
+RUN_BITS = 12
+
 
 def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     """``(file, record, value)``: the text of every record, numbered from 1 in each file.
@@ -28,28 +31,31 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFram
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )
+    # A block as a whole would be one group, and blocks are too few to fall evenly on tasks.
+    lines = lines.withColumn("run", F.shiftright("at", RUN_BITS))
+    run = ["file", "block", "run"]
     quotes = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))).cast("long")
-    in_block = Window.partitionBy("file", "block").orderBy("at")
+    in_run = Window.partitionBy(*run).orderBy("at")
     counted = lines.withColumn("quotes", quotes)
-    before = F.sum("quotes").over(in_block) - F.col("quotes")
+    before = F.sum("quotes").over(in_run) - F.col("quotes")
     placed = counted.withColumn("inside", before % 2).select(
         "*",
-        # Records that begin up to this line, if the block begins outside of quotes, or inside.
-        F.sum(1 - F.col("inside")).over(in_block).alias("outside_starts"),
-        F.sum("inside").over(in_block).alias("inside_starts"),
+        # Records that begin up to this line, if the run begins outside of quotes, or inside.
+        F.sum(1 - F.col("inside")).over(in_run).alias("outside_starts"),
+        F.sum("inside").over(in_run).alias("inside_starts"),
     )
     placed = cut(placed, "lines")
-    blocks = placed.groupBy("file", "block").agg(
+    runs = placed.groupBy(*run).agg(
         F.sum("quotes").alias("quotes"),
         F.max("outside_starts").alias("outside_starts"),
         F.max("inside_starts").alias("inside_starts"),
     )
-    along = Window.partitionBy("file").orderBy("block")
-    earlier = blocks.withColumn("odd", (F.sum("quotes").over(along) - F.col("quotes")) % 2)
+    along = Window.partitionBy("file").orderBy("block", "run")
+    earlier = runs.withColumn("odd", (F.sum("quotes").over(along) - F.col("quotes")) % 2)
     starts = F.when(F.col("odd") == 0, F.col("outside_starts")).otherwise(F.col("inside_starts"))
-    earlier = earlier.select("file", "block", "odd", (F.sum(starts).over(along) - starts).alias("first"))
-    earlier, size = cut_measured(earlier, "blocks")
-    known = lookup_join(placed, earlier, ["file", "block"], size)
+    earlier = earlier.select(*run, "odd", (F.sum(starts).over(along) - starts).alias("first"))
+    earlier, size = cut_measured(earlier, "runs")
+    known = lookup_join(placed, earlier, run, size)
     own = F.when(F.col("odd") == 0, F.col("outside_starts")).otherwise(F.col("inside_starts"))
     begins = F.col("inside") == F.col("odd")
     numbered = known.select(

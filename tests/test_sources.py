@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import quernstone as q
+from quernstone.plans import tables
+from quernstone.sources import quoted
 from quernstone.sources.quoted import quoted_csv_to_parquet, quoted_records, read_quoted_csv
 from quernstone.sources.tables import csv_to_parquet, read_parquet, write_csv
 from quernstone.streaming.scoring import append_to_parquet, apply_steps
@@ -76,6 +79,43 @@ def test_quoted_csv_in_blocks_of_any_size(spark, tmp_path, block):
             spark.conf.set(key, value)
 
 
+def test_quoted_csv_in_runs_of_few_lines(spark, tmp_path, monkeypatch):
+    """Runs begin inside and outside of quotes, and a file's records are numbered across them."""
+    monkeypatch.setattr(quoted, "RUN_BITS", 2)
+    rows = [(i * 10 + k, note, delay) for i in range(9) for k, note, delay in ODD]
+    frame = spark.createDataFrame(rows, "id int, note string, delay double")
+    write_csv(frame.repartition(3), str(tmp_path / "in"))
+    records = quoted_records(spark, str(tmp_path / "in"))
+    ends = {r.file: (r.n, r.last) for r in records.groupBy("file").agg(F.count("*").alias("n"), F.max("record").alias("last")).collect()}
+    assert len(ends) == 3 and all(n == last for n, last in ends.values())
+    good, bad = read_quoted_csv(spark, str(tmp_path / "in"), frame.schema)
+    assert sorted(map(tuple, good.collect())) == sorted(rows) and bad.count() == 0
+
+
+def test_csv_of_documents_is_written_by_many_tasks(spark, load, tmp_path):
+    """No task reads the whole table."""
+    load("documents").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    written = []
+
+    def kept(rows, path):
+        written.append(path)
+        write_csv(rows, path)
+
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1 << 16)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tables, "write_csv", kept)
+            got = tables.PLANS["csv_quoted_texts_in_parallel"].query(spark, str(tmp_path))
+            assert got.count() == load("documents").count()
+        files = spark.read.text(written).select(F.input_file_name()).distinct().count()
+        assert files >= 5
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_bad_records_go_to_a_table_of_their_own(spark, tmp_path):
     text = 'year,delay,note\r\n1999,1.5,"a\r\nb"\r\n2000,late,x\r\n\r\n2001,NA,y\r\n2002,1,z,too,many\r\n2003,2,"torn\r\nend'
     (tmp_path / "in.csv").write_bytes(text.encode())
