@@ -8,14 +8,15 @@ n - 1 words, so the result is exact, whatever the sample held.
 
 A phrase is counted by 88 bits of hash over its language and words, and by them the passes
 tell candidates from others in a Bloom filter of bounded size. A larger set of phrases is met in slices by
-hash, each in a pass of its own. The words themselves are read from the corpus only for frequent phrases.
+hash, each in a pass of its own. Counts travel as arrays, by ranges of the hash whose number grows with the texts.
+The words themselves are read from the corpus only for frequent phrases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,16 @@ LOWERED = 0.8
 
 SLICE_BYTES = 1 << 20
 
+# Occurrences that a task sums up at a time, and bytes of text for each range of hashes that is summed up
+# as one group, per word of the longest phrases.
+HELD = 1 << 20
+RANGE_BYTES = 4 << 20
+# Fields of a counted phrase.
+FIELDS = {"hash": "<u8", "check": "<u4", "n": "<i8", "bucket": "u1"}
+
+# Longest phrases hashed word by word.
+SHORT = 4
+
 # Signs that end a piece of a text, and all that end a word.
 BREAKS = np.zeros(256, bool)
 BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -68,16 +79,30 @@ class Scanned:
 
     def hashes(self, first: np.ndarray, length: int) -> np.ndarray:
         """64 bits of hash of the phrases that begin at these words."""
-        lang = self.lang[self.row[first]]
-        return mixed(range_hashes(self.own, first, first + length, WORD_BASE) ^ mixed(lang + np.uint64(length)))
+        lang = mixed(self.lang + np.uint64(length))[self.row[first]]
+        return mixed(_run_hashes(self.own, first, length, WORD_BASE) ^ lang)
+
+    @cached_property
+    def other(self) -> np.ndarray:
+        return mixed(self.own ^ np.uint64(BYTE_BASE))
 
     def checks(self, first: np.ndarray, length: int) -> np.ndarray:
         """24 bits of another hash, with the length below."""
-        other = mixed(self.own ^ np.uint64(BYTE_BASE))
-        checks = mixed(range_hashes(other, first, first + length, BYTE_BASE) ^ ~self.lang[self.row[first]])
+        checks = mixed(_run_hashes(self.other, first, length, BYTE_BASE) ^ ~self.lang[self.row[first]])
         return ((checks >> np.uint64(40) << np.uint64(8)) | np.uint64(length)).astype(np.uint32)
 
 
+def _run_hashes(terms: np.ndarray, first: np.ndarray, length: int, base: int) -> np.ndarray:
+    """The values of ``range_hashes`` for runs of one length."""
+    if length > SHORT:
+        return range_hashes(terms, first, first + length, base)
+    out = np.zeros(len(first), np.uint64)
+    for k in reversed(range(length)):
+        out *= np.uint64(base)
+        out += terms[first + k]
+    return out
+
+
 def scanned(part: pa.RecordBatch) -> Scanned:
     data, bounds = flat(part.column("text"))
     data = LOWER[data]
@@ -87,7 +112,7 @@ def scanned(part: pa.RecordBatch) -> Scanned:
     ends_piece = np.ones(len(row), bool)
     ends_piece[:-1] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
     last = np.flatnonzero(ends_piece)
-    room = last[np.searchsorted(last, np.arange(len(row)))] - np.arange(len(row)) + 1 if len(row) else row
+    room = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(row)) + 1 if len(row) else row
     lang = part.column("lang_key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     return Scanned(data, found.starts, found.ends, row, room, word_hashes(found), lang)
 
@@ -106,61 +131,108 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _summed(hashes: np.ndarray, checks: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same fields by phrase, in the order of the hashes: sums of ``n``, least ``bucket``."""
+    order = np.argsort(hashes)
+    equal = np.diff(hashes[order]) == 0
+    if (equal & (np.diff(checks[order].astype(np.int64)) != 0)).any():
+        order = np.lexsort((checks, hashes))
+    hashes, checks = hashes[order], checks[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+    at = np.flatnonzero(begins)
+    return hashes[at], checks[at], np.add.reduceat(n[order], at), np.minimum.reduceat(bucket[order], at)
+
+
+def _packed(held: list[tuple[np.ndarray, ...]], ranges: int) -> pa.RecordBatch:
+    """Sums over what a task holds, a row per range of hashes."""
+    summed = _summed(*(np.concatenate(field) for field in zip(*held, strict=True)))
+    of, begins = np.unique((summed[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
+    bounds = [*begins.tolist(), len(summed[0])]
+    columns = [pa.array(of.astype(np.int64))]
+    for field, kind in zip(summed, FIELDS.values(), strict=True):
+        field = field.astype(kind)
+        packed = [field[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        columns.append(pa.array(packed, pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["range", *FIELDS])
+
+
 def _counted(
-    texts: DataFrame, lengths: list[int], new: dict[int, Loaded], old: dict[int, Loaded], run: int, split: int
+    texts: DataFrame,
+    lengths: list[int],
+    new: dict[int, Loaded],
+    old: dict[int, Loaded],
+    run: int,
+    split: int,
+    least: int,
+    ranges: int,
 ) -> DataFrame:
     """(hash, check, n, bucket) of the phrases of these lengths whose two longest parts pass ``new`` and not both
-    ``old``, over all texts; ``bucket`` is the least number among texts that hold the phrase.
+    ``old``, over all texts, that occur ``least`` times or are empty; ``bucket`` is the least number among texts that
+    hold the phrase.
 
     The filters are by length of part; a length without one is counted whole. ``run`` takes the phrases whose
-    first part has these first ``split`` bits of hash.
+    first part has these first ``split`` bits of hash. The sums are made in groups by ``ranges`` ranges of the hash.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 found = scanned(part)
-                buckets = part.column("bucket").to_numpy().astype(np.int16)
+                buckets = part.column("bucket").to_numpy().astype(np.uint8)
                 for length in lengths:
                     first = found.phrases(length)
                     if length - 1 in new:
                         # The parts of a phrase begin at its first two words.
                         parts = found.phrases(length - 1)
                         hashes = found.hashes(parts, length - 1)
-                        known = np.zeros((3, len(found.row) + 1), bool)
-                        known[0, parts] = slice_of(hashes, split) == run
-                        known[1, parts] = new[length - 1].passes(hashes)
-                        if length - 1 in old:
-                            known[2, parts] = old[length - 1].passes(hashes)
-                        here, now, before = known[:, first]
-                        first = first[here & now & known[1, first + 1] & ~(before & known[2, first + 1])]
+                        known = np.zeros((2, len(found.row) + 1), bool)
+                        now = new[length - 1].passes(hashes)
+                        known[0, parts] = now & (slice_of(hashes, split) == run)
+                        known[1, parts] = now
+                        first = first[known[0, first] & known[1, first + 1]]
+                        if length - 1 in old and len(first):
+                            # Only parts of what is left are looked up.
+                            wanted = np.zeros(len(found.row) + 1, bool)
+                            wanted[first] = wanted[first + 1] = True
+                            some = wanted[parts]
+                            before = np.zeros(len(found.row) + 1, bool)
+                            before[parts[some]] = old[length - 1].passes(hashes[some])
+                            first = first[~(before[first] & before[first + 1])]
                     hashes = found.hashes(first, length)
                     if length - 1 not in new and split:
                         taken = slice_of(hashes, split) == run
                         first, hashes = first[taken], hashes[taken]
                     if not len(first):
                         continue
-                    order = np.argsort(hashes, kind="stable")
-                    hashes, checks = hashes[order], found.checks(first, length)[order]
-                    begins = np.ones(len(order), bool)
-                    begins[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
-                    at = np.flatnonzero(begins)
-                    n = np.diff(at, append=len(order))
-                    if length == 0:
-                        n = np.add.reduceat(np.bincount(found.row)[found.row[first[order]]], at)
-                    bucket = np.minimum.reduceat(buckets[found.row[first[order]]], at)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(hashes[at].view(np.int64)),
-                            pa.array(checks[at].view(np.int32)),
-                            pa.array(n),
-                            pa.array(bucket),
-                        ],
-                        ["hash", "check", "n", "bucket"],
-                    )
-
-    rows = texts.select("text", "lang_key", "bucket").mapInArrow(scan, "hash long, check int, n long, bucket short")
-    return rows.groupBy("hash", "check").agg(F.sum("n").alias("n"), F.min("bucket").alias("bucket"))
+                    row = found.row[first]
+                    n = np.ones(len(first), np.int64) if length else np.bincount(found.row)[row]
+                    held.append((hashes, found.checks(first, length), n, buckets[row]))
+                    size += len(first)
+                if size >= HELD:
+                    yield _packed(held, ranges)
+                    held, size = [], 0
+        if held:
+            yield _packed(held, ranges)
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[flat(batch.column(c))[0].view(kind) for c, kind in FIELDS.items()] for batch in batches]
+        hashes, checks, n, bucket = _summed(*(np.concatenate(field) for field in zip(*held, strict=True)))
+        kept = (n >= least) | (checks & np.uint32(255) == 0)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(hashes[kept].view(np.int64)),
+                pa.array(checks[kept].view(np.int32)),
+                pa.array(n[kept]),
+                pa.array(bucket[kept].astype(np.int16)),
+            ],
+            ["hash", "check", "n", "bucket"],
+        )
+
+    packed = ", ".join(["range long", *[f"{c} binary" for c in FIELDS]])
+    rows = texts.select("text", "lang_key", "bucket").mapInArrow(scan, packed)
+    return rows.groupBy("range").applyInArrow(merge, "hash long, check int, n long, bucket short")
 
 
 def length_of() -> Column:
@@ -198,10 +270,12 @@ def frequent_phrases(
     texts = _texts(docs)
     parts = list(range(1, most_words))
     threshold = max(1, int(lowered * share * least))
-    sample = _counted(texts.filter(F.col("draw") < share), parts, {}, {}, 0, 0) if parts else None
+    ranges = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = 1 + ranges * most_words // RANGE_BYTES
     new: dict[int, Filter] = {}
-    if sample is not None:
-        proposed = cut(sample.filter(F.col("n") >= threshold).select("hash", "check"), "proposed")
+    if parts:
+        sample = _counted(texts.filter(F.col("draw") < share), parts, {}, {}, 0, 0, threshold, 1 + int(ranges * share))
+        proposed = cut(sample.select("hash", "check"), "proposed")
         for length in parts:
             some = proposed.filter(length_of() == length)
             new[length] = Filter(some, some.count())
@@ -212,9 +286,7 @@ def frequent_phrases(
         split = max([0, *[f.split for both in used for f in both if f is not None]])
         for run in range(1 << split):
             now, before = ({k: f.covering(run, split) for k, f in x.items() if k + 1 in lengths} for x in (new, old))
-            counted = _counted(texts, lengths, now, before, run, split)
-            kept = counted.filter((F.col("n") >= least) | (length_of() == 0))
-            passes.append(cut(kept, "frequent"))
+            passes.append(cut(_counted(texts, lengths, now, before, run, split, least, ranges), "frequent"))
             for filters, loaded in ((new, now), (old, before)):
                 for length, held in loaded.items():
                     filters[length].release(held)
@@ -343,14 +415,18 @@ def collocations(
     best = cuts.withColumn("score", exact_score("a", "l", "r")).groupBy("lang", "phrase").agg(
         F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("_cut")
     )
-    # The largest count of a longer phrase around each shorter one.
-    inner = candidates.filter("words > 2").select(
-        "lang", "a", "words", split.alias("_w"), F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("_m")
-    )
-    inner = inner.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("_m") + 1)).alias("_at"))
-    around = inner.groupBy(
-        F.col("lang").alias("_lang"), F.array_join(F.slice("_w", F.col("_at"), F.col("_m")), " ").alias("_phrase")
-    ).agg(F.max("a").alias("_longer"))
+    # The largest count of a longer phrase around each shorter one: of one with a word more, as a phrase occurs no
+    # more often than what is inside it.
+    longer = candidates.filter("words > 2")
+    ends = [
+        longer.select(
+            F.col("lang").alias("_lang"),
+            F.array_join(F.slice(split, F.lit(at), F.col("words") - 1), " ").alias("_phrase"),
+            F.col("a").alias("_longer"),
+        )
+        for at in (1, 2)
+    ]
+    around = _together(ends).groupBy("_lang", "_phrase").agg(F.max("_longer").alias("_longer"))
     same = (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_phrase"))
     covered = F.coalesce(100 * F.col("_longer") >= covered_percent * F.col("a"), F.lit(False))
     left = best.join(around, same, "left").filter(~covered)

@@ -135,3 +135,27 @@ def test_filter_holds_what_it_was_given(spark):
     held = bloom.Filter(frame, 2500)
     passes = held.load(0).passes(hashes.astype(np.uint64))
     assert passes[:2500].all() and passes[2500:].mean() < 0.02
+
+
+def test_phrases_summed_in_many_ranges_and_parts(spark, monkeypatch):
+    rows = drawn(6)
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "RANGE_BYTES", 500)
+    got = phrases.collocations(frame, most_words=6, least=3)
+    assert sorted(map(tuple, got.collect())) == sorted(brute([r[1:] for r in rows], 6, 3))
+    # No row per phrase is made around longer ones.
+    made = got._jdf.queryExecution().optimizedPlan().toString().count("Generate ")
+    assert made == 1
+
+
+def test_sums_tell_phrases_of_one_hash_apart():
+    draw = np.random.default_rng(2)
+    hashes, checks = draw.integers(0, 9, 500).astype(np.uint64), draw.integers(0, 4, 500).astype(np.uint32)
+    n, bucket = draw.integers(1, 2**40, 500), draw.integers(0, 256, 500).astype(np.uint8)
+    want = {}
+    for h, c, k, b in zip(*(x.tolist() for x in (hashes, checks, n, bucket)), strict=True):
+        total, least = want.get((h, c), (0, 256))
+        want[h, c] = total + k, min(least, b)
+    got = list(zip(*(x.tolist() for x in phrases._summed(hashes, checks, n, bucket)), strict=True))
+    assert {r[:2]: r[2:] for r in got} == want and len(got) == len(want)
