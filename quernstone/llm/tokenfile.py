@@ -9,6 +9,7 @@ of a Parquet table, so they go through Spark's committed writers into any store
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -55,7 +56,7 @@ class WaveletMatrix:
             planes.append(whole)
             ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint32))
             zeros.append(len(order) - int(per_block.sum()))
-            order = np.concatenate([order[~ones], order[ones]])
+            order = np.concatenate([order.compress(~ones), order.compress(ones)])
         return cls(planes, ranks, np.array(zeros, np.int64), len(values))
 
     def _rank(self, level: int, at: int) -> int:
@@ -124,10 +125,11 @@ class WaveletMatrix:
         small = np.uint16 if bits <= 16 else np.uint32
         order = np.zeros(self.length, small)
         for level in range(bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.length, bitorder="little").astype(bool)
+            ones = np.unpackbits(self.planes[level], count=self.length, bitorder="little").view(bool)
             before, zeros = np.empty_like(order), int(self.zeros[level])
-            before[~ones] = order[:zeros]
-            before[ones] = order[zeros:] | small(1 << (bits - 1 - level))
+            # Places are faster to write to than a mask of random bits.
+            before[np.flatnonzero(~ones)] = order[:zeros]
+            before[np.flatnonzero(ones)] = order[zeros:] | small(1 << (bits - 1 - level))
             order = before
         return order
 
@@ -254,17 +256,31 @@ def read_tokens(docs_schema_id: str, shards: DataFrame) -> DataFrame:
     )
 
 
+# Visible ASCII signs and all bytes of U+00C0 to U+017F and U+0400 to U+04FF in UTF-8. The letters there make pairs of
+# cases one by one, and no sign joins them.
+PLAIN = bytes([*range(0x21, 0x7F), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5, *range(0xD0, 0xD4)])
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f\u0400-\u0481\u048a-\u04ff"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if visible, one from U+0100 on if not."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordTokens(dict):
     """Ids of texts by a tokenizer file that lower-cases and drops white space, with an end id.
 
-    No match of its pattern crosses white space, and a stop or comma after a letter is a match of its
-    own, so each word without it is encoded once and remembered: as a key of this dictionary, with its
-    ids as bytes.
+    No match of its pattern crosses white space, so each word without it is encoded once and remembered: as a
+    key of this dictionary, with its ids as bytes. Words of plain bytes are cut into matches here, which the tokenizer's
+    model merges and which are remembered like words; all others go through the whole tokenizer.
     """
 
     # Words that a worker remembers from slice to slice, and bytes of each.
     REMEMBERED = 1_000_000
     LONGEST = 64
+    MATCHES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+").findall
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -272,20 +288,40 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
+        self.signs = _byte_signs()
         self.end = array("I", [end_id]).tobytes()
-        self.marks = {mark: self._library(bytes([mark])) for mark in b".,"}
-
-    def _library(self, word: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self.marks = {mark: self._library(chr(mark)) for mark in b".,"}
+
+    def _library(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _match(self, signs: str) -> bytes:
+        """Ids of a match of the pattern, in lower case."""
+        if not signs.isascii():
+            signs = signs.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.merges(signs)]).tobytes()
+
+    def _plain(self, word: bytes) -> bytes:
+        """Ids of a word of plain bytes."""
+        signs = word.decode().lower()
+        if signs.isalpha():
+            return self._match(signs)
+        matches = self.MATCHES(signs)
+        if sum(map(len, matches)) < len(signs):
+            return self._library(word.decode())
+        if len(matches) == 1:
+            return self._match(signs)
+        return b"".join([self[match.encode()] for match in matches])
 
     def __missing__(self, word: bytes) -> bytes:
         if word[-1] in self.marks and word[-2:-1].isalpha():
+            # A stop or comma after a letter is a match of its own.
             ids = self[word[:-1]] + self.marks[word[-1]]
-        elif word.isalpha() and word.islower():
-            # Letters a-z, which normalising and splitting leave as they are.
-            ids = array("I", [t.id for t in self.merges(word.decode())]).tobytes()
+        elif word.translate(None, PLAIN) or b"<|" in word:
+            # Other signs, and what can be the name of a special token.
+            ids = self._library(word.decode())
         else:
-            ids = self._library(word)
+            ids = self._plain(word)
         if len(word) <= self.LONGEST:
             self[word] = ids
         return ids

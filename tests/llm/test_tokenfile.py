@@ -72,3 +72,25 @@ def test_words_encode_like_whole_texts():
     texts = ["It's  a\ttest", "İSTANBUL ΣΑΣ ς", "a\x85b\xa0c\x1cd", "x<|endoftext|>y", "<|ENDOFTEXT|> A", "Word. word, WORD.. it's, a.b, é. 9. ., . x!.", "é ﬁ K", "", " \n", "漢字🎉1234"]
     got = own([t.encode() for t in texts])
     assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_plain_words_need_no_whole_tokenizer(monkeypatch):
+    library, own = Tokenizer.from_file(PATH), tokenfile.WordTokens(PATH, 2)
+    words = ["ögepf,", "Über", "ÆÞŸ", "straße!", "Привет", "ѐҁҊӿ", "ſıĸŉž", "a.b@c-d.org", "it's", "x''s", "x,'s", "'s's", "'LLama", "97", "(é)", "ö.,", "+49", "|", "<a|b>", "'"]
+    others = ["İİ", "×", "a÷b", "҂", "е҃", "µm", "ª", "ΣΑΣ", "x<|endoftext|>y", "<|ENDOFTEXT|>", "é.", "漢字", "a\x7fb", "ö̈"]
+    asked = []
+    whole = own._library
+    monkeypatch.setattr(own, "_library", lambda word: asked.append(word) or whole(word))
+    for word in [*words, *others]:
+        got = own([word.encode(), f" {word} {word}.".encode()])
+        once, twice = library.encode(word, add_special_tokens=False).ids, library.encode(f" {word} {word}.", add_special_tokens=False).ids
+        assert [g.tolist() for g in got] == [[*once, 2], [*twice, 2]], word
+        assert not asked or word in others, word
+
+
+def test_every_sign_of_plain_bytes_like_the_library():
+    library, own = Tokenizer.from_file(PATH), tokenfile.WordTokens(PATH, 2)
+    signs = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x180), *range(0x400, 0x500)]]
+    texts = [f"{a} {a}{b} x{a}y{b} {b}'s{a}" for a, b in zip(signs, signs[7:] + signs[:7], strict=True)]
+    got = own([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
