@@ -16,6 +16,7 @@ from quernstone.operators.text import (
     top_terms,
 )
 from quernstone.plans.registry import Plans, table
+from quernstone.sources.tables import spread_rows
 from quernstone.support.cut import cut_measured, scratch_path
 
 PLANS = Plans()
@@ -59,9 +60,13 @@ _LONG = f"""
 """
 
 
+def _documents(spark, sf_dir, *more):
+    """Texts are dealt out before they are tokenised, where a few tasks would read most of them."""
+    return spread_rows(table(spark, sf_dir, "documents").select("doc_id", "text", *more), ["doc_id"])
+
+
 def _tokens(spark, sf_dir, **options):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Tokenizer(**options).transform(rows)
+    return Tokenizer(**options).transform(_documents(spark, sf_dir))
 
 
 def _model(spark, sf_dir):
@@ -185,7 +190,7 @@ def _unpacked(vectors):
 @PLANS.add(_LONG)
 def count_vector_sparse(spark, sf_dir):
     """ML sparse vectors of tokenised text, by a Spark ML pipeline, read back as pairs."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = _documents(spark, sf_dir)
     steps = Pipeline(stages=[Tokenizer(), CountVectorizer(vocab_size=VOCAB_SIZE, min_df=MIN_DF)])
     return _unpacked(steps.fit(rows).transform(rows))
 
@@ -295,7 +300,7 @@ def document_terms_with_nulls(spark, sf_dir):
 )
 def count_vector_two_columns(spark, sf_dir):
     """Two token columns, one vocabulary, a vector for each."""
-    rows = table(spark, sf_dir, "documents")
+    rows = _documents(spark, sf_dir, "source", "lang")
     tokens = Tokenizer().transform(rows).select("doc_id", "tokens", F.array("source", "lang").alias("tags"))
     step = CountVectorizer(["tokens", "tags"], ["features", "tag_features"], VOCAB_SIZE, MIN_DF)
     vectors = step.fit_transform(tokens)
@@ -358,7 +363,7 @@ def scaled_count_vectors(spark, sf_dir):
 @PLANS.add(_LONG)
 def stored_model_transform(spark, sf_dir):
     """A pipeline of tokeniser and vectoriser written with its vocabulary, loaded and applied."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = _documents(spark, sf_dir)
     steps = Pipeline(stages=[Tokenizer(), CountVectorizer(vocab_size=VOCAB_SIZE, min_df=MIN_DF)])
     path = scratch_path(spark, "pipeline")
     steps.fit(rows).write().save(path)

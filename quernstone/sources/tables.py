@@ -26,6 +26,28 @@ def read_parquet(
     return table if columns is None else table.select(*columns)
 
 
+# Rows from which a table that few tasks would read is dealt out anew.
+SPREAD_ROWS = 20_000
+# Tasks per core that it is dealt out to.
+SPREAD_TASKS = 4
+
+
+def spread_rows(df: DataFrame, by: Sequence[str], least_rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df``, dealt out by a hash of the columns ``by`` if one task would read over twice a core's even share of it.
+
+    One task reads a Parquet row group, and a file may hold all its rows in one. The rows of each task are counted from
+    footers, by a job that reads no column. A table that many tasks read, or of few rows, is returned as it is. Rows equal
+    in ``by`` come to one task, so it should name a key.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    seen = tasks.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    if not seen["rows"] or seen["rows"] < least_rows or seen["most"] * cores <= 2 * seen["rows"]:
+        return df
+    return df.repartition(SPREAD_TASKS * cores, *by)
+
+
 def read_rate(
     spark: SparkSession, base: str, rate: int, columns: Sequence[str] | None = None
 ) -> DataFrame:

@@ -9,7 +9,7 @@ import quernstone as q
 from quernstone.plans import tables
 from quernstone.sources import quoted
 from quernstone.sources.quoted import quoted_csv_to_parquet, quoted_records, read_quoted_csv
-from quernstone.sources.tables import csv_to_parquet, read_parquet, write_csv
+from quernstone.sources.tables import csv_to_parquet, read_parquet, spread_rows, write_csv
 from quernstone.streaming.scoring import append_to_parquet, apply_steps
 
 SCHEMA = "year int, delay double, note string"
@@ -128,3 +128,22 @@ def test_bad_records_go_to_a_table_of_their_own(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     good, bad = read_quoted_csv(spark, str(tmp_path / "empty.csv"), SCHEMA)
     assert good.count() == bad.count() == 0
+
+
+def tasks_of(df):
+    return df.groupBy(F.spark_partition_id()).count().count()
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A file of one row group, which one task reads, and the same rows in many files, which stay as they are."""
+    path = str(tmp_path / "one")
+    spark.range(3000).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert tasks_of(one) == 1
+    spread = spread_rows(one, ["id"], least_rows=3000)
+    assert tasks_of(spread) >= 8 and spread.exceptAll(one).count() == 0 and spread.count() == 3000
+    assert spread_rows(one, ["id"], least_rows=3001) is one
+    many = spark.range(3000).repartition(16)
+    assert spread_rows(many, ["id"], least_rows=0) is many
+    none = one.filter("id < 0")
+    assert spread_rows(none, ["id"], least_rows=0) is none

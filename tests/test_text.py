@@ -11,6 +11,8 @@ from pyspark.ml import feature as ml
 from pyspark.sql import functions as F
 
 import quernstone as q
+from quernstone.plans import all_plans
+from quernstone.sources.tables import SPREAD_ROWS
 from quernstone.support.cut import Size, measure
 from quernstone.support.plan_text import plan_text
 
@@ -230,3 +232,17 @@ def test_parameters():
         q.CountVectorizer(vocab_size=0)
     with pytest.raises(ValueError):
         q.Tokenizer(invalid="drop")
+
+
+def test_texts_of_one_row_group_are_counted_by_many_tasks(spark, tmp_path):
+    """Count vectors of documents that one task would read, against counting by hand."""
+    text = F.concat_ws(" ", F.lit("All"), F.concat(F.lit("w"), F.col("id") % 700), F.concat(F.lit("w"), F.col("id") % 30))
+    rows = spark.range(SPREAD_ROWS).select(F.col("id").alias("doc_id"), text.alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = all_plans()["count_vector_long_split"].query(spark, str(tmp_path))
+    assert found.groupBy(F.spark_partition_id()).count().count() >= 8
+    tokens = [["all", f"w{i % 700}", f"w{i % 30}"] for i in range(SPREAD_ROWS)]
+    total = Counter(t for ts in tokens for t in ts)
+    index = {t: i for i, t in enumerate(sorted(total, key=lambda t: (-total[t], t)))}
+    by_hand = sorted((d, index[t], n) for d, ts in enumerate(tokens) for t, n in Counter(ts).items())
+    assert sorted(tuple(r) for r in found.collect()) == by_hand
