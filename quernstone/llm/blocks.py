@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.support.cut import cut, cut_measured
+from quernstone.support.cut import cut_measured
 
 QUERY_ROWS = 1024
+# About the bytes of queries that a task of a search holds, and its tasks at most, unless the queries alone need more.
+QUERY_BYTES = 8 * 1024 * 1024
+TASKS = 8192
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -71,22 +74,26 @@ def search(
     Each block of rows meets each block of queries of the same length once. ``best(block, ids, data)``
     gets a row of the prepared blocks and a block of queries, and returns at least the k best of its
     rows for each: query numbers, ids and scores. A row whose id is the query's own is no candidate;
-    queries that share an id are searched one by one.
+    queries that share an id are searched one by one. A task reads some blocks of rows and about ``QUERY_BYTES``
+    of queries where they lie, so no query is written once per block of rows or sent through the driver.
     """
     kept, size = cut_measured(rows, "vectors")
-    queries = cut(pack(kept.filter(is_query), max(1, size.rows // 16), QUERY_ROWS), "queries")
-    blocks = cut(prepare(pack(kept, size.rows, per_block)), "blocks")
+    queries, asked = cut_measured(pack(kept.filter(is_query), max(1, size.rows // 16), QUERY_ROWS), "queries")
+    blocks = prepare(pack(kept, size.rows, per_block))
     columns = [c for c in blocks.columns if c != "dims"]
-    # The blocks of queries, which are small, go to every block of rows of their length.
-    everywhere = F.sequence(F.lit(0), F.lit(block_count(size.rows, per_block) - 1).cast("long"))
+    q_parts = block_count(asked.bytes, QUERY_BYTES)
+    parts = max(1, min(block_count(size.rows, per_block), TASKS // q_parts))
     sent = queries.select(
         F.col("dims").alias("_dims"),
         F.col("block").alias("q_block"),
         F.col("ids").alias("q_ids"),
         F.col("data").alias("q_data"),
-        F.explode(everywhere).alias("_block"),
     )
-    pairs = blocks.join(sent, (F.col("dims") == F.col("_dims")) & (F.col("block") == F.col("_block")))
+    # Numbered blocks are dealt out evenly. Every part of the rows meets every part of the queries; the hint keeps
+    # Spark from a broadcast, whose size it would guess from the compressed file.
+    held = blocks.repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).hint("shuffle_replicate_nl")
+    sent = sent.repartitionById(q_parts, F.pmod("q_block", F.lit(q_parts)).cast("int")).hint("shuffle_replicate_nl")
+    pairs = held.join(sent, F.col("dims") == F.col("_dims"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import mih, topk
+from quernstone.llm import blocks, mih, topk
 from quernstone.llm.blocks import usable
 from quernstone.llm.queries import PLANS
+from quernstone.support.plan_text import plan_text
 
 
 def load(spark, sf_dir):
@@ -144,3 +145,24 @@ def test_recall_where_the_lowest_ids_are_one_cluster(spark):
 def test_sums_that_could_be_inexact_are_refused():
     with pytest.raises(OverflowError):
         topk.accumulate(np.full((1, 2), 2.0**30), np.full((1, 2), 2.0**30))
+
+
+@pytest.mark.parametrize("tasks", [8192, 7])
+def test_queries_are_neither_broadcast_nor_copied_for_each_block(spark, monkeypatch, tasks):
+    """Many blocks of rows, few bytes of queries: every pair meets once, at the default bounds of Spark's broadcasts."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 8)
+    monkeypatch.setattr(blocks, "QUERY_BYTES", 400, raising=False)
+    monkeypatch.setattr(blocks, "TASKS", tasks, raising=False)
+    random = np.random.default_rng(6)
+    vectors = [np.round(random.normal(size=4 if i % 3 else 5), 2).tolist() for i in range(600)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    found = topk.top_k(usable(rows), F.col("vec_id") % 50 == 0, 3, 256)
+    whole = [np.floor(256 * np.array(v)) for v in vectors]
+    want = []
+    for q in range(0, 600, 50):
+        ids = np.array([i for i, w in enumerate(whole) if len(w) == len(whole[q])])
+        want += best(ids, np.array([whole[i] @ whole[q] for i in ids]), q, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = plan_text(found)
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
