@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.support.cut import cut_measured
 
-QUERY_ROWS = 1024
+QUERY_ROWS = 4096
 # About the bytes of queries that a task of a search holds, and its tasks at most, unless the queries alone need more.
 QUERY_BYTES = 8 * 1024 * 1024
 TASKS = 8192
@@ -78,7 +78,8 @@ def search(
     of queries where they lie, so no query is written once per block of rows or sent through the driver.
     """
     kept, size = cut_measured(rows, "vectors")
-    queries, asked = cut_measured(pack(kept.filter(is_query), max(1, size.rows // 16), QUERY_ROWS), "queries")
+    asking = kept.filter(is_query)
+    queries, asked = cut_measured(pack(asking, asking.count(), QUERY_ROWS), "queries")
     blocks = prepare(pack(kept, size.rows, per_block))
     columns = [c for c in blocks.columns if c != "dims"]
     q_parts = block_count(asked.bytes, QUERY_BYTES)

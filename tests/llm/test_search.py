@@ -166,3 +166,15 @@ def test_queries_are_neither_broadcast_nor_copied_for_each_block(spark, monkeypa
     assert sorted(map(tuple, found.collect())) == sorted(want)
     plan = plan_text(found)
     assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_query_blocks_are_numbered_by_the_queries_there_are(spark, monkeypatch):
+    """Few queries of many rows are one block, which each block of rows meets once."""
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 8)
+    rows = spark.range(1600).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))
+
+    def met(block, q_ids, q_data):
+        return np.zeros(1, np.int64), np.array([block["block"]]), np.array([len(q_ids)])
+
+    found = blocks.search(rows, F.col("vec_id") < 3, 50, 100, met, "long").collect()
+    assert sorted((r.vec_id, r.score) for r in found) == [(block, 3) for block in range(16)]
